@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import arrow_rows, materialise
 from .text import word_dictionary
 
-#: Distinct words whose ids a worker keeps; beyond that it starts anew.
-WORDS_KEPT = 300_000
+#: Distinct words whose ids a worker keeps, and as many that it saw before those.
+WORDS_KEPT = 250_000
 #: Partitions whose leftovers meet in one task: 4 bytes x max_len each at most.
 GROUP = 512
 
@@ -41,38 +41,81 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 class WordTokens:
-    """Ids of whole texts by a tokenizer that never merges over white space: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that never merges over white space: each distinct word is encoded once.
 
-    def __init__(self, path: str):
+    Words go to the tokenizer many to a text. Those of letters alone are one piece
+    to it, so the end-of-word mark of their last token parts them; between others
+    stands a special token.
+    """
+
+    def __init__(self, path: str, end_of_word: str = "</w>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.marked = min(special.items()) if special else (None, None)
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for w, i in names.items() if w.endswith(end_of_word)]] = True
+
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(x.ids, "<i4") for x in got])
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, over: int) -> None:
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[word] = raw[start : end - over]
+            start = end
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<i4").tobytes()
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or w.lower().isalpha()) else other).append(w)
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = self._encode(["\n".join(part)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, ends, 0)
+            else:
+                other += part
+        odd = []
+        if self.marked is not None:
+            odd = [w for w in other if self.marked in w]
+            other = [w for w in other if self.marked not in w] if odd else other
+            for at in range(0, len(other), 1024):
+                part = other[at : at + 1024]
+                ids = self._encode([self.marked.join(part) + self.marked])
+                self._keep(part, ids, np.flatnonzero(ids == self.mark) + 1, 4)
+        else:
+            odd = other
+        for w in odd:
+            self.known[w] = self._encode([w]).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's first (offsets)."""
         codes, words, woff = word_dictionary(texts)
         words = words.to_pylist()
-        if new := [w for w in words if w not in self.known]:
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            new = []
+            for k, part in enumerate(parts):
+                if part is None:
+                    if (part := self.older.get(words[k])) is None:
+                        new.append(words[k])
+                    else:
+                        self.known[words[k]] = parts[k] = part
             self._learn(new)
-            if len(new) < len(words):  # the words may have been forgotten just now
-                self._learn([w for w in words if w not in self.known])
-        parts = [self.known[w] for w in words]
-        flat = np.frombuffer(b"".join(parts), "<i4")
+            parts = [self.known[w] if part is None else part for w, part in zip(words, parts, strict=True)]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        first = np.cumsum(size) - size
-        each = size[codes]
-        total = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(first[codes] - total[:-1], each) + np.arange(total[-1])]
-        return ids, total[woff]
+        ids = np.frombuffer(b"".join(map(parts.__getitem__, codes.tolist())), "<i4")
+        return ids, np.concatenate([[0], np.cumsum(size[codes])])[woff]
 
 
 class Window:
@@ -164,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_len: int
 
         packer = Packer(max_len, n_open, sink)
         for batch in batches:
-            step = 512
+            step = 2048
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids, off = tokens.encode(part.column(1))
@@ -205,6 +248,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_len: int
         return pa.Table.from_batches([_batch(out)]).drop_columns("left")
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    arrow_rows(docs.sparkSession)
     pieces = materialise(source.mapInArrow(run, SCHEMA + ", left long"), "packed")
     whole = pieces.filter(F.col("left").isNull()).drop("left")
     over = pieces.filter(F.col("left").isNotNull()).withColumn("g", F.floor(F.col("left") / GROUP)).groupBy("g").applyInArrow(merge, SCHEMA)

@@ -191,8 +191,9 @@ def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> Dat
         found = entries.groupBy("bucket").applyInArrow(_answers, "rid long, pos binary")
         return found.groupBy("rid").agg(F.collect_list("pos").alias(name)).hint("shuffle_hash")
 
-    seeds = answered(texts.select("rid", "text").mapInArrow(_map(anchors, n_buckets), ENTRY), "seeds")
-    seeded = texts.join(seeds, "rid").select("rid", "text", "seeds")
+    # all passes take the same columns, else the exchange of the texts would not be reused
+    seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "seeds")
+    seeded = texts.join(seeds, "rid")
     found = answered(seeded.mapInArrow(_map(windows, n_buckets), ENTRY), "repeats")
     return texts.join(found, "rid", "left")
 
