@@ -10,9 +10,11 @@ B bits are packed into the signature. The steps:
    bucket's smallest and largest id only. Pairs whose similarity, estimated from
    equal low bits and corrected for chance collisions, lies more than six standard
    errors below the threshold are left; the others are confirmed on full sets.
-3. Buckets whose members are then still in different components get the pairs
-   across components; a bucket beyond CHUNK members is dealt out by pairs of
-   chunks, so no task sees more than two chunks, and none is capped.
+3. Documents that buckets connect, confirmed or not, are a family. In a family that
+   confirmed links leave in several components, each document outside the largest
+   is compared with those of other components, by signature and then on full sets,
+   until its component has met theirs. A family is dealt out by pairs of chunks of
+   CHUNK documents, so no task sees more than two chunks, and none is capped.
 4. Links of both rounds give the components.
 
 A pair within a component that is complete is never compared: links, not pairs,
@@ -40,8 +42,8 @@ from .text import lower, mix, row_shingles, slices, word_hashes, word_spans
 
 K, R, B = 128, 4, 4
 BANDS = K // R
-#: Members of a bucket that meet in one task are at most twice this.
-CHUNK = 1024
+#: Documents of a family that meet in one task are at most twice this, but for chance.
+CHUNK = 512
 
 _rng = np.random.default_rng(0x5EED)
 _ODD = _rng.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,60 +129,83 @@ def _likely(least: float):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared) > 0
+
+
 def _linked(n: int, percent: int):
     """Pairs (a, b, text of a, text of b) with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(batch.column(2), n), shingle_sets(batch.column(3), n), strict=True):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared) > 0)
+            keep = [_alike(x, y, percent) for x, y in zip(shingle_sets(batch.column(2), n), shingle_sets(batch.column(3), n), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(least: float):
-    """Likely pairs of different components within each (key, i, j) group of rows that come sorted by group."""
+class _Classes:
+    """Union and find over component ids."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
 
-    def pairs(own: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        doc, comp, sig = own["doc_id"], own["comp"], own["sig"]
-        left, right = np.flatnonzero(own["chunk"] == own["i"]), np.flatnonzero(own["chunk"] == own["j"])
-        same = own["i"][0] == own["j"][0]
-        for k in left:
-            other = right[right > k] if same else right
-            other = other[comp[other] != comp[k]]
-            other = other[estimate(sig[other], sig[k]) >= least]
-            if len(other):
-                yield np.minimum(doc[other], doc[k]), np.maximum(doc[other], doc[k])
+    def join(self, x: int, y: int) -> None:
+        self.up[self.top(x)] = self.top(y)
+
+
+def _across(n: int, percent: int, least: float):
+    """Links between components within each (family, i, j) group of rows that come sorted by group.
+
+    Rows with minor set are compared with the others of another component, likeliest
+    first, until their components have met; only links that join two are returned.
+    """
+
+    def links(own: pa.Table) -> Iterator[tuple[int, int]]:
+        doc, comp, minor = (own[c].to_numpy() for c in ("doc_id", "comp", "minor"))
+        sig, texts, sets, classes = _signature_rows(own["sig"]), own["text"].combine_chunks(), {}, _Classes()
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = next(shingle_sets(texts.slice(k, 1), n))
+            return sets[k]
+
+        others = np.flatnonzero(~minor)
+        for k in np.flatnonzero(minor).tolist():
+            near = estimate(sig[others], sig[k])
+            order = np.argsort(-near, kind="stable")
+            for m in others[order[: np.searchsorted(-near[order], -least, "right")]].tolist():
+                if classes.top(int(comp[m])) != classes.top(int(comp[k])) and _alike(shingles(k), shingles(m), percent):
+                    classes.join(int(comp[m]), int(comp[k]))
+                    yield int(doc[k]), int(doc[m])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None
-        names = ["key", "i", "j", "chunk", "doc_id", "comp"]
+        held: list[pa.Table] = []
 
-        def flush(own: dict) -> Iterator[pa.RecordBatch]:
-            group = np.stack([own["key"], own["i"], own["j"]])
-            cuts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [group.shape[1]]])
-            found = [p for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1 for p in pairs({k: v[x:y] for k, v in own.items()})]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held and (found := list(links(pa.concat_tables(held)))):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+            held.clear()
 
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"sig": _signature_rows(batch.column("sig"))}
-            if held is not None:
-                own = {k: np.concatenate([held[k], v]) for k, v in own.items()}
-            last = np.stack([own["key"], own["i"], own["j"]])
-            whole = int(np.argmax((last == last[:, -1:]).all(axis=0)))  # where the last group starts
-            held = {k: v[whole:] for k, v in own.items()}
-            if whole:
-                yield from flush({k: v[:whole] for k, v in own.items()})
-        if held is not None:
-            yield from flush(held)
+            group = np.stack([batch.column(c).to_numpy() for c in ("family", "i", "j")])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x < y:
+                    if (now := tuple(group[:, x])) != last:
+                        yield from flush()
+                        last = now
+                    held.append(pa.Table.from_batches([batch.slice(x, y - x)]))
+        yield from flush()
 
     return run
 
@@ -202,37 +227,43 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     reps = materialise(reps, "distinct")
 
     member = reps.select("doc_id", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("n > 1")
+    bucket = member.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi")
     hits = materialise(member.join(bucket, "key"), "buckets")
 
     sig = reps.select("doc_id", "sig")
     involved = hits.select("doc_id").distinct()
     texts = materialise(source.join(involved, "doc_id", "left_semi"), "involved")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        def of(side: str) -> DataFrame:
-            return texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}"))
-
-        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
-        return materialise(both.mapInArrow(_linked(shingle, percent), "a long, b long").distinct(), name)
+    def of(side: str) -> DataFrame:
+        return texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}"))
 
     star = hits.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("doc_id").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    star = materialise(star, "stars")
     signed = star.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    links = confirmed(signed.mapInArrow(_likely(least), "a long, b long"), "links")
-    part = connected_components(links)
-
-    placed = hits.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    torn = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-    dealt = (
-        placed.join(torn, "key")
-        .join(sig, "doc_id")
-        .withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("m")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "comp", "sig")
-    )
-    grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
-    more = confirmed(grouped.mapInArrow(_across(least), "a long, b long").distinct(), "links")
+    likely = signed.mapInArrow(_likely(least), "a long, b long")
+    both = likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+    links = materialise(both.mapInArrow(_linked(shingle, percent), "a long, b long").distinct(), "links")
+
+    def placed(edges: DataFrame, name: str) -> DataFrame:
+        return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias(name))
+
+    each = involved.join(placed(star, "family"), "doc_id").join(placed(links, "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    each = materialise(each, "families")
+    sizes = each.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    torn = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    torn = torn.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("nj"), F.ceil((F.col("n") - F.col("main.n")) / CHUNK).cast("int").alias("ni"))
+    members = each.join(torn, "family")
+
+    def chunk(n: str):
+        return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+    def over(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    minor = members.filter("comp != main").select("family", chunk("ni").alias("i"), over("nj").alias("j"), "doc_id", "comp", F.lit(True).alias("minor"))
+    every_one = members.select("family", over("ni").alias("i"), chunk("nj").alias("j"), "doc_id", "comp", F.lit(False).alias("minor"))
+    dealt = minor.union(every_one).join(sig, "doc_id").join(texts, "doc_id").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    more = materialise(dealt.select("family", "i", "j", "doc_id", "comp", "minor", "sig", "text").mapInArrow(_across(shingle, percent, least), "a long, b long"), "links")
 
     whole = connected_components(links.union(more)).select(F.col("node").alias("rep"), "component")
     return (
