@@ -19,11 +19,14 @@ the tokenizer has it. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from ..runtime import arrow_rows, materialise
 from .text import word_dictionary
 
-#: Distinct words whose ids a worker keeps, and as many that it saw before those.
-WORDS_KEPT = 250_000
+#: Distinct words and parts of words whose ids a worker keeps; beyond that the older half goes.
+WORDS_KEPT = 800_000
 #: Partitions whose leftovers meet in one task: 4 bytes x max_len each at most.
 GROUP = 512
 
@@ -43,81 +46,109 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 class WordTokens:
     """Ids of whole texts by a tokenizer that never merges over white space: each distinct word is encoded once.
 
-    Words go to the tokenizer many to a text. Those of letters alone are one piece
-    to it, so the end-of-word mark of their last token parts them; between others
-    stands a special token.
+    Words of plain Latin letters and signs are parted by the tokenizer's own pattern,
+    so that "word," costs nothing once "word" and "," are known; their parts go to the
+    tokenizer many to a text, and the end-of-word mark of a part's last token tells
+    them apart. Other words go to it one by one.
     """
 
     def __init__(self, path: str, end_of_word: str = "</w>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        import regex
+        from tokenizers import Tokenizer, normalizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        # what is known: words and parts of words, and their ids end to end; Arrow keeps a million in some 100 MB
+        self.words, self.ids, self.ends = pa.array([""], pa.large_string()), np.zeros(0, "<i4"), np.zeros(1, np.int64)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.parts = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")).findall
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.marked = min(special.items()) if special else (None, None)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for w, i in names.items() if w.endswith(end_of_word)]] = True
 
-    def _encode(self, texts: list[str]) -> np.ndarray:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.concatenate([np.array(x.ids, "<i4") for x in got])
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, over: int) -> None:
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[word] = raw[start : end - over]
-            start = end
-
-    def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
+    def _known(self, words: pa.Array) -> list[bytes | None]:
+        """Ids of those of the words that are known."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        raw, ends = self.ids.tobytes(), 4 * np.append(0, self.ends)
+        return [raw[x:y] if k >= 0 else None for k, x, y in zip(at.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        new = np.frombuffer(b"".join(ids), "<i4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, len(self.ids) + np.cumsum(size)])
+        if (over := len(self.words) - WORDS_KEPT) > 0:  # the older half goes; "" comes back with the next text
+            over += WORDS_KEPT // 2
+            cut = self.ends[over - 1]
+            self.words = pa.concat_arrays([self.words.slice(over)])
+            self.ids, self.ends = self.ids[cut:].copy(), self.ends[over:] - cut
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), 2048):
+            own = parts[at : at + 2048]
+            ids = np.array(self.bare.encode_batch_fast(["\n".join(own)], add_special_tokens=False)[0].ids, "<i4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) != len(own):
+                raise ValueError("a part of a word is more than one to the tokenizer")
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not known, which they are from then on."""
+        parts: dict[str, bytes | None] = {"": b""}
+        split, odd = [], []
         for w in words:
-            (plain if w.isalpha() and (w.isascii() or w.lower().isalpha()) else other).append(w)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = self._encode(["\n".join(part)])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                self._keep(part, ids, ends, 0)
-            else:
-                other += part
-        odd = []
-        if self.marked is not None:
-            odd = [w for w in other if self.marked in w]
-            other = [w for w in other if self.marked not in w] if odd else other
-            for at in range(0, len(other), 1024):
-                part = other[at : at + 1024]
-                ids = self._encode([self.marked.join(part) + self.marked])
-                self._keep(part, ids, np.flatnonzero(ids == self.mark) + 1, 4)
-        else:
-            odd = other
-        for w in odd:
-            self.known[w] = self._encode([w]).tobytes()
+            low = w.lower()
+            if not w.isascii() and (max(w) >= "\u0130" or max(low) >= "\u0180"):
+                odd.append(w)
+            elif low.isalpha():
+                parts[low] = None
+                if low != w:
+                    split.append((w, (low,)))
+            elif "<" in w and any(x in w for x in self.special):
+                odd.append(w)
+            elif w:
+                split.append((w, own := self.parts(low)))
+                for x in own:
+                    parts[x] = None
+        found = self._known(pa.array(list(parts), pa.large_string()))
+        parts = dict(zip(parts, found, strict=True)) | {"": b""}
+        new = [x for x, ids in parts.items() if ids is None]
+        parts |= zip(new, self._encode_parts(new), strict=True)
+        whole = {w: b"".join([parts[x] for x in own]) for w, own in split}
+        for at in range(0, len(odd), 4096):
+            own = odd[at : at + 4096]
+            whole |= {w: np.array(x.ids, "<i4").tobytes() for w, x in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True)}
+        fresh = [*new, *whole]
+        self._keep(fresh, [parts[x] for x in new] + [whole[w] for w in whole])
+        return parts | whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's first (offsets)."""
         codes, words, woff = word_dictionary(texts)
-        words = words.to_pylist()
-        if len(self.known) > WORDS_KEPT:
-            self.known, self.older = {}, self.known
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            new = []
-            for k, part in enumerate(parts):
-                if part is None:
-                    if (part := self.older.get(words[k])) is None:
-                        new.append(words[k])
-                    else:
-                        self.known[words[k]] = parts[k] = part
-            self._learn(new)
-            parts = [self.known[w] if part is None else part for w, part in zip(words, parts, strict=True)]
+        parts = self._known(words)
+        missing = [k for k, part in enumerate(parts) if part is None]
+        if missing:
+            names = words.take(pa.array(missing)).to_pylist()
+            learnt = self._learn(names)
+            for k, w in zip(missing, names, strict=True):
+                parts[k] = learnt[w]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         ids = np.frombuffer(b"".join(map(parts.__getitem__, codes.tolist())), "<i4")
         return ids, np.concatenate([[0], np.cumsum(size[codes])])[woff]
 
 
+@lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """One for a worker process: what it has learnt serves its later tasks."""
+    return WordTokens(path)
+
+
 class Window:
     __slots__ = ("pieces", "used")
 
@@ -198,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_len: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, pid, out, n = WordTokens(tokenizer_path), TaskContext.get().partitionId(), [], 0
+        tokens, pid, out, n = word_tokens(tokenizer_path), TaskContext.get().partitionId(), [], 0
 
         def sink(window: Window) -> None:
             nonlocal n
