@@ -42,7 +42,7 @@ BEGIN = UNITS
 HEAD, HEAD_BYTES = 500_000, 64
 SMOOTH = 0.1
 #: Tokens of a minibatch, noise samples of one, and the step of Adagrad.
-BATCH, NOISE, RATE = 2048, 48, 0.25
+BATCH, NOISE, RATE = 2048, 48, 0.1
 _BLOCK = 4096
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import fingerprint, langid, lm, minhash, packing, pieces, substring, topk, urls
+from . import fingerprint, langid, licenses, lm, minhash, packing, pieces, substring, topk, urls
 
 #: The rules that op9 judges by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -78,6 +78,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return licenses.scan(files).withColumn("score", F.round("score", 9))
+
+
 OP9_SQL = f"""
 with rules(h, p, v) as (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 rest as (select row_number() over () as k, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),

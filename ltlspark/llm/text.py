@@ -63,9 +63,12 @@ def lower(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and each row's first word (offsets, one more than rows)."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and each row's first word (offsets, one more than rows).
+
+    between flags the bytes that part words.
+    """
+    inside = ~between[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
