@@ -7,7 +7,7 @@ puts both on cover positions, so they share an anchor of W - v + 1 words there.
 
 1. Every document's anchors are hashed; an anchor hash that occurs twice is a seed.
 2. Each seed is extended to the windows that contain it, and these are confirmed by
-   a 128-bit hash of all W words: a window that occurs twice is a repeat.
+   a 96-bit hash of all W words: a window that occurs twice is a repeat.
 3. Words covered by repeats are removed, judged on the input.
 
 Hashes meet in buckets that are packed arrays, not rows. A hash that occurs twice
@@ -30,9 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, shuffle_partitions
-from .text import gram_hashes, gram_starts, slices, word_hashes, word_spans
+from .text import gram_hashes, gram_starts, mix, slices, word_hashes, word_spans
 
 #: Perfect difference sets by period.
 COVERS = {3: [0, 1], 7: [0, 1, 3], 13: [0, 1, 3, 9], 21: [3, 6, 7, 12, 14], 31: [1, 5, 11, 24, 25, 27]}
@@ -89,8 +90,7 @@ class _Out:
             bucket = ((h1[at] >> np.uint64(40)) % np.uint64(self.n) if kind < 2 else rid[at].view(np.uint64) % np.uint64(self.n)).astype(np.int32)
             by = np.lexsort((pos[at], rid[at], bucket)) if kind < 2 else np.argsort(bucket, kind="stable")
             at, bucket = at[by], bucket[by]
-            cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(at)]])
-            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            for x, y in _cuts(bucket):
                 part = at[x:y]
                 out.append((int(bucket[x]), kind, rid[part].tobytes() if kind != 1 else None, pos[part].tobytes() if kind != 1 else None, h1[part].tobytes() if kind < 2 else None, h2[part].tobytes() if kind < 2 and h2 is not None else None))
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _ENTRY, strict=True)], schema=_ENTRY)
@@ -100,38 +100,58 @@ def _flat(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
 
 
-def _answers(key: tuple, entries: pa.Table) -> pa.Table:
-    """(rid, pos) of all entries of a bucket whose hash occurs twice, in packed form by rid."""
-    kind = entries["kind"].to_numpy()
-    one, many, told = (entries.filter(pa.array(kind == k)) for k in range(3))
-    h = np.concatenate([_flat(one["h1"], np.uint64), _flat(many["h1"], np.uint64)])
-    n = len(_flat(one["pos"], np.int32))
-    hit = np.zeros(n, bool)
-    if len(h):
-        g = np.concatenate([_flat(one["h2"], np.uint64), _flat(many["h2"], np.uint64)])
-        order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
-        a = h[order]
-        same = a[1:] == a[:-1]
-        if len(g):
-            same &= g[order][1:] == g[order][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        hit = twice[:n]
-    rid = np.concatenate([_flat(one["rid"], np.int64)[hit], _flat(told["rid"], np.int64)])
-    pos = np.concatenate([_flat(one["pos"], np.int32)[hit], _flat(told["pos"], np.int32)])
+def _cuts(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ends of the runs of equal keys."""
+    if not len(sorted_keys):
+        return []
+    cut = [0, *(np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1).tolist(), len(sorted_keys)]
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
+def _answers(n_parts: int):
+    def run(key: tuple, entries: pa.Table) -> pa.Table:
+        """(rid, pos) of all entries of a bucket whose hash occurs twice, packed by the part that their row belongs to."""
+        kind = entries["kind"].to_numpy()
+        one, many, told = (entries.filter(pa.array(kind == k)) for k in range(3))
+        h = np.concatenate([_flat(one["h1"], np.uint64), _flat(many["h1"], np.uint64)])
+        n = len(_flat(one["pos"], np.int32))
+        hit = np.zeros(n, bool)
+        if len(h):
+            g = np.concatenate([_flat(one["h2"], np.uint32), _flat(many["h2"], np.uint32)])
+            order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            if len(g):
+                same &= g[order][1:] == g[order][:-1]
+            twice = np.zeros(len(h), bool)
+            twice[order[1:][same]] = True
+            twice[order[:-1][same]] = True
+            hit = twice[:n]
+        rid = np.concatenate([_flat(one["rid"], np.int64)[hit], _flat(told["rid"], np.int64)])
+        pos = np.concatenate([_flat(one["pos"], np.int32)[hit], _flat(told["pos"], np.int32)])
+        part = (mix(rid.view(np.uint64)) % np.uint64(n_parts)).astype(np.int32)
+        order = np.lexsort((rid, part))
+        rid, pos, part = rid[order], pos[order], part[order]
+        cuts = _cuts(part)
+        return pa.table({"part": pa.array([int(part[x]) for x, _ in cuts], pa.int32()), "rids": pa.array([rid[x:y].tobytes() for x, y in cuts], pa.binary()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
+
+    return run
+
+
+def _by_row(key: tuple, answers: pa.Table) -> pa.Table:
+    """One row for each rid, with its packed positions."""
+    rid, pos = _flat(answers["rids"], np.int64), _flat(answers["pos"], np.int32)
     order = np.argsort(rid, kind="stable")
     rid, pos = rid[order], pos[order]
-    cut = np.concatenate([[0], np.flatnonzero(rid[1:] != rid[:-1]) + 1, [len(rid)]]) if len(rid) else np.zeros(1, np.int64)
-    return pa.table({"rid": pa.array(rid[cut[:-1]], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
+    cuts = _cuts(rid)
+    return pa.table({"rid": pa.array([int(rid[x]) for x, _ in cuts], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
 
 
 def _marked(column: pa.Array, woff: np.ndarray) -> np.ndarray:
-    """A flag for each word of a slice: its row's packed positions (a list of binaries) name it."""
+    """A flag for each word of a slice: its row's packed positions name it."""
     flag = np.zeros(int(woff[-1]), bool)
-    for k, parts in enumerate(column.to_pylist()):
-        for part in parts or ():
-            flag[woff[k] + np.frombuffer(part, np.int32)] = True
+    for k, packed in enumerate(column.to_pylist()):
+        if packed:
+            flag[woff[k] + np.frombuffer(packed, np.int32)] = True
     return flag
 
 
@@ -182,14 +202,14 @@ def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> Dat
         near = _covered(seed[::-1], v)[::-1]  # a seed lies at this word or up to v - 1 after it
         keep = near[at]
         at, row = at[keep], row[keep]
-        return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, window), gram_hashes(words, at, window, 77)
+        return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, window), gram_hashes(words, at, window, 77).astype(np.uint32)
 
     named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
     texts = named.withColumn("text", F.col("text").cast("string")).withColumn("rid", F.monotonically_increasing_id()).repartition(n_parts, "rid")
 
     def answered(entries: DataFrame, name: str) -> DataFrame:
-        found = entries.groupBy("bucket").applyInArrow(_answers, "rid long, pos binary")
-        return found.groupBy("rid").agg(F.collect_list("pos").alias(name)).hint("shuffle_hash")
+        found = entries.groupBy("bucket").applyInArrow(_answers(n_parts), "part int, rids binary, pos binary")
+        return found.groupBy("part").applyInArrow(_by_row, "rid long, pos binary").withColumnRenamed("pos", name).hint("shuffle_hash")
 
     # all passes take the same columns, else the exchange of the texts would not be reused
     seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "seeds")
@@ -231,34 +251,29 @@ def kept_words(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", tex
 def strip_repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> DataFrame:
     """docs, all columns, with repeated passages cut out of the text: each removed word goes with the space after it.
 
-    Texts without repeats stay as they are, byte for byte.
+    n_words and n_removed follow (columns of those names are replaced). Texts
+    without repeats stay as they are, byte for byte.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, n, lost = [], [], []
             for data, starts, ends, gone in _removed(batch, window):
-                if not gone.any():
-                    out.append(data.tobytes())
-                    continue
-                follow = np.append(starts[1:], len(data))
-                keep = np.ones(len(data), bool)
-                step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, starts[gone], 1)
-                np.add.at(step, follow[gone], -1)
-                keep &= np.cumsum(step)[:-1] == 0
-                out.append(data[keep].tobytes())
+                n.append(len(gone))
+                lost.append(int(gone.sum()))
+                if lost[-1]:
+                    follow = np.append(starts[1:], len(data))
+                    step = np.zeros(len(data) + 1, np.int32)
+                    np.add.at(step, starts[gone], 1)
+                    np.add.at(step, follow[gone], -1)
+                    data = data[np.cumsum(step)[:-1] == 0]
+                out.append(data.tobytes())
             at = batch.schema.get_field_index("text")
-            texts = pa.array(out, pa.binary()).cast(pa.string())
-            texts = pc.if_else(batch.column(at).is_null(), pa.scalar(None, pa.string()), texts)
-            yield batch.set_column(at, "text", texts).drop_columns(["repeats"])
-
-    columns = docs.columns
-    named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    marked = repeats(named, window=window).drop("rid")
-    order = [*named.columns, "repeats"]
-    schema = named.withColumn("text", F.col("text").cast("string")).schema
-    stripped = marked.select(*order).mapInArrow(run, schema)
-    return stripped.toDF(*columns)
-
-
+            texts = pc.if_else(batch.column(at).is_null(), pa.scalar(None, pa.string()), pa.array(out, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.set_column(at, "text", texts).columns[:-1], pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "n_words", "n_removed"])
+
+    docs = docs.drop("n_words", "n_removed")
+    named = docs.withColumnRenamed(text_col, "text").withColumn("text", F.col("text").cast("string"))
+    marked = repeats(named, window=window).select(*named.columns, "repeats")
+    schema = T.StructType([*named.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return marked.mapInArrow(run, schema).toDF(*docs.columns, "n_words", "n_removed")
