@@ -35,7 +35,7 @@ from ..runtime import arrow_rows
 #: Queries of one block, and rows that the floors are taken from.
 BLOCK, FIRST = 16_384, 2_048
 #: Candidates and queries of one tile.
-TILE = 1024
+TILE = 512
 
 
 def vectors(column: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,11 +73,17 @@ class Side:
         return own
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows with rows."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53:
-        return (q * x).sum(axis=1).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for u, v in zip(q, x, strict=True)], np.int64)
+def exact(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows a of q with the rows b of x."""
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] >= 2**53:
+        return np.array([sum(int(u) * int(v) for u, v in zip(q[i], x[j], strict=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    if len(a) * 4 > len(q) * len(x):
+        return (q @ x.T)[a, b].astype(np.int64)
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        out[part] = np.einsum("ij,ij->i", q[a[part]], x[b[part]])
+    return out
 
 
 def survivors(q: Side, c: Side, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +95,7 @@ def survivors(q: Side, c: Side, floor: np.ndarray) -> tuple[np.ndarray, np.ndarr
             slack = 1e-9 * (np.abs(bound).max(initial=0) + 1)
             a, b = np.nonzero(bound + slack >= floor[:, None])
         else:
-            bound = np.einsum("ij,ij->i", mine[a], other[b]) if len(a) * 4 < len(q.ids) * len(c.ids) else (mine @ other.T)[a, b]
+            bound = np.einsum("ij,ij->i", mine[a], other[b]) if len(a) * 16 < len(q.ids) * len(c.ids) else (mine @ other.T)[a, b]
             keep = bound + 1e-9 * (np.abs(bound).max(initial=0) + 1) >= floor[a]
             a, b = a[keep], b[keep]
     if a is None:
@@ -123,7 +129,7 @@ class Best:
                 a, b = survivors(own, other, self.floor[i : i + TILE])
                 apart = own.ids[a] != other.ids[b]
                 a, b = a[apart], b[apart]
-                score = exact(own.x[a], other.x[b])
+                score = exact(own.x, other.x, a, b)
                 keep = score >= self.floor[i + a]
                 self.add(i + a[keep], other.ids[b[keep]], score[keep])
 
