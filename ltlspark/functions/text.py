@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def judge_parse(c: Column) -> Column:
     found = lambda ps: F.greatest(*[clean.rlike(f"(?i){p}") for p in ps])
     verdict = F.when(said != "", said == "true").otherwise(found(POSITIVE) & ~found(NEGATIVE))
     digits = F.regexp_extract(clean, r'(?i)score[": ]*(\d+)', 1)
-    score = F.when(digits != "", F.try_cast(digits, "int") if hasattr(F, "try_cast") else F.expr("null")).otherwise(F.when(verdict, 8).otherwise(3))
+    score = F.when(digits != "", digits.try_cast("int")).otherwise(F.when(verdict, 8).otherwise(3))
     inside = F.regexp_extract(clean, r'(?s)issues[": ]*\[(.*?)\]', 1)
     quoted = F.transform(F.regexp_extract_all(inside, F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.btrim(x, F.lit(" \"'")))
     plain = F.filter(F.transform(F.split(inside, ","), strip), lambda x: x != "")
@@ -123,8 +125,8 @@ def repair_operators(c: Column) -> Column:
 
 
 def replace_first(c: Column, phrase: str, by: Column) -> Column:
-    at = F.instr(c, phrase)
-    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), by, F.substring(c, at + len(phrase), F.length(c)))).otherwise(c)
+    """by is taken as it is, but for $ and backslashes."""
+    return F.regexp_replace(c, F.lit(f"(?s)^(.*?){re.escape(phrase)}"), F.concat(F.lit("$1"), by))
 
 
 def duration(seconds: Column) -> Column:

@@ -1 +1 @@
-
+"""Whole stages and experiments, put together from operators."""
