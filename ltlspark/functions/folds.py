@@ -94,7 +94,7 @@ def classify(ast: str, compat: bool = False) -> Column:
     general = [("^always\\(", "invariance"), ("^eventually\\(", "eventuality")]
     special = [("^always\\(eventually\\(", "reactivity"), ("^eventually\\(always\\(", "stability")]
     tests = [*(general if compat else special + general), ("^until\\(", "until"), ("^release\\(", "release")]
-    out = F.when(shape.rlike("^always\\(implies\\(.*,eventually\\([^,]*\\)\\)\\)$") & _last_is_eventually(ast), "response").when(shape.rlike("^weak_until\\(not\\("), "precedence")
+    out = F.when(_last_is_eventually(ast), "response").when(shape.rlike("^weak_until\\(not\\("), "precedence")
     for pattern, name in tests:
         out = out.when(shape.rlike(pattern), name)
     return out.otherwise(F.when(shape.isNotNull(), "general"))

@@ -63,9 +63,17 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def rouge_l(p: pd.Series, r: pd.Series) -> pd.Series:
+def rouge_l(prediction: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of lower-case words; null if a text is null."""
+    return F.pandas_udf(_rouge_l, "double")(prediction, reference)
+
+
+def meteor(prediction: Column, reference: Column) -> Column:
+    """METEOR of exact and stem matches, in order, without a thesaurus: an approximation."""
+    return F.pandas_udf(_meteor, "double")(prediction, reference)
+
+
+def _rouge_l(p: pd.Series, r: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(p, r, strict=True):
         if x is None or y is None:
@@ -84,9 +92,7 @@ def _stem(w: str) -> str:
     return w
 
 
-@F.pandas_udf("double")
-def meteor(p: pd.Series, r: pd.Series) -> pd.Series:
-    """METEOR of exact and stem matches, in order, without a thesaurus: an approximation."""
+def _meteor(p: pd.Series, r: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(p, r, strict=True):
         if x is None or y is None:
