@@ -14,7 +14,7 @@ path, and the deepest that has a licence file counts (the first by path, if seve
 Files without either have no licence. Null texts have no header; null paths inherit
 nothing and give nothing. Ties between templates go to the first by name. Repeated
 rows are files of their own. Other columns of files are kept, but for those named
-license, score, origin, license_path and directory.
+license, score, origin and license_path.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _best(unit: np.ndarray, v: np.ndarray, idf: np.ndarray, rare: float, weights
 
 
 def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """files (all columns; the text last, named text) with line_score, line_template, whole_score and whole_template."""
+    """files (all columns; the text last, named text) with __line_score, __line_template, __whole_score and __whole_template."""
     arrow_rows(files.sparkSession)
     vocabulary = Vocabulary(templates)
     n, df = document_frequencies(files.select("text"), vocabulary)
@@ -133,9 +133,9 @@ def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFram
                 for k in range(2):
                     out[2 * k] += score[k].tolist()
                     out[2 * k + 1] += [names[x] if x >= 0 else None for x in which[k].tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(out, (pa.float64(), pa.string()) * 2, strict=True))], names=[*batch.schema.names[:-1], "line_score", "line_template", "whole_score", "whole_template"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(out, (pa.float64(), pa.string()) * 2, strict=True))], names=[*batch.schema.names[:-1], "__line_score", "__line_template", "__whole_score", "__whole_template"])
 
-    more = [T.StructField(n, t) for n, t in (("line_score", T.DoubleType()), ("line_template", T.StringType()), ("whole_score", T.DoubleType()), ("whole_template", T.StringType()))]
+    more = [T.StructField(n, t) for n, t in (("__line_score", T.DoubleType()), ("__line_template", T.StringType()), ("__whole_score", T.DoubleType()), ("__whole_template", T.StringType()))]
     return files.mapInArrow(run, T.StructType([f for f in files.schema.fields if f.name != "text"] + more))
 
 
@@ -144,28 +144,28 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, *, path_col: s
 
     score is the cosine of the file's own best unit; license_path is the licence file that an inherited licence is of.
     """
-    kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path", "directory")]
+    kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path")]
     source = files.select(*kept, F.col(text_col).cast("string").alias("text"))
     path = F.col(path_col)
     found = materialise(matches(source, templates), "licences")
     slash = F.length(path) - F.instr(F.reverse(path), "/")
-    found = found.withColumn("directory", F.when(F.instr(path, "/") > 0, F.substring(path, F.lit(1), slash)).when(path.isNotNull(), ""))
-    header = F.col("line_score") >= HEADER
-    whole = F.col("whole_score") >= WHOLE
+    found = found.withColumn("__directory", F.when(F.instr(path, "/") > 0, F.substring(path, F.lit(1), slash)).when(path.isNotNull(), ""))
+    header = F.col("__line_score") >= HEADER
+    whole = F.col("__whole_score") >= WHOLE
     is_file = whole | (header & F.substring_index(path, "/", -1).rlike(NAMES))
-    own = F.when(whole & (F.col("whole_score") >= F.col("line_score")), F.col("whole_template")).when(header, F.col("line_template")).when(whole, F.col("whole_template"))
-    found = found.withColumns({"own": own, "is_file": F.coalesce(is_file, F.lit(False))})
-
-    given = found.filter(F.col("is_file") & F.col("directory").isNotNull()).groupBy("directory").agg(F.min(F.struct(path.alias("p"), F.col("own").alias("l"))).alias("given")).withColumnRenamed("directory", "above")
-    parts = F.split("directory", "/")
-    above = F.transform(F.sequence(F.lit(0), F.when(F.col("directory") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    ancestors = found.select("directory").filter("directory is not null").distinct().select("directory", F.explode(above).alias("above"))
-    nearest = ancestors.join(given, "above").groupBy("directory").agg(F.max_by("given", F.length("above")).alias("given"))
-    out = found.join(nearest, "directory", "left")
+    own = F.when(whole & (F.col("__whole_score") >= F.col("__line_score")), F.col("__whole_template")).when(header, F.col("__line_template")).when(whole, F.col("__whole_template"))
+    found = found.withColumns({"__own": own, "__is_file": F.coalesce(is_file, F.lit(False))})
+
+    given = found.filter(F.col("__is_file") & F.col("__directory").isNotNull()).groupBy("__directory").agg(F.min(F.struct(path.alias("p"), F.col("__own").alias("l"))).alias("__given")).withColumnRenamed("__directory", "__above")
+    parts = F.split("__directory", "/")
+    above = F.transform(F.sequence(F.lit(0), F.when(F.col("__directory") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    ancestors = found.select("__directory").filter("__directory is not null").distinct().select("__directory", F.explode(above).alias("__above"))
+    nearest = ancestors.join(given, "__above").groupBy("__directory").agg(F.max_by("__given", F.length("__above")).alias("__given"))
+    out = found.join(nearest, "__directory", "left")
     return out.select(
         *kept,
-        F.coalesce("own", "given.l").alias("license"),
-        F.greatest("line_score", "whole_score").alias("score"),
-        F.when(F.col("own").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("origin"),
-        F.when(F.col("own").isNull(), F.col("given.p")).alias("license_path"),
+        F.coalesce("__own", "__given.l").alias("license"),
+        F.greatest("__line_score", "__whole_score").alias("score"),
+        F.when(F.col("__own").isNotNull(), F.when(F.col("__is_file"), "file").otherwise("header")).when(F.col("__given").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(F.col("__own").isNull(), F.col("__given.p")).alias("license_path"),
     )

@@ -143,7 +143,7 @@ def _by_row(key: tuple, answers: pa.Table) -> pa.Table:
     order = np.argsort(rid, kind="stable")
     rid, pos = rid[order], pos[order]
     cuts = _cuts(rid)
-    return pa.table({"rid": pa.array([int(rid[x]) for x, _ in cuts], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
+    return pa.table({"__rid": pa.array([int(rid[x]) for x, _ in cuts], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
 
 
 def _marked(column: pa.Array, woff: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def _map(body: Callable, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out(n_buckets)
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            rid = batch.column("__rid").to_numpy()
             for i, j, data, off in slices(batch.column("text")):
                 starts, ends, woff = word_spans(data, off)
                 if out.add(*body(batch.slice(i, j - i), rid[i:j], word_hashes(data, starts, ends), woff)) and (sent := out.flush()):
@@ -179,7 +179,7 @@ def _map(body: Callable, n_buckets: int):
 
 
 def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> DataFrame:
-    """docs with rid (a row number of the scan) and repeats: packed int32 word positions at which a repeated window starts.
+    """docs with __rid (a row number of the scan) and __repeats: packed int32 word positions at which a repeated window starts.
 
     text_col is returned as text.
     """
@@ -197,7 +197,7 @@ def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> Dat
         return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, anchor), None
 
     def windows(batch, rid, words, woff):
-        seed = _marked(batch.column("seeds"), woff)
+        seed = _marked(batch.column("__seeds"), woff)
         at, row = gram_starts(woff, window)
         near = _covered(seed[::-1], v)[::-1]  # a seed lies at this word or up to v - 1 after it
         keep = near[at]
@@ -205,24 +205,24 @@ def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> Dat
         return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, window), gram_hashes(words, at, window, 77).astype(np.uint32)
 
     named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    texts = named.withColumn("text", F.col("text").cast("string")).withColumn("rid", F.monotonically_increasing_id()).repartition(n_parts, "rid")
+    texts = named.withColumn("text", F.col("text").cast("string")).withColumn("__rid", F.monotonically_increasing_id()).repartition(n_parts, "__rid")
 
     def answered(entries: DataFrame, name: str) -> DataFrame:
         found = entries.groupBy("bucket").applyInArrow(_answers(n_parts), "part int, rids binary, pos binary")
-        return found.groupBy("part").applyInArrow(_by_row, "rid long, pos binary").withColumnRenamed("pos", name).hint("shuffle_hash")
+        return found.groupBy("part").applyInArrow(_by_row, "__rid long, pos binary").withColumnRenamed("pos", name).hint("shuffle_hash")
 
     # all passes take the same columns, else the exchange of the texts would not be reused
-    seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "seeds")
-    seeded = texts.join(seeds, "rid")
-    found = answered(seeded.mapInArrow(_map(windows, n_buckets), ENTRY), "repeats")
-    return texts.join(found, "rid", "left")
+    seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "__seeds")
+    seeded = texts.join(seeds, "__rid")
+    found = answered(seeded.mapInArrow(_map(windows, n_buckets), ENTRY), "__repeats")
+    return texts.join(found, "__rid", "left")
 
 
 def _removed(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row: its bytes, word starts and ends, and which words repeats cover."""
     for i, j, data, off in slices(batch.column("text")):
         starts, ends, woff = word_spans(data, off)
-        start = _marked(batch.column("repeats").slice(i, j - i), woff)
+        start = _marked(batch.column("__repeats").slice(i, j - i), woff)
         gone = _covered(start, window)
         for k in range(j - i):
             own = slice(woff[k], woff[k + 1])
@@ -244,7 +244,7 @@ def kept_words(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = repeats(source, window=window).select("doc_id", "text", "repeats")
+    marked = repeats(source, window=window).select("doc_id", "text", "__repeats")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -274,6 +274,6 @@ def strip_repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text")
 
     docs = docs.drop("n_words", "n_removed")
     named = docs.withColumnRenamed(text_col, "text").withColumn("text", F.col("text").cast("string"))
-    marked = repeats(named, window=window).select(*named.columns, "repeats")
+    marked = repeats(named, window=window).select(*named.columns, "__repeats")
     schema = T.StructType([*named.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return marked.mapInArrow(run, schema).toDF(*docs.columns, "n_words", "n_removed")
