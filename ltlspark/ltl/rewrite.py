@@ -137,12 +137,12 @@ def simplify(f: Tree) -> Tree:
     if k == "until" and b in (TRUE, FALSE) or k == "release" and b in (TRUE, FALSE):
         return b
     if k == "until":
-        return ("eventually", b) if a == TRUE else b if a == FALSE else f
+        return simplify(("eventually", b)) if a == TRUE else b if a == FALSE else f
     if k == "release":
-        return ("always", b) if a == FALSE else b if a == TRUE else f
+        return simplify(("always", b)) if a == FALSE else b if a == TRUE else f
     if k == "weak_until":
-        return TRUE if TRUE in (a, b) else b if a == FALSE else ("always", a) if b == FALSE else f
-    return FALSE if FALSE in (a, b) else b if a == TRUE else ("eventually", a) if b == TRUE else f
+        return TRUE if TRUE in (a, b) else b if a == FALSE else simplify(("always", a)) if b == FALSE else f
+    return FALSE if FALSE in (a, b) else b if a == TRUE else simplify(("eventually", a)) if b == TRUE else f
 
 
 def canonical(f: Tree) -> Tree:

@@ -15,7 +15,7 @@ def insert_ignore(existing: DataFrame | None, new: DataFrame, key: str, id_col:
     """
     first = new.groupBy(key).agg(F.min_by(F.struct(*[c for c in new.columns if c != key]), id_col).alias("__row"))
     out = first.select(key, "__row.*").select(*new.columns)
-    return out if existing is None else out.join(existing.select(key), key, "left_anti")
+    return out if existing is None else out.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
 def update_by_key(table: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
