@@ -1,8 +1,7 @@
 """Every query with SQL against DuckDB on the small tables; the others give rows and keep their schema."""
 
 import pytest
-from compare import rows
-from conftest import SMALL
+from compare import SMALL, rows
 
 from ltlspark.queries import oracle_sql, queries
 
