@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, shuffle_partitions
-from .text import gram_hashes, gram_starts, mix, slices, word_hashes, word_spans
+from .text import gram_hashes, gram_starts, mix, release, slices, word_hashes, word_spans
 
 #: Perfect difference sets by period.
 COVERS = {3: [0, 1], 7: [0, 1, 3], 13: [0, 1, 3, 9], 21: [3, 6, 7, 12, 14], 31: [1, 5, 11, 24, 25, 27]}
 #: The shortest anchor that is still rare in ordinary text.
 ANCHOR = 12
 #: Entries that a map task holds before it sends them.
-BUFFER = 1_000_000
+BUFFER = 250_000
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("rid", pa.binary()), ("pos", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
 ENTRY = "bucket int, kind tinyint, rid binary, pos binary, h1 binary, h2 binary"
@@ -132,6 +132,7 @@ def _answers(n_parts: int):
         order = np.lexsort((rid, part))
         rid, pos, part = rid[order], pos[order], part[order]
         cuts = _cuts(part)
+        release()
         return pa.table({"part": pa.array([int(part[x]) for x, _ in cuts], pa.int32()), "rids": pa.array([rid[x:y].tobytes() for x, y in cuts], pa.binary()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
 
     return run
@@ -174,6 +175,7 @@ def _map(body: Callable, n_buckets: int):
                     yield sent
         if sent := out.flush():
             yield sent
+        release()
 
     return run
 
@@ -242,6 +244,7 @@ def kept_words(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", tex
                 words = raw.split() if not lost[-1] else [raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = repeats(source, window=window).select("doc_id", "text", "__repeats")

@@ -7,6 +7,7 @@ bounded size, so memory follows the slice (or the longest single text), not the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +148,47 @@ def word_dictionary(column: pa.Array, lowered: bool = False) -> tuple[np.ndarray
         loff = np.concatenate([[0], np.cumsum(keep)])[loff]
         codes = codes[keep]
     return codes, coded.dictionary, loff.astype(np.int64)
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the machine: a worker outlives its task and waits with what it has."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+class Memo:
+    """Ids of distinct words, end to end in Arrow and numpy: a million takes some 100 MB. Beyond limit the older half goes."""
+
+    def __init__(self, kind: pa.DataType, limit: int):
+        self.kind, self.limit = kind, limit
+        self.words, self.ids, self.ends = pa.array([], kind), np.zeros(0, "<i4"), np.zeros(0, np.int64)
+
+    def known(self, words: pa.Array) -> list[bytes | None]:
+        """Ids of those of the words that are known."""
+        if not len(self.words):
+            return [None] * len(words)
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        raw, ends = self.ids.tobytes(), 4 * np.append(0, self.ends)
+        return [raw[x:y] if k >= 0 else None for k, x, y in zip(at.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
+
+    def keep(self, words: list, ids: list[bytes]) -> None:
+        """New words with their ids."""
+        new = np.frombuffer(b"".join(ids), "<i4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.words = pa.concat_arrays([self.words, pa.array(words, self.kind)])
+        self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, len(self.ids) + np.cumsum(size)])
+        if len(self.words) > self.limit:
+            over = len(self.words) - self.limit // 2
+            cut = self.ends[over - 1]
+            self.words = pa.concat_arrays([self.words.slice(over)])
+            self.ids, self.ends = self.ids[cut:].copy(), self.ends[over:] - cut
+
+
+def joined_ids(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of coded words one after another, and where each word's start (one more than words)."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    ids = np.frombuffer(b"".join(map(parts.__getitem__, codes.tolist())), "<i4")
+    return ids, np.concatenate([[0], np.cumsum(size[codes])])
