@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import discard, materialise
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -30,14 +30,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Nodes are any orderable type without nulls; edges with a null end and loops
     are left out, repeated edges count once, and no edge gives no row. Each round
-    is written to the shared folder; nothing but a count and a checksum reaches
+    is written to the shared folder and the one before it deleted; nothing but a count and a checksum reaches
     the driver. Stars of any size are aggregated before they are shuffled.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")).distinct()
     now = materialise(now, "edges")
     stamp = _stamp(now)
     for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+        before, now = now, materialise(_small_star(_large_star(now)), "edges")
+        discard(before)
         if (after := _stamp(now)) == stamp:
             break
         stamp = after

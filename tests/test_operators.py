@@ -170,3 +170,23 @@ def test_incremental_stage_adds_each_key_once(spark, tmp_path):
     run(0)
     run(1)  # a new checkpoint reads all again
     assert collected(spark.read.parquet(out).select("id")) == [(1,), (2,), (3,)]
+
+
+def test_sql_names(spark):
+    from ltlspark.functions.register import register
+
+    register(spark)
+    row = spark.sql("select ltl_canonical('q & p') a, ltl_valid('p &') b, ltl_valid('p') c, ltl_equivalent('G(p)', '!F(!p)') d, ltl_tree_edit_distance('p', 'q') e, ltl_to_itl('G(p)') f, itl_to_ltl('Always, p') g, rouge_l('a b', 'a c') h, ltl_equivalent('p', null) i").first()
+    assert tuple(row) == ("p & q", False, True, True, 1.0, "Always, p", "G(p)", 0.5, None)
+    got = spark.sql("select f.x, t.kind, t.said from (select 'G p' as x union all select '@') f, lateral ltl_tokens(f.x) t order by t.position").collect()
+    assert [tuple(r) for r in got] == [("G p", "always", "G"), ("G p", "atom", "p")]
+
+
+def test_discard_deletes_what_was_written(spark):
+    from ltlspark.runtime import discard, materialise
+
+    df = materialise(spark.range(3), "t")
+    path = df.inputFiles()[0].removeprefix("file://")
+    other = materialise(spark.range(2), "t")
+    discard(df, spark.range(1))
+    assert not __import__("os").path.exists(path) and other.count() == 2
