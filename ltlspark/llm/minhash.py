@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import arrow_rows, materialise
+from ..runtime import arrow_rows, discard, materialise
 from .text import lower, mix, row_shingles, slices, word_hashes, word_spans
 
 K, R, B = 128, 4, 4
@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     more = materialise(dealt.select("family", "i", "j", "doc_id", "comp", "minor", "sig", "text").mapInArrow(_across(shingle, percent, least), "a long, b long"), "links")
 
     whole = connected_components(links.union(more)).select(F.col("node").alias("rep"), "component")
+    discard(reps, hits, texts, star, links, each, more)  # the result reads signatures, representatives and components alone
     return (
         every.join(first, ["f1", "f2"], "left")
         .join(whole, "rep", "left")
