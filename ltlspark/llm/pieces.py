@@ -13,9 +13,9 @@ paths back from all positions still open meet on one boundary. Two kinds of mode
 
 White space becomes the mark U+2581, a text that is not empty gets one in front,
 characters without a piece become their UTF-8 bytes' pieces, and no other
-normalisation is done; models that ask for one are refused. Where no piece has the
-mark after another character, runs that start with a mark are encoded apart, and
-equal runs once for each worker's memory of bounded size.
+normalisation is done; models that ask for one are refused. Texts are cut where no
+piece has the two characters around the cut together (as a rule, before white space
+and around signs); equal segments are encoded once for a worker's memory of them.
 
 Null and empty texts have no ids. Decoding joins pieces, turns marks into spaces
 and byte pieces into bytes (invalid UTF-8 into U+FFFD), and drops the first mark.
@@ -23,20 +23,22 @@ and byte pieces into bytes (invalid UTF-8 into U+FFFD), and drops the first mark
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows
+from .text import Memo, buffers, joined_ids, release
 
 MARK = "▁"
-#: Distinct runs whose ids a worker keeps, and as many that it saw before those.
-RUNS_KEPT = 300_000
+#: Distinct segments whose ids a worker keeps, and pairs of pieces.
+SEGMENTS_KEPT, PAIRS_KEPT = 600_000, 300_000
 
 
 class Pieces:
@@ -45,17 +47,30 @@ class Pieces:
     def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], *, bpe: bool, unk: int = 0):
         self.scores, self.byte_ids, self.bpe, self.unk = scores, byte_ids, bpe, unk
         self.longest = max(map(len, scores), default=1)
-        self.apart = not any(MARK in p.lstrip(MARK) for p in scores)
-        self.text = {i: p for p, (i, _) in scores.items()}
-        self.bytes = {i: b for b, i in enumerate(byte_ids)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # what each id stands for; the last entry is for ids that stand for nothing
+        self._raw = ["\ufffd".encode()] * (2 + max([i for i, _ in scores.values()] + byte_ids + [unk]))
+        for p, (i, _) in scores.items():
+            self._raw[i] = p.replace(MARK, " ").encode()
+        if any(byte_ids):
+            for b, i in enumerate(byte_ids):
+                self._raw[i] = bytes([b])
+        self._named = {i + 1: p for p, (i, _) in scores.items()}
+        self._lengths = {i: len(p) for i, p in self._named.items()}
+        self._many, self._pairs, self._automaton = len(self._raw) + 1, {}, None
+        self._size = np.array([len(x) for x in self._raw])
+        self.memo = Memo(pa.large_binary(), SEGMENTS_KEPT)
         self._follows: dict[tuple[str, str], bool] = {}
         tails: dict[str, set[int]] = {}
         for p in scores:
             tails.setdefault(p[-2:], {1}).add(len(p))
         self._sizes = {t: sorted(n, reverse=True) for t, n in tails.items()}
-        self._inner = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
+        # no piece has these two ASCII characters (a space is the mark) together: a text may be cut between them
+        self._cut = np.zeros((256, 256), bool)
+        self._cut[:128, :128] = True
+        for p in scores:
+            for x, y in zip(p[:-1].replace(MARK, " "), p[1:].replace(MARK, " "), strict=True):
+                if x < "\x80" and y < "\x80":
+                    self._cut[ord(x), ord(y)] = False
         self._whole = {p for p in scores if not bpe or self.merge(p) == [p]}
 
     @classmethod
@@ -90,7 +105,7 @@ class Pieces:
 
     def follows(self, left: str, right: str) -> bool:
         """Whether right may stand after left in a BPE encoding."""
-        if len(self._follows) > RUNS_KEPT:
+        if len(self._follows) > PAIRS_KEPT:
             self._follows.clear()
         got = self._follows[left, right] = self.merge(left + right) == [left, right]
         return got
@@ -102,8 +117,8 @@ class Pieces:
         score = [0.0]
         before = ""  # the piece that was committed last
         for chunk in chunks:
-            for at in range(0, len(chunk), 8):
-                part = chunk[at : at + 8]
+            for at in range(0, len(chunk), self.longest):
+                part = chunk[at : at + self.longest]
                 (self._extend_bpe if self.bpe else self._extend_unigram)(window, part, last, before, score)
                 window += part
                 j = len(window)
@@ -117,6 +132,58 @@ class Pieces:
                         window, last, score = window[common:], ["", *last[common + 1 :]], [s - score[common] for s in score[common:]]
         yield from self._committed(last, len(window))
 
+    def _windows(self, segments: list[str]) -> list[bytes]:
+        """Ids of segments that each fit in the window: one step of the pass for all of them.
+
+        An automaton names the pieces that end at each character, longest first.
+        """
+        if not self.bpe:
+            return [self._window(s) for s in segments]
+        text = "\0".join(segments) + "\0"  # no piece has it, and what follows it starts anew
+        last, known, many = [0] * (len(text) + 1), self._pairs.get, self._many
+        for end, (n, piece) in self._ending().iter(text):
+            if not last[end + 1]:
+                prior = last[end + 1 - n]
+                if prior and not ((ok := known(prior * many + piece)) or (ok is None and self._pair(prior, piece))):
+                    continue
+                last[end + 1] = piece
+        out, start, sizes = [], 0, self._lengths
+        for segment in segments:
+            ids, j = [], start + len(segment)
+            while j > start:
+                if piece := last[j]:
+                    ids.append(piece - 1)
+                    j -= sizes[piece]
+                else:
+                    ids += list(self._ids(text[j - 1]))[::-1]
+                    j -= 1
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
+            start += len(segment) + 1
+        return out
+
+    def _pair(self, prior: int, piece: int) -> bool:
+        if len(self._pairs) > PAIRS_KEPT:
+            self._pairs.clear()
+        a, b = self._named[prior], self._named[piece]
+        got = self._pairs[prior * self._many + piece] = self.merge(a + b) == [a, b]
+        return got
+
+    def _ending(self):
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for p in self._whole:
+                self._automaton.add_word(p, (len(p), self.scores[p][0] + 1))
+            self._automaton.make_automaton()
+        return self._automaton
+
+    def _window(self, text: str) -> bytes:
+        last: list[str] = [""]
+        self._extend_unigram("", text, last, "", [0.0])
+        return array("i", self._committed(last, len(text))).tobytes()
+
     def _extend_bpe(self, window: str, part: str, last: list[str], before: str, score: list[float]) -> None:
         sizes, whole, known, add, single = self._sizes.get, self._whole, self._follows.get, last.append, (1,)
         text = window + part
@@ -165,49 +232,50 @@ class Pieces:
         else:
             yield self.unk
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
-        if not self.apart:
-            return np.fromiter(self.stream([marked]), np.int32)
-        runs = _RUNS.findall(marked)
-        parts = list(map(self.known.get, runs))
-        if None in parts:
-            for k, part in enumerate(parts):
-                if part is None:
-                    run = runs[k]
-                    got = self.known.get(run) or self.older.get(run) or self._segments(run)
-                    parts[k] = got
-                    if len(run) <= 256:
-                        self.known[run] = got
-            if len(self.known) > RUNS_KEPT:
-                self.known, self.older = {}, self.known
-        return np.frombuffer(b"".join(parts), np.int32)
-
-    def _segments(self, run: str) -> bytes:
-        """A run's ids: cut where no piece has the two characters together, its segments are encoded apart."""
-        inner, out, start = self._inner, [], 0
-        for k in range(1, len(run) + 1):
-            if k == len(run) or run[k - 1 : k + 1] not in inner:
-                segment = run[start:k]
-                start = k
-                if (got := self.known.get(segment) or self.older.get(segment)) is None:
-                    got = np.fromiter(self.stream([segment]), np.int32).tobytes()
-                    if len(segment) <= 256:
-                        self.known[segment] = got
-                out.append(got)
-        return b"".join(out)
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a string column, and each row's first (offsets)."""
+        data, off = buffers(column)
+        full = off[1:] > off[:-1]
+        data = np.insert(data, off[:-1][full], 0x20)  # the mark in front
+        off = off + np.concatenate([[0], np.cumsum(full)])
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = self._cut[data[:-1], data[1:]]
+        start[off] = True
+        cuts = np.flatnonzero(start)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        coded = raw.dictionary_encode()
+        segments, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        parts = self.memo.known(segments)
+        missing = [k for k, part in enumerate(parts) if part is None]
+        if missing:
+            new = segments.take(pa.array(missing)).to_pylist()
+            texts = [x.decode().replace(" ", MARK) for x in new]
+            short = [k for k, t in enumerate(texts) if len(t) <= 2 * self.longest and "\0" not in t]
+            made = [None] * len(new)
+            for k, ids in zip(short, self._windows([texts[k] for k in short]), strict=True):
+                made[k] = ids
+            made = [array("i", self.stream([t])).tobytes() if ids is None else ids for t, ids in zip(texts, made, strict=True)]
+            for k, ids in zip(missing, made, strict=True):
+                parts[k] = ids
+            short = [k for k, x in enumerate(new) if len(x) <= 256]
+            self.memo.keep([new[k] for k in short], [made[k] for k in short])
+        ids, starts = joined_ids(parts, codes)
+        return ids, starts[np.searchsorted(cuts, off)]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            raw += bytes([self.bytes[i]]) if i in self.bytes else self.text.get(i, "�").replace(MARK, " ").encode()
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
+    def decode_rows(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """Texts of rows of ids, which lie end to end from off."""
+        top = len(self._raw) - 1
+        raw = b"".join(map(self._raw.__getitem__, np.where((ids >= 0) & (ids < top), ids, top).tolist()))
+        size = np.append(0, np.cumsum(self._size[np.where((ids >= 0) & (ids < top), ids, top)]))[off].tolist()
+        texts = (raw[x:y].decode("utf-8", "replace") for x, y in zip(size[:-1], size[1:], strict=True))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_rows(ids, np.array([0, len(ids)]))[0]
 
 
 @lru_cache(1)
@@ -222,10 +290,9 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model_path)
         for batch in batches:
-            each = [pieces.encode(t) for t in batch.column(1).to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-            ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            ids, off = pieces.encode_column(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -236,7 +303,11 @@ def decode(encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model_path)
         for batch in batches:
-            texts = [None if ids is None else pieces.decode(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            rows = batch.column(1)
+            size = pc.list_value_length(rows).fill_null(0).to_numpy()
+            texts = pieces.decode_rows(rows.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(size)))
+            texts = pc.if_else(rows.is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["doc_id", "ids", "text"])
+        release()
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
