@@ -26,13 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, materialise
-from .text import word_dictionary
+from .text import Memo, joined_ids, word_dictionary
 
 #: Distinct words and parts of words whose ids a worker keeps; beyond that the older half goes.
 WORDS_KEPT = 800_000
@@ -59,8 +58,7 @@ class WordTokens:
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        # what is known: words and parts of words, and their ids end to end; Arrow keeps a million in some 100 MB
-        self.words, self.ids, self.ends = pa.array([""], pa.large_string()), np.zeros(0, "<i4"), np.zeros(1, np.int64)
+        self.memo = Memo(pa.large_string(), WORDS_KEPT)
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.parts = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")).findall
@@ -69,23 +67,6 @@ class WordTokens:
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for w, i in names.items() if w.endswith(end_of_word)]] = True
 
-    def _known(self, words: pa.Array) -> list[bytes | None]:
-        """Ids of those of the words that are known."""
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
-        raw, ends = self.ids.tobytes(), 4 * np.append(0, self.ends)
-        return [raw[x:y] if k >= 0 else None for k, x, y in zip(at.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
-
-    def _keep(self, words: list[str], ids: list[bytes]) -> None:
-        new = np.frombuffer(b"".join(ids), "<i4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
-        self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, len(self.ids) + np.cumsum(size)])
-        if (over := len(self.words) - WORDS_KEPT) > 0:  # the older half goes; "" comes back with the next text
-            over += WORDS_KEPT // 2
-            cut = self.ends[over - 1]
-            self.words = pa.concat_arrays([self.words.slice(over)])
-            self.ids, self.ends = self.ids[cut:].copy(), self.ends[over:] - cut
-
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(parts), 2048):
@@ -116,7 +97,7 @@ class WordTokens:
                 split.append((w, own := self.parts(low)))
                 for x in own:
                     parts[x] = None
-        found = self._known(pa.array(list(parts), pa.large_string()))
+        found = self.memo.known(pa.array(list(parts), pa.large_string()))
         parts = dict(zip(parts, found, strict=True)) | {"": b""}
         new = [x for x, ids in parts.items() if ids is None]
         parts |= zip(new, self._encode_parts(new), strict=True)
@@ -125,22 +106,21 @@ class WordTokens:
             own = odd[at : at + 4096]
             whole |= {w: np.array(x.ids, "<i4").tobytes() for w, x in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True)}
         fresh = [*new, *whole]
-        self._keep(fresh, [parts[x] for x in new] + [whole[w] for w in whole])
+        self.memo.keep(fresh, [parts[x] for x in new] + [whole[w] for w in whole])
         return parts | whole
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's first (offsets)."""
         codes, words, woff = word_dictionary(texts)
-        parts = self._known(words)
+        parts = self.memo.known(words)
         missing = [k for k, part in enumerate(parts) if part is None]
         if missing:
             names = words.take(pa.array(missing)).to_pylist()
             learnt = self._learn(names)
             for k, w in zip(missing, names, strict=True):
                 parts[k] = learnt[w]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids = np.frombuffer(b"".join(map(parts.__getitem__, codes.tolist())), "<i4")
-        return ids, np.concatenate([[0], np.cumsum(size[codes])])[woff]
+        ids, starts = joined_ids(parts, codes)
+        return ids, starts[woff]
 
 
 @lru_cache(1)
