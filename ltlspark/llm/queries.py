@@ -96,9 +96,42 @@ select page_id, host, path, rule, coalesce(v, 'allow') as verdict from parts lef
 """
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+OP2_SQL = f"""
+with w as (select row_number() over () as k, doc_id, {_words_sql("text")} as ws from documents),
+win as (select k, unnest(range(1, len(ws) - 33)) as i, ws from w where len(ws) >= 35),
+runs as (select k, i, array_to_string(ws[i:i + 34], ' ') as g from win),
+hits as (select k, i from runs where g in (select g from runs group by g having count(*) > 1)),
+gone as (select distinct k, i + j as p from hits, range(35) r(j)),
+each as (select k, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (select k, string_agg(word, ' ' order by p) as said from each anti join gone using (k, p) group by k),
+lost as (select k, count(*) as n from gone group by k)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256 from w left join kept using (k) left join lost using (k)
+"""
+
+OP6_SQL = f"""
+with recursive w as (select doc_id, {_words_sql(f"translate(text, {_LETTERS})")} as ws from documents),
+grams as (select doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+sets as (select distinct doc_id, g from grams),
+sizes as (select doc_id, count(*) as n from sets group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from sets a join sets b using (g) where a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * s.n >= 80 * (x.n + y.n - s.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select distinct a as doc_id, a as other from both_ways union select r.doc_id, e.b from reach r join both_ways e on e.a = r.other),
+lowest as (select doc_id, min(other) as c from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept from documents left join sizes using (doc_id) left join lowest using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_substring": OP2_SQL, "op5_topk": OP5_SQL, "op6_minhash": OP6_SQL, "op9_url_filter": OP9_SQL}
