@@ -129,9 +129,37 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(c, doc_id) as comp
 """
 
 
+OP10_SQL = f"""
+with templates(name, said) as (values {", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES.items())}),
+parts as (select name, unnest(regexp_extract_all(translate(said, {_LETTERS}), '[0-9a-z]+')) as w from templates),
+tw as (select name, w, count(*) as tf from parts group by all),
+docs as (select row_number() over () as k, doc_id, concat_ws('/', source, lang, doc_id::varchar) as path, concat_ws('/', source, lang) as dir, coalesce(text, '') as text from documents),
+lines as (select k, unnest(string_split(text, chr(10))) as said from docs),
+units as (select k, row_number() over (order by k) as u, said from lines union all select k, -k, text from docs),
+tok as (select k, u, unnest(regexp_extract_all(translate(said, {_LETTERS}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w from units),
+df as (select v.w, count(distinct t.k) as n from (select distinct w from tw) v left join (select k, w from tok where u < 0) t on t.w = v.w group by 1),
+idf as (select w, ln((1 + (select count(*) from docs))::double / (1 + n)) + 1 as x from df),
+rare as (select ln((1 + (select count(*) from docs))::double) + 1 as x),
+tf as (select k, u, tok.w, count(*) as n, any_value(idf.x) as x from tok left join idf on idf.w = tok.w group by k, u, tok.w),
+norms as (select k, u, sqrt(sum(case when x is null then n * (select x * x from rare) else (n * x) * (n * x) end)) as norm from tf group by 1, 2 having count(x) > 0),
+lengths as (select name, sqrt(sum((tf * x) * (tf * x))) as norm from tw join idf using (w) group by 1),
+dots as (select k, u, name, sum(tf.n * tf.x * tw.tf * tf.x) as dot from tf join tw on tw.w = tf.w group by 1, 2, 3),
+cosines as (select k, u, name, dot / n.norm / l.norm as c from dots join norms n using (k, u) join lengths l using (name)),
+ranked as (select *, row_number() over (partition by k, u < 0 order by c desc, name) as r from cosines),
+best as (select k, max(c) filter (u > 0) as lc, max(name) filter (u > 0) as lt, max(c) filter (u < 0) as wc, max(name) filter (u < 0) as wt from ranked where r = 1 group by 1),
+found as (select d.k, doc_id, path, dir, coalesce(lc, 0) as lc, coalesce(wc, 0) as wc,
+                 case when wc >= {licenses.WHOLE} and wc >= lc then wt when lc >= {licenses.HEADER} then lt when wc >= {licenses.WHOLE} then wt end as own, coalesce(wc >= {licenses.WHOLE}, false) as is_file from docs d left join best using (k)),
+given as (select dir, min(path) as p, arg_min(own, path) as l from found where is_file group by 1),
+near as (select f.k, arg_max(g.p, length(g.dir)) as p, arg_max(g.l, length(g.dir)) as l from found f join given g on g.dir = f.dir or g.dir = '' or starts_with(f.dir, g.dir || '/') group by 1)
+select doc_id, path, coalesce(own, l) as license, round(greatest(lc, wc), 9) as score,
+       case when own is not null then case when is_file then 'file' else 'header' end when p is not null then 'inherited' else 'none' end as origin, case when own is null then p end as license_path
+from found left join near using (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring": OP2_SQL, "op5_topk": OP5_SQL, "op6_minhash": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op2_substring": OP2_SQL, "op5_topk": OP5_SQL, "op6_minhash": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_license": OP10_SQL}
