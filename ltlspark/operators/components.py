@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import discard, materialise
 
 
+#: A graph of no more edges than this is solved by one task, which holds it whole (some tens of MB); a larger one by rounds of joins.
+SMALL = 250_000
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a whole graph by union and find; the smaller end of a link becomes the root."""
+    up: dict = {}
+    kind = None
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["node", "component"])
+
+
 def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -15,7 +43,7 @@ def _stamp(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").filter((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,13 +57,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node of an edge; component is the component's smallest node.
 
     Nodes are any orderable type without nulls; edges with a null end and loops
-    are left out, repeated edges count once, and no edge gives no row. Each round
+    are left out, repeated edges count once, and no edge gives no row. A graph of more
+    than SMALL edges goes through rounds of small and large stars. Each round
     is written to the shared folder and the one before it deleted; nothing but a count and a checksum reaches
     the driver. Stars of any size are aggregated before they are shuffled.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")).distinct()
     now = materialise(now, "edges")
     stamp = _stamp(now)
+    if stamp[0] <= SMALL:
+        kind = now.schema["a"].dataType
+        schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
+        solved = materialise(now.coalesce(1).mapInArrow(_solve, schema), "components")
+        discard(now)
+        return solved
     for _ in range(max_rounds):
         before, now = now, materialise(_small_star(_large_star(now)), "edges")
         discard(before)
