@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, materialise
-from .text import buffers, slices, word_dictionary
+from .text import buffers, release, slices, word_dictionary
 
 WORDS, CLASSES, DIM = 1024, 256, 16
 UNITS = WORDS + CLASSES
@@ -212,6 +212,7 @@ def _trained(head: pa.Array, share: np.ndarray):
         if n:
             blocks = [net.flat[at : at + _BLOCK].astype(float) * n for at in range(0, len(net.flat), _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([pid % 64] * len(blocks), pa.int32()), pa.array([float(n)] * len(blocks)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "v"])
+        release()
 
     return run
 
@@ -255,7 +256,7 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> tuple[Scorer, DataFrame
 def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(spark, 1024)
     sent = spark.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +285,7 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame, *, id_col: str = "
             names = words.take(pa.array(pair % (len(words) + 1))).cast(pa.string())
             lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), x) for x in (names, pa.array(times, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), *lists], names=["doc_id", "n_tokens", "known", "base", "s", "tail", "times"])
+        release()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = source.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, s double, tail array<string>, times array<long>")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, materialise
-from .text import Memo, joined_ids, word_dictionary
+from .text import Memo, joined_ids, release, word_dictionary
 
 #: Distinct words and parts of words whose ids a worker keeps; beyond that the older half goes.
 WORDS_KEPT = 800_000
@@ -232,6 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, max_len: int
             out.extend(_rows(rest, None, pid))
         if out:
             yield _batch(out)
+        release()
 
     def merge(key: tuple, leftovers: pa.Table) -> pa.Table:
         group, out, n = key[0].as_py(), [], 0
