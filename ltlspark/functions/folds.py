@@ -44,12 +44,13 @@ def itl_render(ast: str) -> Column:
 def ltl_render(ast: str, latex: bool = False) -> Column:
     """Formula text with every operand that has operands in parentheses (braces around unary operands in LaTeX)."""
     signs = LATEX if latex else SPOT
-    unary = lambda s: f"concat({_quoted(s + ' {')}, get(x, 0), '}}')" if latex else f"concat({_quoted(s + '(')}, get(x, 0), ')')"
+    before, after = (" {", "}") if latex else ("(", ")")
+    unary = lambda s: f"concat({_quoted(s + before)}, get(x, 0), '{after}')"
     side = lambda i: f"case when get(x, {i}) rlike '^[A-Za-z0-9_]+$' then get(x, {i}) else concat('(', get(x, {i}), ')') end"
     own = {}
     for k, s in signs.items():
         if k in ("not", "next", "always", "eventually"):
-            own[k] = unary(s).replace("}}", "}")
+            own[k] = unary(s)
         elif k in NARY:
             own[k] = f"array_join(transform(x, y -> case when y rlike '^[A-Za-z0-9_]+$' then y else concat('(', y, ')') end), {_quoted(' ' + s + ' ')})"
         else:
@@ -110,9 +111,45 @@ def sexpr(ast: str) -> Column:
     return fold(ast, "case when n.a = 0 then n.v when n.a = 1 then concat(n.k, '(', get(x, 0), ')') else concat('(', array_join(x, concat(' ', n.k, ' ')), ')') end")
 
 
+def operands(ast: str) -> Column:
+    """Texts of the root's operands, as the trees print themselves; none for an atom."""
+    said = "case when n.a = 0 then n.v when n.a = 1 then concat(n.k, '(', get(x, 0).said, ')') else concat('(', array_join(transform(x, y -> y.said), concat(' ', n.k, ' ')), ')') end"
+    node = f"named_struct('said', {said}, 'parts', transform(x, y -> y.said))"
+    return fold(ast, node, "struct<said:string,parts:array<string>>").getField("parts")
+
+
+def proposition(ast: str, role: str) -> Column:
+    """A part of a formula by its role: condition (of a unary root), left, right, antecedent, consequent; else 'the condition'.
+
+    antecedent and consequent are those of an implication under always; a consequent's own eventually is left out.
+    """
+    parts = operands(ast)
+    size = F.size(parts)
+    kind = F.expr(f"try_element_at({ast}, -1).k")
+    if role == "condition":
+        found = F.when(size == 1, F.get(parts, F.lit(0)))
+    elif role in ("left", "right"):
+        found = F.when(size == 2, F.get(parts, F.lit(int(role == "right"))))
+    elif role in ("antecedent", "consequent"):
+        inner = _operands_below(ast)
+        text = F.get(inner, F.lit(int(role == "consequent")))
+        if role == "consequent":
+            text = F.when(_last_is_eventually(ast), F.regexp_extract(text, r"(?s)^eventually\((.*)\)$", 1)).otherwise(text)
+        found = F.when((kind == "always") & (F.expr(f"try_element_at({ast}, -2).k") == "implies"), text)
+    else:
+        found = F.lit(None).cast("string")
+    return F.when(kind.isNotNull(), F.coalesce(found, F.lit("the condition")))
+
+
+def _operands_below(ast: str) -> Column:
+    """The operands of a unary root's operand: those of the array without its last node."""
+    return operands(f"slice({ast}, 1, greatest(size({ast}) - 1, 0))")
+
+
 def to_json(ast: str) -> Column:
     """Nested JSON of type, value and children."""
-    return fold(ast, "concat('{\"type\":\"', n.k, '\",\"value\":', case when n.v is null then 'null' else to_json(n.v) end, ',\"children\":[', array_join(x, ','), ']}')".replace("to_json(n.v)", "concat('\"', n.v, '\"')"))
+    value = "case when n.v is null then 'null' else concat('\"', n.v, '\"') end"
+    return fold(ast, f"concat('{{\"type\":\"', n.k, '\",\"value\":', {value}, ',\"children\":[', array_join(x, ','), ']}}')")
 
 
 def paren_depth(text: Column) -> Column:

@@ -7,6 +7,7 @@ argument, so a corpus with few formulas pays for those alone.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ltl import decide, itl, rewrite, treedist
-from ..ltl.ast import from_arena, to_arena
+from ..ltl.ast import from_arena, from_dict, to_arena
 from ..ltl.parse import ParseError, parse, show
 from ..schema import AST
 
@@ -80,6 +81,22 @@ def _rewriter(kind: str, body):
     return run
 
 
+def ast_from_json(text: Column) -> Column:
+    """The tree of nested JSON of type, value and children; null if it is none."""
+
+    @F.pandas_udf(AST)
+    def read(s: pd.Series) -> pd.Series:
+        out = []
+        for x in s:
+            try:
+                out.append(None if x is None else to_arena(from_dict(json.loads(x))))
+            except (ValueError, KeyError, TypeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return read(text)
+
+
 def ltl_canonical(ast: Column) -> Column:
     """Canonical text: simplified, flattened, operands sorted."""
     return _rewriter("string", lambda f: rewrite.canonical_text(f))(ast)

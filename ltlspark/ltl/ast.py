@@ -72,6 +72,17 @@ def from_arena(arena: list) -> Tree:
     return stack[0]
 
 
+def to_dict(f: Tree) -> dict:
+    """Nested type, value and children."""
+    return {"type": f[0], "value": f[1] if is_leaf(f) else None, "children": [to_dict(c) for c in children(f)]}
+
+
+def from_dict(d: dict) -> Tree:
+    if d["type"] not in KINDS or (d["type"] == "atom") == bool(d["children"]):
+        raise ValueError(f"not a formula: {d['type']!r}")
+    return ("atom", d["value"]) if d["type"] == "atom" else (d["type"], *map(from_dict, d["children"]))
+
+
 def atoms(f: Tree) -> list[str]:
     return sorted({n[1] for n in walk(f) if is_leaf(n) and n not in (TRUE, FALSE)})
 

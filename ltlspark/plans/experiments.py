@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import valid_pairs
@@ -57,3 +57,8 @@ def human_packet(pairs: DataFrame, k: int = 100, seed: int = 42) -> DataFrame:
 
     rated = fixed_sample(pairs, "item_id", k, seed).withColumn("ratings", F.create_map(*[x for n in ("accuracy", "fluency", "domain_fit") for x in (F.lit(n), F.lit(None).cast("int"))]))
     return rated.select("item_id", F.to_json(F.struct(*rated.columns)).alias("json"))
+
+
+def grid(spark: SparkSession, models: list[str], tasks: list[str]) -> DataFrame:
+    """One row for each run of a model on a task; both lists are short."""
+    return spark.createDataFrame([(m, t) for m in models for t in tasks], "model string, task string")

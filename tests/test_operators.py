@@ -213,3 +213,19 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
             up[max(a, b)] = min(a, b)
     got = dict(connected_components(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")).collect())
     assert got == {f"n{x:03}": f"n{top(x):03}" for x in list(up)}
+
+
+def test_json_and_roles(spark):
+    from ltlspark.ltl.ast import from_dict, to_dict
+
+    made = [parse(x) for x in ("G(p -> F(q))", "p U (q & r)", "F(G(p))", "p", "G(p -> q)")]
+    assert [from_dict(to_dict(f)) for f in made] == made
+    df = spark.createDataFrame([(k, [(n["k"], n["a"], n["v"]) for n in to_arena(f)]) for k, f in enumerate(made)], f"i int, ast {AST}").cache()
+    back = df.withColumn("j", folds.to_json("ast")).cache()
+    back.count()
+    assert back.select(F.count_if(udfs.ast_from_json(F.col("j")) == F.col("ast"))).first()[0] == 5
+    assert spark.range(1).select(udfs.ast_from_json(F.lit("{"))).first()[0] is None
+    roles = ["condition", "left", "right", "antecedent", "consequent", "other"]
+    got = [tuple(r) for r in df.orderBy("i").select(*[folds.proposition("ast", r) for r in roles]).collect()]
+    no = "the condition"
+    assert got == [("(p implies eventually(q))", no, no, "p", "q", no), (no, "p", "(q and r)", no, no, no), ("always(p)", no, no, no, no, no), (no,) * 6, ("(p implies q)", no, no, "p", "q", no)]
