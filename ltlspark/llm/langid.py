@@ -40,7 +40,7 @@ ROWS_PER_LANG = 400
 MAX_ROWS = 4096
 LANDMARKS = 256
 RIDGE = 1e-2
-#: Rows of a score's logit for one unit of regression output.
+#: Logits for one unit of the regression's output, for the softmax that makes a score.
 SHARPNESS = 12.0
 #: Rows and characters that are turned into presence rows at once.
 ROWS, CHARS = 64, 1 << 18

@@ -21,7 +21,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_S = {i: np.uint64(i) for i in (27, 29, 30, 31, 32)}
+_S = {i: np.uint64(i) for i in (27, 30, 31)}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
