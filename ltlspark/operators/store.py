@@ -41,7 +41,7 @@ def with_ids(new: DataFrame, order: list[str], start: int | Column = 0, id_col:
     sizes = part.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__p", before.alias("__before"))
-    return part.join(F.broadcast(starts), "__p").withColumn(id_col, F.col("__k") + F.col("__before") + 1 + start).drop("__p", "__k", "__before")
+    return part.join(starts, "__p").withColumn(id_col, F.col("__k") + F.col("__before") + 1 + start).drop("__p", "__k", "__before")
 
 
 def existing_keys(candidates: DataFrame, table: DataFrame, key: str, present: bool = True) -> DataFrame:
