@@ -104,7 +104,7 @@ def survivors(q: Side, c: Side, floor: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best distinct (score, id) of each query so far: copies of a row take one place."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
@@ -115,6 +115,9 @@ class Best:
         q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
         order = np.lexsort((ids, -score, q))
         q, ids, score = q[order], ids[order], score[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+        q, ids, score = q[new], ids[new], score[new]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = rank < self.k
         self.q, self.id, self.score = q[top], ids[top], score[top]

@@ -276,6 +276,14 @@ def test_top_k_on_odd_rows(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(df, is_query, k=5).collect())) == sorted(map(tuple, got))
 
 
+def test_copies_of_a_row_take_one_place(spark):
+    near = [(7, [9.0, 9.0])] * 12
+    others = [(k, [float(k), 1.0]) for k in range(1, 7)]
+    df = spark.createDataFrame([(0, [1.0, 1.0]), *near, *others, *near], "vec_id bigint, embedding array<double>").coalesce(1)
+    got = topk.top_k(df, lambda i: i == 0, k=5, scale=1).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 7, 18), (2, 6, 7), (3, 5, 6), (4, 4, 5), (5, 3, 4)]
+
+
 # --- 6 near-duplicates
 
 
