@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,12 +148,18 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, *, path_col: s
     source = files.select(*kept, F.col(text_col).cast("string").alias("text"))
     path = F.col(path_col)
     found = materialise(matches(source, templates), "licences")
-    slash = F.length(path) - F.instr(F.reverse(path), "/")
-    found = found.withColumn("__directory", F.when(F.instr(path, "/") > 0, F.substring(path, F.lit(1), slash)).when(path.isNotNull(), ""))
     header = F.col("__line_score") >= HEADER
     whole = F.col("__whole_score") >= WHOLE
     is_file = whole | (header & F.substring_index(path, "/", -1).rlike(NAMES))
     own = F.when(whole & (F.col("__whole_score") >= F.col("__line_score")), F.col("__whole_template")).when(header, F.col("__line_template")).when(whole, F.col("__whole_template"))
+    return inherit(found, kept, path_col, own, is_file, F.greatest("__line_score", "__whole_score"))
+
+
+def inherit(found: DataFrame, kept: list[str], path_col: str, own: Column, is_file: Column, score: Column) -> DataFrame:
+    """kept columns of found with license, score, origin and license_path; own, is_file and score are said of found's rows."""
+    path = F.col(path_col)
+    slash = F.length(path) - F.instr(F.reverse(path), "/")
+    found = found.withColumn("__directory", F.when(F.instr(path, "/") > 0, F.substring(path, F.lit(1), slash)).when(path.isNotNull(), ""))
     found = found.withColumns({"__own": own, "__is_file": F.coalesce(is_file, F.lit(False))})
 
     given = found.filter(F.col("__is_file") & F.col("__directory").isNotNull()).groupBy("__directory").agg(F.min(F.struct(path.alias("p"), F.col("__own").alias("l"))).alias("__given")).withColumnRenamed("__directory", "__above")
@@ -165,7 +171,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, *, path_col: s
     return out.select(
         *kept,
         F.coalesce("__own", "__given.l").alias("license"),
-        F.greatest("__line_score", "__whole_score").alias("score"),
+        score.alias("score"),
         F.when(F.col("__own").isNotNull(), F.when(F.col("__is_file"), "file").otherwise("header")).when(F.col("__given").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(F.col("__own").isNull(), F.col("__given.p")).alias("license_path"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import fingerprint, langid, licenses, lm, minhash, packing, pieces, substring, topk, urls
+from . import fingerprint, headers, langid, licenses, lm, minhash, packing, pieces, substring, topk, urls
 
 #: The rules that op9 judges by.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -80,9 +80,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files source/lang/doc_id."""
+    return licenses.scan(_files(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+def op10_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files against full licence texts, notices, titles and SPDX lines, in windows of words."""
+    return headers.scan(_files(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    return licenses.scan(files).withColumn("score", F.round("score", 9))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
 
 
 OP9_SQL = f"""

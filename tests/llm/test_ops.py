@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ltlspark.llm import fingerprint, langid, licenses, lm, minhash, packing, pieces, queries, substring, topk, urls
+from ltlspark.llm import fingerprint, headers, langid, licenses, lm, minhash, packing, pieces, queries, substring, topk, urls
 from ltlspark.llm import text as kernels
 
 TO_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -571,3 +571,29 @@ def test_licences_by_nearest_directory(spark):
     got = [(r["path"], r["license"], r["origin"], r["license_path"]) for r in licenses.scan(df).collect()]
     assert Counter(got) == Counter([("LICENSE", "MIT", "file", None), ("a/b/COPYING.txt", "GPL-3.0", "file", None), ("a/b/c/d.py", "GPL-3.0", "inherited", "a/b/COPYING.txt"), ("a/x.py", "MIT", "inherited", "LICENSE"), ("z.py", "MIT", "inherited", "LICENSE"), ("a/b/own.py", "MIT", "header", None), (None, None, "none", None), ("a/b/c/d.py", "GPL-3.0", "inherited", "a/b/COPYING.txt")])
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+PROSE = "some words of prose that follow in a file of no licence " * 30
+
+
+def licence_of(spark, scan, texts):
+    """license and origin of each text as the file k/LICENSE.txt."""
+    df = spark.createDataFrame([(f"{k}/LICENSE.txt", t) for k, t in enumerate(texts)] + [(f"p{k}/x.py", PROSE) for k in range(50)], "path string, text string")
+    got = {r["path"]: (r["license"], r["origin"]) for r in scan(df).collect()}
+    return [got[f"{k}/LICENSE.txt"] for k in range(len(texts))] + sorted({got[f"p{k}/x.py"] for k in range(50)})
+
+
+def test_full_texts_and_wrapped_headers(spark):
+    full = sorted(headers.TEXTS)
+    wrapped = [
+        ("BSD-3-Clause", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met."),
+        ("MIT", "// SPDX-License-Identifier: MIT"),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007"),
+        ("MIT", "MIT License"),
+        ("MIT", "Copyright Foo. Released under the MIT License."),
+        ("Apache-2.0", "\n".join(f" * {w}" for w in headers.NOTICES["Apache-2.0"].split())),
+    ]
+    texts = [headers.TEXTS[n] for n in full] + [f"{PROSE}\n{t}\n{PROSE}" for _, t in wrapped]
+    want = [(n, "file") for n in full + [n for n, _ in wrapped]] + [(None, "none")]
+    assert licence_of(spark, headers.scan, texts) == want
+    assert licence_of(spark, headers.scan, ["SPDX-License-Identifier: ISC", None, "", "The MIT press has a license."]) == [(None, "none")] * 5
