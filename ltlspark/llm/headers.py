@@ -5,9 +5,14 @@ left) from every word of a file, so line breaks, comment signs and text around a
 header do not count. Titles and SPDX lines must agree in every word; sentences and
 notices from HEADER on. A file is a licence file where its whole text is like a text
 or sentence from WHOLE on (it then has that licence, whatever licences its text
-mentions), or where it has a header and is named as one. Weights, directories, nulls
-and ties are as in licenses; score is that of the unit that gave the file its own
-licence, and null without one.
+mentions), or where it has a header and is named as one. Directories, nulls and ties
+are as in licenses; score is that of the unit that gave the file its own licence, and
+null without one.
+
+Weights are inverse document frequencies of all words over all files. The HEAD most
+frequent words and the templates' are sent to the executors; the rest count there at
+the least weight they can have, which only raises a cosine, and where a unit with
+such words may reach its threshold their counts are joined, so no count is cut off.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, materialise
-from .licenses import HEADER, NAMES, TEMPLATES, WHOLE, Vocabulary, _hashed, document_frequencies, inherit
+from .licenses import HEADER, NAMES, TEMPLATES, WHOLE, Vocabulary, _hashed, inherit
 from .text import slices
 
 # Texts and headers of well-known licences.
@@ -51,6 +56,8 @@ SAME = 1 - 1e-9
 LONGEST_HEADER = 300
 #: Windows whose words are counted at once.
 CHUNK = 4096
+#: Most frequent words that are sent to the executors, and words that a task counts before it gives them on.
+HEAD, HELD = 500_000, 1 << 20
 
 
 def templates() -> list[tuple[str, str, float, bool]]:
@@ -61,113 +68,211 @@ def templates() -> list[tuple[str, str, float, bool]]:
     return sorted(out, key=lambda x: x[0])
 
 
+def word_counts(files: DataFrame) -> DataFrame:
+    """(h, n): in how many of files(text) each word occurs; h null has the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(h, n):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        rows, held, n = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for _, _, data, off in slices(batch.column(0)):
+                h, _, woff = _hashed(data, off)
+                kinds, code = np.unique(h, return_inverse=True)
+                row = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+                new = np.bincount(np.unique(row * max(len(kinds), 1) + code) % max(len(kinds), 1), minlength=len(kinds))
+                held, at = np.unique(np.concatenate([held, kinds]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, new]), len(held)).astype(np.int64)
+                if len(held) > HELD:
+                    yield given(held, n)
+                    held, n = held[:0], n[:0]
+        yield given(held, n)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows])], names=["h", "n"])
+
+    return files.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
 class Scanner:
-    """Templates with the weights of words."""
+    """Templates with the weights of words; words that are not among hashes weigh low at least."""
 
-    def __init__(self, found: list[tuple[str, str, float, bool]], vocabulary: Vocabulary, idf: np.ndarray, rare: float):
+    def __init__(self, found: list[tuple[str, str, float, bool]], vocabulary: Vocabulary, hashes: np.ndarray, idf: np.ndarray, low: float):
         self.names = [n for n, *_ in found]
         self.least = np.array([x for _, _, x, _ in found])
         self.whole = np.flatnonzero([w for *_, w in found])
-        self.vocabulary, self.idf, self.rare = vocabulary, idf, rare
+        self.vocabulary, self.hashes, self.idf, self.low = vocabulary, hashes, idf, low
         self.words = vocabulary.tf.sum(axis=1).astype(int)
-        self.unit = vocabulary.tf * idf
+        self.unit = vocabulary.tf * idf[np.searchsorted(hashes, vocabulary.hashes)]
         self.unit /= np.maximum(np.linalg.norm(self.unit, axis=1, keepdims=True), 1e-300)
 
-    def best(self, data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(best cosine or 0, its template or -1) of each text: of its windows, and of the whole."""
+    def best(self, data: np.ndarray, off: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[list[dict]]]:
+        """(best cosine or 0, its template or -1) of each text, of its windows and of the whole; and units that other words decide."""
         n = len(off) - 1
         h, _, woff = _hashed(data, off)
         row = np.repeat(np.arange(n), np.diff(woff))
         kinds, code = np.unique(h, return_inverse=True)
         v = self.vocabulary.find(kinds)
-        idf = np.where(v >= 0, self.idf[v], self.rare) if len(self.idf) else np.full(len(kinds), self.rare)
-        parts = [self._windows(row, woff, code, v, idf), self._wholes(row, code, v, idf)]
-        out = []
-        for own, which, cos in parts:
+        at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+        tail = self.hashes[at] != kinds
+        idf = np.where(tail, self.low, self.idf[at])
+        out, undecided = [], [[] for _ in range(n)]
+        for whole, (own, which, cos, dot, words) in enumerate((self._windows(row, woff, code, v, idf, tail), self._wholes(row, code, v, idf, tail))):
             score, template = np.zeros(n), np.full(n, -1)
-            order = np.lexsort((which, -np.round(cos, 12), own))
-            first = order[np.unique(own[order], return_index=True)[1]]
-            score[own[first]], template[own[first]] = cos[first], which[first]
+            sure = np.array([w is None for w in words], bool)
+            o, w, c = own[sure], which[sure], cos[sure]
+            order = np.lexsort((w, -np.round(c, 12), o))
+            first = order[np.unique(o[order], return_index=True)[1]]
+            score[o[first]], template[o[first]] = c[first], w[first]
             out.append((score, template))
-        return out
+            for k in np.flatnonzero(~sure):
+                if cos[k] >= score[own[k]] - 1e-9:
+                    code_of, tf, norm = words[k]
+                    undecided[own[k]].append({"whole": bool(whole), "name": self.names[which[k]], "least": WHOLE if whole else float(self.least[which[k]]), "dot": float(dot[k]), "norm": norm, "tail": [{"h": int(x), "tf": int(y)} for x, y in zip(kinds[code_of].view(np.int64), tf, strict=True)]})
+        return out, undecided
 
-    def _windows(self, row, woff, code, v, idf):
-        """(text, template, cosine) of the windows that reach their template's threshold."""
+    def _windows(self, row, woff, code, v, idf, tail):
+        """(text, template, cosine, dot product, words outside the head) of the windows that may reach their template's threshold."""
         mass = np.append(0, np.cumsum((idf * idf)[code]))
-        known = np.append(0, np.cumsum(v[code] >= 0))
         end = woff[1:][row]
         start = np.arange(len(code))
-        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        found = _Found()
         by: dict[int, tuple] = {}
         for t in np.flatnonzero(self.least <= 1):
             size = int(self.words[t])
             if size not in by:
                 stop = np.minimum(start + size, end)
-                by[size] = stop, np.sqrt(np.maximum(mass[stop] - mass[:-1], 0)), known[stop] - known[:-1]
-            stop, norm, _ = by[size]
+                by[size] = stop, np.sqrt(np.maximum(mass[stop] - mass[:-1], 0))
+            stop, norm = by[size]
             weight = np.where(v >= 0, idf * self.unit[t][v], 0)[code]
             dot = np.append(0, np.cumsum(weight))
             # The norm without repetitions is at most the true one, so nothing is lost here.
             at = np.flatnonzero((dot[stop] - dot[:-1] >= self.least[t] * norm - 1e-6 * (1 + norm)) & (weight > 0))
             for k in range(0, len(at), CHUNK):
-                cos = self._exact(at[k : k + CHUNK], stop, code, idf, weight)
-                keep = cos >= self.least[t]
-                here = at[k : k + CHUNK][keep]
-                found.append((row[here], np.full(len(here), t), cos[keep]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    @staticmethod
-    def _exact(at, stop, code, idf, weight):
-        size = stop[at] - at
-        unit = np.repeat(np.arange(len(at)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + at[unit]
-        pair, tf = np.unique(unit * len(idf) + code[place], return_counts=True)
-        norm = np.bincount(pair // len(idf), (tf * idf[pair % len(idf)]) ** 2, len(at))
-        return np.bincount(unit, weight[place], len(at)) / np.sqrt(norm)
-
-    def _wholes(self, row, code, v, idf):
-        """(text, template, cosine) of whole texts from WHOLE on."""
+                here = at[k : k + CHUNK]
+                size_of = stop[here] - here
+                unit = np.repeat(np.arange(len(here)), size_of)
+                place = np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of) + here[unit]
+                found.add(t, self.least[t], row[here], unit, code[place], np.bincount(unit, weight[place], len(here)), idf, tail)
+        return found.all()
+
+    def _wholes(self, row, code, v, idf, tail):
+        """The same of whole texts that may reach WHOLE."""
         n = int(row[-1]) + 1 if len(row) else 0
-        pair, tf = np.unique(row * len(idf) + code, return_counts=True)
-        own, word = pair // max(len(idf), 1), pair % max(len(idf), 1)
+        size = max(len(idf), 1)
+        pair, tf = np.unique(row * size + code, return_counts=True)
+        own, word = pair // size, pair % size
         w = tf * idf[word]
         norm = np.sqrt(np.bincount(own, w * w, n))
         known = v[word] >= 0
         own, w, word = own[known], w[known], v[word[known]]
-        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        first = np.searchsorted(row, np.arange(n + 1))
+        found = _Found()
         for t in self.whole:
-            cos = np.bincount(own, w * self.unit[t][word], n) / np.maximum(norm, 1e-300)
-            at = np.flatnonzero(cos >= WHOLE)
-            found.append((at, np.full(len(at), t), cos[at]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            dot = np.bincount(own, w * self.unit[t][word], n)
+            at = np.flatnonzero(dot >= WHOLE * norm * (1 - 1e-9)) if n else np.zeros(0, int)
+            for text in at[norm[at] > 0]:
+                words = code[first[text] : first[text + 1]]
+                found.add(t, WHOLE, np.array([text]), np.zeros(len(words), int), words, dot[[text]], idf, tail)
+        return found.all()
+
 
+class _Found:
+    """Units that may be like a template."""
 
-def matches(files: DataFrame) -> DataFrame:
-    """files (all columns; the text last, named text) with __line_score, __line_template, __whole_score and __whole_template."""
-    arrow_rows(files.sparkSession)
+    def __init__(self):
+        self.parts, self.words = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))], []
+
+    def add(self, t, least, own, unit, code, dot, idf, tail) -> None:
+        pair, tf = np.unique(unit * len(idf) + code, return_counts=True)
+        unit, code = pair // len(idf), pair % len(idf)
+        mass, out = (tf * idf[code]) ** 2, tail[code]
+        cos = dot / np.sqrt(np.bincount(unit, mass, len(own)))
+        inside = np.bincount(unit[~out], mass[~out], len(own))
+        keep = np.flatnonzero(cos >= least - (1e-12 if least < SAME else 0))
+        self.parts.append((own[keep], np.full(len(keep), t), cos[keep], dot[keep]))
+        edge = np.searchsorted(unit, np.arange(len(own) + 1))
+        for k in keep:
+            part = slice(edge[k], edge[k + 1])
+            self.words.append((code[part][out[part]], tf[part][out[part]], float(inside[k])) if out[part].any() else None)
+
+    def all(self):
+        return *(np.concatenate(x) for x in zip(*self.parts, strict=True)), self.words
+
+
+def matches(files: DataFrame) -> tuple[DataFrame, DataFrame, int, bool]:
+    """Units, counts of words, number of files, and whether all words are in the head.
+
+    Units are files (all columns; the text last, named text) with __line_score, __line_template, __whole_score,
+    __whole_template and __undecided.
+    """
+    spark = files.sparkSession
+    arrow_rows(spark)
     found = templates()
     vocabulary = Vocabulary({k: t for k, (_, t, *_) in enumerate(found)})
-    n, df = document_frequencies(files.select("text"), vocabulary)
-    sent = files.sparkSession.sparkContext.broadcast(Scanner(found, vocabulary, np.log((1 + n) / (1 + df)) + 1, float(np.log(1 + n) + 1)))
+    counts = materialise(word_counts(files.select("text")), "words")
+    n = (counts.filter("h is null").first() or {"n": 0})["n"]
+    counts = counts.filter("h is not null")
+    room, least = HEAD, None
+    by_count = sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True)
+    for c, words in by_count:
+        if words > room:
+            break
+        room, least = room - words, c
+    complete = not by_count or least == by_count[-1][0]
+    most = by_count[0][0] if by_count else 0
+    below = most if least is None else least - 1
+    named = spark.createDataFrame([(int(x),) for x in vocabulary.hashes.view(np.int64)], "h long")
+    got = [counts.filter(F.col("n") > below).toArrow(), counts.join(F.broadcast(named), "h", "left_semi").toArrow()]
+    h = np.concatenate([*(t["h"].to_numpy().view(np.uint64) for t in got), vocabulary.hashes])
+    hashes, first = np.unique(h, return_index=True)
+    df = np.concatenate([*(t["n"].to_numpy() for t in got), np.zeros(len(vocabulary.hashes))])[first]
+    sent = spark.sparkContext.broadcast(Scanner(found, vocabulary, hashes, np.log((1 + n) / (1 + df)) + 1, float(np.log((1 + n) / (1 + below)) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for _, _, data, off in slices(batch.column("text")):
-                for k, (score, which) in enumerate(scanner.best(data, off)):
+                sure, undecided = scanner.best(data, off)
+                for k, (score, which) in enumerate(sure):
                     out[2 * k] += score.tolist()
                     out[2 * k + 1] += [scanner.names[x] if x >= 0 else None for x in which.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(out, (pa.float64(), pa.string()) * 2, strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in more)])
+                out[4] += undecided
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, t) for x, t in zip(out, (pa.float64(), pa.string(), pa.float64(), pa.string(), _UNDECIDED), strict=True))], names=[*batch.schema.names[:-1], *(f.name for f in more)])
 
     more = [T.StructField(f"__{unit}_{what}", t) for unit in ("line", "whole") for what, t in (("score", T.DoubleType()), ("template", T.StringType()))]
-    return files.mapInArrow(run, T.StructType([f for f in files.schema.fields if f.name != "text"] + more))
+    more.append(T.StructField("__undecided", T.ArrayType(T._parse_datatype_string("struct<whole: boolean, name: string, least: double, dot: double, norm: double, tail: array<struct<h: bigint, tf: bigint>>>"))))
+    return files.mapInArrow(run, T.StructType([f for f in files.schema.fields if f.name != "text"] + more)), counts, n, complete
+
+
+_UNDECIDED = pa.list_(pa.struct([("whole", pa.bool_()), ("name", pa.string()), ("least", pa.float64()), ("dot", pa.float64()), ("norm", pa.float64()), ("tail", pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())])))]))
+
+
+def decided(found: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """found, with the counts of the words outside the head joined to the units that hang on them."""
+    units = found.select("__rid", F.posexplode("__undecided").alias("__pos", "u"))
+    tails = units.select("__rid", "__pos", F.explode("u.tail").alias("t")).select("__rid", "__pos", F.col("t.h").alias("h"), F.col("t.tf").alias("tf"))
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
+    mass = tails.join(counts, "h").groupBy("__rid", "__pos").agg(F.sum((F.col("tf") * idf) ** 2).alias("mass"))
+    cos = units.join(mass, ["__rid", "__pos"]).select("__rid", "u.whole", "u.name", "u.least", (F.col("u.dot") / F.sqrt(F.col("u.norm") + F.col("mass"))).alias("cos")).filter("cos >= least")
+    order = F.struct((-F.round("cos", 12)).alias("c"), F.col("name"), F.col("cos").alias("score"))
+    best = cos.groupBy("__rid").agg(F.min(F.when(~F.col("whole"), order)).alias("__new_line"), F.min(F.when(F.col("whole"), order)).alias("__new_whole"))
+    out = found.join(best, "__rid", "left")
+    for unit in ("line", "whole"):
+        old = F.when(F.col(f"__{unit}_template").isNotNull(), F.struct((-F.round(f"__{unit}_score", 12)).alias("c"), F.col(f"__{unit}_template").alias("name"), F.col(f"__{unit}_score").alias("score")))
+        both = F.array_min(F.array_compact(F.array(old, f"__new_{unit}")))
+        out = out.withColumn("__both", both).withColumns({f"__{unit}_score": F.col("__both.score"), f"__{unit}_template": F.col("__both.name")})
+    return out
 
 
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """files, without the text, with license, score, origin (header, file, inherited or none) and license_path."""
     kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path")]
-    found = materialise(matches(files.select(*kept, F.col(text_col).cast("string").alias("text"))), "licences")
+    units, counts, n, complete = matches(files.select(*kept, F.col(text_col).cast("string").alias("text")))
+    found = materialise(units.withColumn("__rid", F.monotonically_increasing_id()), "licences")
+    if not complete:
+        found = decided(found, counts, n)
     own = F.coalesce("__whole_template", "__line_template")
     score = F.when(F.col("__whole_template").isNotNull(), F.col("__whole_score")).when(F.col("__line_template").isNotNull(), F.col("__line_score"))
     named = F.substring_index(F.col(path_col), "/", -1).rlike(NAMES)

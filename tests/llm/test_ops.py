@@ -597,3 +597,34 @@ def test_full_texts_and_wrapped_headers(spark):
     want = [(n, "file") for n in full + [n for n, _ in wrapped]] + [(None, "none")]
     assert licence_of(spark, headers.scan, texts) == want
     assert licence_of(spark, headers.scan, ["SPDX-License-Identifier: ISC", None, "", "The MIT press has a license."]) == [(None, "none")] * 5
+
+
+@pytest.mark.parametrize("head", [0, 12, 500_000])
+def test_weights_are_of_all_words(spark, monkeypatch, head):
+    import re
+
+    monkeypatch.setattr(headers, "HEAD", head)
+    common = "alpha beta gamma delta epsilon zeta eta theta"
+    own = [f"{common} {headers.TEXTS['MIT']}", f"{common} Released under the MIT License {common} once{head}", f"the released software under zeta MIT License", None]
+    texts = own + [f"{common} word{k}" for k in range(300)]
+    df = spark.createDataFrame([(k, f"{k}/x.py", t) for k, t in enumerate(texts)], "k int, path string, text string")
+    got = {r["k"]: r for r in headers.scan(df).collect()}
+    split = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+    seen = Counter(w for t in texts for w in set(split(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + seen[w])) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    size = lambda a: math.sqrt(sum(x * x for x in a.values()))
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / (size(a) * size(b)) if a else 0.0
+
+    for k, t in enumerate(texts[:8]):
+        ws, whole, line = split(t), [], []
+        for name, said, least, is_whole in headers.templates():
+            b = split(said)
+            whole += [(cosine(vector(ws), vector(b)), name)] if is_whole else []
+            line += [(c, name) for i in range(len(ws)) if (c := cosine(vector(ws[i : i + len(b)]), vector(b))) >= least]
+        top = max(whole, default=(0, ""))
+        want = top if top[0] >= headers.WHOLE else max(line, default=(None, None), key=lambda x: round(x[0], 12))
+        assert got[k]["license"] == want[1] and (want[0] is None) == (got[k]["score"] is None)
+        assert want[0] is None or abs(got[k]["score"] - want[0]) < 1e-9
