@@ -383,6 +383,13 @@ def test_window_is_bounded(vocabulary, library):
     assert ids == library.encode(t) and max(seen) <= 4 * vocabulary.longest
 
 
+def test_bulk_path_is_the_streaming_pass(vocabulary):
+    docs = documents(SMALL).text.dropna()
+    segments = sorted({("▁" + w)[: 2 * vocabulary.longest] for t in docs[:60] for w in t.split()} | {"▁", "▁▁a", "中中", "é" * 2 * vocabulary.longest})
+    got = [np.frombuffer(x, "<i4").tolist() for x in vocabulary._windows(segments)]
+    assert got == [list(vocabulary.stream([x])) for x in segments]
+
+
 def test_unigram_viterbi_against_all_segmentations():
     scores = {p: (k, -float(v)) for k, (p, v) in enumerate([("a", 3), ("b", 3), ("ab", 4), ("ba", 4.5), ("aba", 5.5), ("▁", 2), ("▁a", 3.5)])}
     model = pieces.Pieces(scores, [0] * 256, bpe=False)
