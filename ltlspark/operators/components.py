@@ -1,43 +1,81 @@
-"""Connected components of an edge table by alternating large and small stars (Kiveris et al., 2014)."""
+"""Connected components of an edge table: forests in every task, then large and small stars (Kiveris et al., 2014).
+
+A task contracts its edges, in packed arrays of at most CHUNK edges at a time, to
+stars around each tree's smallest node. A round connects every node's larger
+neighbours with its smallest one (large star) and a node with several parents to the
+smallest of them (small star), contracts again and writes once. It ends when no node
+has two parents or both a parent and children. The same steps run at every size.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import discard, materialise
 
-
-#: A graph of no more edges than this is solved by one task, which holds it whole (some tens of MB); a larger one by rounds of joins.
-SMALL = 250_000
+#: Edges that a task contracts at once; with the forest so far they take some 100 bytes each.
+CHUNK = 1 << 19
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's tree, for n nodes and edges (x, y)."""
+    up = np.arange(n)
+    while len(x):
+        x, y = up[x], up[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (over := up[up] != up).any():
+            up[over] = up[up[over]]
+    return up
+
+
+def _stars(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(node, smallest node of its tree) for every other node of a forest of the edges."""
+    both = pa.concat_arrays([a, b])
+    if pa.types.is_integer(both.type):
+        names, code = np.unique(both.to_numpy(), return_inverse=True)
+        names = pa.array(names, both.type)
+    else:
+        coded = both.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        names, code = coded.dictionary.take(order), rank[coded.indices.to_numpy()]
+    up = roots(len(names), code[: len(a)], code[len(a) :])
+    child = np.flatnonzero(up != np.arange(len(up)))
+    return names.take(pa.array(child)), names.take(pa.array(up[child]))
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of a whole graph by union and find; the smaller end of a link becomes the root."""
-    up: dict = {}
-    kind = None
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
 
-    def root(x):
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = up[x]
-        return x
+    def stars() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(_stars(*(c.combine_chunks() for c in whole.columns)), whole.schema, strict=True)], names=["a", "b"])
 
     for batch in batches:
-        kind = batch.schema.field(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-    if up:
-        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["node", "component"])
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= CHUNK:
+            held = [stars()]
+            size = held[0].num_rows
+            if 2 * size > CHUNK:  # the forest itself is large: send it on and begin anew
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield stars()
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _contracted(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_contract, edges.schema)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -47,36 +85,35 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    linked = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.union(least.select("a", F.col("m").alias("b")))
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one parent or children alone; stars has the larger node of an edge in a."""
+    seen = stars.select("a", F.col("b").alias("lo"), F.col("b").alias("hi"), F.lit(False).alias("up")).union(stars.select("b", F.lit(None), F.lit(None), F.lit(True)))
+    each = seen.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("up").alias("up"))
+    return each.filter("lo is not null and (up or lo != hi)").limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the component's smallest node.
 
-    Nodes are any orderable type without nulls; edges with a null end and loops
-    are left out, repeated edges count once, and no edge gives no row. A graph of more
-    than SMALL edges goes through rounds of small and large stars. Each round
-    is written to the shared folder and the one before it deleted; nothing but a count and a checksum reaches
-    the driver. Stars of any size are aggregated before they are shuffled.
+    Nodes are whole numbers, strings or other orderable values without nulls; edges
+    with a null end and loops are left out, repeated edges count once, and no edge
+    gives no row. Each round is written to the shared folder and the one before it
+    deleted; nothing but a flag reaches the driver. Neighbourhoods of any size are
+    aggregated before they are shuffled, and joins carry a node's smallest neighbour alone.
     """
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")).distinct()
-    now = materialise(now, "edges")
-    stamp = _stamp(now)
-    if stamp[0] <= SMALL:
-        kind = now.schema["a"].dataType
-        schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
-        solved = materialise(now.coalesce(1).mapInArrow(_solve, schema), "components")
-        discard(now)
-        return solved
+    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b"))
+    now = materialise(_contracted(now), "edges")
     for _ in range(max_rounds):
-        before, now = now, materialise(_small_star(_large_star(now)), "edges")
-        discard(before)
-        if (after := _stamp(now)) == stamp:
+        if _settled(now):
             break
-        stamp = after
+        before, now = now, materialise(_contracted(_small_star(_large_star(now))), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    stars = now.distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())

@@ -1,27 +1,33 @@
-"""Session helpers: where shared intermediate tables go, and how lineage is cut."""
+"""Session helpers: where shared intermediate tables go, how lineage is cut, and when the tables go."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only on one machine (tests), where the session names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints/ltlspark"
 #: Shuffle files go when the query that made them has ended, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it only a local master will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    The table survives lost executors, and what follows no longer depends on how it was made.
+    The table survives lost executors, and what follows no longer depends on how it was made. It lies there until
+    discard(), or else until the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,26 +38,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = (weakref.ref(out), path)
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if id(out) in _TABLES:
+        _LEFT.append(_TABLES[id(out)])
+    _TABLES[id(out)] = (weakref.ref(out), where.getFileSystem(sc._jsc.hadoopConfiguration()), where)
     return out
 
 
-#: Where tables of materialise() lie, for discard().
-_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+#: Where tables of materialise() lie: by the frame's id, itself, its file system and its path.
+_TABLES: dict[int, tuple] = {}
+#: Tables whose frame is gone, but which others may read.
+_LEFT: list[tuple] = []
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote for these, once nothing lazy reads it any more."""
     for df in tables:
-        ref, path = _PATHS.pop(id(df), (None, None))
+        ref, fs, where = _TABLES.get(id(df), (None, None, None))
         if ref is not None and ref() is df:
-            sc = df.sparkSession.sparkContext
-            where = sc._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            del _TABLES[id(df)]
+            fs.delete(where, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Results are lazy and read what is left; when the driver ends, nothing does."""
+    for _, fs, where in [*_TABLES.values(), *_LEFT]:
+        with contextlib.suppress(Exception):  # the gateway may have gone before
+            fs.delete(where, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 2048) -> None:
-    """Bound the rows of an Arrow batch of long texts; a smaller bound of the session stays."""
+    """Bound the rows of an Arrow batch of long texts; a smaller bound of the session stays.
+
+    Plans read the bound when they run, so it holds for the session from here on: smaller batches, equal results.
+    """
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -85,9 +85,7 @@ def test_store(spark):
     assert [r["n"] for r in store.with_ids(table, ["v"], 10, "n").orderBy("v").collect()] == [11, 12]
 
 
-@pytest.mark.parametrize("small", [0, 250_000])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(components, "SMALL", small)
+def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40) if k % 10 != 9] + [(100, 7), (7, 100), (5, 5), (None, 3), (200, 201)]
     got = dict(connected_components(spark.createDataFrame(edges, "a int, b int")).collect())
     assert got == {**{k: k // 10 * 10 for k in range(40)}, 100: 0, 200: 200, 201: 200}
@@ -193,11 +191,10 @@ def test_discard_deletes_what_was_written(spark):
     assert not __import__("os").path.exists(path) and other.count() == 2
 
 
-@pytest.mark.parametrize("small", [0, 250_000])
-def test_components_of_random_graphs(spark, monkeypatch, small):
+@pytest.mark.parametrize("parts", [1, 24])
+def test_components_of_random_graphs(spark, parts):
     import random
 
-    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
     up = {}
@@ -211,10 +208,27 @@ def test_components_of_random_graphs(spark, monkeypatch, small):
         if a != b:
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
-    got = dict(connected_components(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")).collect())
+    got = dict(connected_components(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string").repartition(parts)).collect())
     assert got == {f"n{x:03}": f"n{top(x):03}" for x in list(up)}
 
 
+def test_components_of_a_long_path_and_a_hub(spark):
+    path = spark.range(2000).selectExpr("id as a", "id + 1 as b").repartition(20, "a")
+    hub = spark.range(1, 3000).selectExpr("10000 + id as a", "10000L as b").repartition(20)
+    got = connected_components(path.union(hub)).groupBy("component").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 2001), (10000, 3000)]
+
+
+def test_a_task_contracts_in_bounded_chunks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "CHUNK", 8)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k]), pa.array([k + 1, 0])], names=["a", "b"]) for k in range(1, 40)]
+    got = pa.Table.from_batches(list(components._contract(iter(batches))))
+    assert got.num_rows >= 40 and set(got["b"].to_pylist()) >= {0} and all(x > y for x, y in zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert list(components._contract(iter([]))) == []
+
+
 def test_json_and_roles(spark):
     from ltlspark.ltl.ast import from_dict, to_dict
 
