@@ -334,6 +334,35 @@ def test_a_large_family_with_borderline_members(spark, monkeypatch):
     assert got == components(many, 4, 80)
 
 
+def test_a_chained_family_of_ten_thousand(spark):
+    """Each text is linked with its neighbours in the chain alone, the rest of the family is borderline or unlike."""
+    rng = np.random.default_rng(9)
+    chains, length, size = 20, 500, 96
+    rows, want = [], {}
+    for c in range(chains):
+        w = [f"c{c}w{k}" for k in range(size)]
+        for k in range(length):
+            doc = int(c * length + k)
+            at = (8 * k) % size
+            w[at : at + 8] = [f"c{c}k{k}x{x}" for x in range(8)]  # at most 11 of 93 shingles differ
+            rows.append((doc, " ".join(w)))
+            want[doc] = c * length
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(size - 3)} for _, t in rows]
+    linked = {a for a in range(1, len(rows)) if 100 * len(sets[a] & sets[a - 1]) >= 75 * len(sets[a] | sets[a - 1])}
+    assert linked == {a for a in range(len(rows)) if a % length}
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, shingle=4, percent=75).collect()}
+    assert got == want
+
+
+def test_one_id_with_two_texts_is_two_documents(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "xyz")
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, c), (5, a)]
+    got = sorted(tuple(r)[::2] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 900, np.uint64)
