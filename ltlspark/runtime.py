@@ -23,18 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED).rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, onto: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, or add it to an earlier table of its kind, and read it back.
 
     The table survives lost executors, and what follows no longer depends on how it was made. It lies there until
     discard(), or else until the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _TABLES.pop(id(onto))[2].toString() if onto is not None else f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("append").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
