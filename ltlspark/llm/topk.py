@@ -1,6 +1,6 @@
 """Operator 5: exact top-k by inner product with multi-resolution segment statistics.
 
-A vector is cut into 1, 2, 4, ... equal segments. With each segment's mean and root
+A vector is cut into 1, 4, 16, ... equal segments. With each segment's mean and root
 sum of squared deviations, |q - x|^2 is at least the sum over segments of
 n (mean_q - mean_x)^2 + (dev_q - dev_x)^2; as |q - x|^2 = |q|^2 + |x|^2 - 2 q.x, an
 inner product is at most the sum of n mean_q mean_x + dev_q dev_x. A level is one
@@ -8,15 +8,20 @@ matrix product of the statistics. Coarse to fine, a candidate goes on to the nex
 level only where its bound reaches the query's k-th best exact score so far, and
 the survivors' scores are exact integers.
 
-Queries go in blocks of at most BLOCK vectors, chosen by a hash of the id; a block
-is broadcast (BLOCK x dimension integers at most) with a floor for each query, its
-k-th best score among a first bounded set of rows, and every partition returns at
-most k rows a query that reach the floor.
+Distinct queries are written once, in blocks of about BLOCK vectors by a hash of id
+and vector, so that a hot id is dealt out. Blocks are run one after another: the
+driver holds one block, broadcasts it (BLOCK x dimension integers) with a floor for
+each query, its k-th best score among a first bounded set of rows, and destroys the
+broadcast once the block's result is written. Every partition returns at most k rows
+a query that reach the floor.
 
 Components become floor(scale * x), x as double. Vectors that are null, empty or
-hold a null or non-finite component take no part; vectors of different lengths do
-not meet. Scores are exact while they fit in 63 bits. Ties go to the smaller id. A
-row is never its own candidate: rows that share an id are one row to this rule.
+hold a null or non-finite component take no part, nor do rows with a null id; vectors
+of different lengths do not meet. Scores are exact while they fit in 63 bits. Ties go
+to the smaller id. A row is never its own candidate, nor is another row of its id.
+Repeated rows are rows: each copy of a candidate takes a place of its own, and a
+query id that has several rows gets the k best pairs of all its rows. An empty table
+gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows
+from ..runtime import arrow_rows, discard, materialise
 
 #: Queries of one block, and rows that the floors are taken from.
 BLOCK, FIRST = 16_384, 2_048
@@ -55,8 +60,8 @@ def vectors(column: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarr
 class Side:
     """Vectors of one length with their segment statistics by level."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x, n = ids, x, x.shape[1]
+    def __init__(self, ids: np.ndarray, x: np.ndarray, times: np.ndarray | None = None):
+        self.ids, self.x, self.times, n = ids, x, times, x.shape[1]
         self.levels = []
         parts = 1
         while parts < n:
@@ -104,7 +109,7 @@ def survivors(q: Side, c: Side, floor: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Best:
-    """The k best distinct (score, id) of each query so far: copies of a row take one place."""
+    """The k best (score, id) of each query so far; copies of a row take a place each."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None):
         self.k = k
@@ -115,9 +120,6 @@ class Best:
         q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
         order = np.lexsort((ids, -score, q))
         q, ids, score = q[order], ids[order], score[order]
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
-        q, ids, score = q[new], ids[new], score[new]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = rank < self.k
         self.q, self.id, self.score = q[top], ids[top], score[top]
@@ -138,49 +140,56 @@ class Best:
 
 
 def top_k(rows: DataFrame, is_query, *, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where is_query (a condition on id) holds, its k best other rows."""
+    """query_id, rank, vec_id, score: for each row where is_query (a condition on id) holds, its k best other rows.
+
+    Runs a job for each block of queries; the result is read from what they wrote.
+    """
     spark = rows.sparkSession
     arrow_rows(spark, 4096)
     source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    asked = source.filter(is_query(F.col("id")))
+    queries = source.filter(is_query(F.col("id"))).groupBy("id", "v").agg(F.count("*").alias("n"))
+    asked = materialise(queries.withColumn("h", F.xxhash64("id", "v")), "queries")
     blocks = max(1, math.ceil(asked.count() / (0.8 * BLOCK)))
     first = _sides(source.limit(FIRST).toArrow(), scale)
-    found = []
+    found = None
     for block in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        sides = _sides(own.toArrow(), scale)
+        sides = _sides(asked.filter(F.pmod("h", F.lit(blocks)) == block).select("id", "v", "n").toArrow(), scale)
         floors = {}
         for n, side in sides.items():
             best = Best(len(side.ids), k)
             if n in first:
                 best.search(side, first[n])
             floors[n] = best.floor
-        sent = spark.sparkContext.broadcast([(s.ids, s.x, floors[n]) for n, s in sides.items()])
-        found.append(source.mapInArrow(_search(sent, k, scale), "query_id long, vec_id long, score long"))
-    merged = found[0]
-    for other in found[1:]:
-        merged = merged.unionAll(other)
+        sent = spark.sparkContext.broadcast([(s.ids, s.x, s.times, floors[n]) for n, s in sides.items()])
+        hits = source.mapInArrow(_search(sent, k, scale), "query_id long, times long, vec_id long, score long")
+        # of a query row that stands for several, each pair counts as often
+        pairs = hits.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
+        found = materialise(_ranked(pairs, k), "found", onto=found)
+        sent.destroy()
+    discard(asked)
+    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best pairs of each query id; each partition sends on at most k of one."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("query_id", "vec_id", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _sides(found: pa.Table, scale: int) -> dict[int, Side]:
+    """Vectors of each length, with how many rows each stands for (a third column, or one)."""
     ids = found.column(0).to_numpy()
+    times = found.column(2).to_numpy() if found.num_columns > 2 else np.ones(len(ids), np.int64)
     held: dict[int, list] = {}
     for chunk, at in zip(found.column(1).chunks, np.cumsum([0, *map(len, found.column(1).chunks)]), strict=False):
         for own, x in vectors(chunk, scale):
-            held.setdefault(x.shape[1], []).append((ids[at + own], x))
-    out = {}
-    for n, parts in held.items():
-        each, x = (np.concatenate([p[k] for p in parts]) for k in range(2))
-        _, once = np.unique(each, return_index=True)
-        out[n] = Side(each[once], x[once])
-    return out
+            held.setdefault(x.shape[1], []).append((ids[at + own], x, times[at + own]))
+    return {n: Side(*(np.concatenate([p[k] for p in parts]) for k in range(3))) for n, parts in held.items()}
 
 
 def _search(sent, k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = {x.shape[1]: (Side(ids, x), floor) for ids, x, floor in sent.value}
+        sides = {x.shape[1]: (Side(ids, x, times), floor) for ids, x, times, floor in sent.value}
         best = {n: Best(len(side.ids), k, floor) for n, (side, floor) in sides.items()}
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -189,6 +198,7 @@ def _search(sent, k: int, scale: int):
                     best[n].search(sides[n][0], Side(ids[rows], x))
         for n, b in best.items():
             if len(b.q):
-                yield pa.RecordBatch.from_arrays([pa.array(sides[n][0].ids[b.q]), pa.array(b.id), pa.array(b.score)], names=["query_id", "vec_id", "score"])
+                side = sides[n][0]
+                yield pa.RecordBatch.from_arrays([pa.array(side.ids[b.q]), pa.array(side.times[b.q]), pa.array(b.id), pa.array(b.score)], names=["query_id", "times", "vec_id", "score"])
 
     return run

@@ -270,18 +270,43 @@ def test_top_k_on_odd_rows(spark, monkeypatch):
     is_query = lambda i: i % 50 == 0
     got = topk.top_k(df, is_query, k=5).collect()
     assert {(r["query_id"], r["vec_id"]) for r in got} == {(0, 1), (0, 50), (0, 8), (50, 0), (50, 1), (50, 8)}
-    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50] == [8, 0, 1]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50] == [8, 0, 1, 1]
     assert topk.top_k(df.limit(0), is_query).count() == 0
     monkeypatch.setattr(topk, "BLOCK", 1)
     assert sorted(map(tuple, topk.top_k(df, is_query, k=5).collect())) == sorted(map(tuple, got))
 
 
-def test_copies_of_a_row_take_one_place(spark):
-    near = [(7, [9.0, 9.0])] * 12
-    others = [(k, [float(k), 1.0]) for k in range(1, 7)]
-    df = spark.createDataFrame([(0, [1.0, 1.0]), *near, *others, *near], "vec_id bigint, embedding array<double>").coalesce(1)
-    got = topk.top_k(df, lambda i: i == 0, k=5, scale=1).orderBy("rank").collect()
-    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 7, 18), (2, 6, 7), (3, 5, 6), (4, 4, 5), (5, 3, 4)]
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_rows(spark, monkeypatch, parts):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    vectors = [[round(float(x), 3) for x in rng.normal(size=9)] for _ in range(40)]
+    copies = {0: 1, 1: 6, 2: 12, 50: 3, 51: 7, 100: 2}
+    frame = [(k, v) for k, v in enumerate(vectors) for _ in range(copies.get(k, 1))]
+    frame += [(50, vectors[3]), (50, vectors[4]), (100, vectors[5]), (100, vectors[5])] + [(k, vectors[k % 40]) for k in (51, 52, 53)] * 7
+    embeddings = pd.DataFrame(frame, columns=["vec_id", "embedding"])
+    want = duckdb.sql(queries.OP5_SQL).fetchall()
+    df = spark.createDataFrame(frame, "vec_id bigint, embedding array<float>").repartition(parts)
+    for block in (16_384, 2):
+        monkeypatch.setattr(topk, "BLOCK", block)
+        got = topk.top_k(df, lambda i: i % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    six = [(0, [1.0, 1.0]), *[(1, [9.0, 9.0])] * 6, *[(k, [float(k), 1.0]) for k in range(2, 9)]]
+    got = topk.top_k(spark.createDataFrame(six, "vec_id bigint, embedding array<double>").repartition(parts), lambda i: i == 0, scale=1).collect()
+    assert sorted(map(tuple, got)) == [(0, r, 1, 18) for r in range(1, 6)]
+
+
+def test_top_k_on_the_odd_table_and_long_vectors(spark, odd, none):
+    vectors = F.when(F.col("doc_id") != 3, F.array(F.lit(1.0), F.col("doc_id").cast("double")))
+    df = odd.withColumn("embedding", vectors).withColumn("query_id", F.lit(1)).withColumn("id", F.lit("x"))
+    got = topk.top_k(df, lambda i: i == 5, id_col="doc_id", scale=1).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 10, 51), (2, 9, 46), (3, 8, 41), (4, 7, 36), (5, 6, 31)]
+    assert topk.top_k(none.withColumn("embedding", vectors), lambda i: i == 5, id_col="doc_id").count() == 0
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(size=(6, 5000)) * 50)
+    got = topk.top_k(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>"), lambda i: i == 0, scale=1).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(n + 1, k, -s) for n, (s, k) in enumerate(sorted((-int(x[0] @ x[k]), k) for k in range(1, 6)))]
 
 
 # --- 6 near-duplicates
