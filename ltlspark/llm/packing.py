@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, materialise
-from .text import Memo, joined_ids, release, word_dictionary
+from .text import Memo, packed_ids, release, runs, with_missing, word_dictionary
 
 #: Distinct words and parts of words whose ids a worker keeps; beyond that the older half goes.
 WORDS_KEPT = 800_000
@@ -58,7 +58,7 @@ class WordTokens:
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.memo = Memo(pa.large_string(), WORDS_KEPT)
+        self.memo = Memo(WORDS_KEPT)
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
         self.parts = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")).findall
@@ -97,7 +97,7 @@ class WordTokens:
                 split.append((w, own := self.parts(low)))
                 for x in own:
                     parts[x] = None
-        found = self.memo.known(pa.array(list(parts), pa.large_string()))
+        found = self.memo.known_bytes(pa.array(list(parts), pa.large_string()))
         parts = dict(zip(parts, found, strict=True)) | {"": b""}
         new = [x for x, ids in parts.items() if ids is None]
         parts |= zip(new, self._encode_parts(new), strict=True)
@@ -105,21 +105,21 @@ class WordTokens:
         for at in range(0, len(odd), 4096):
             own = odd[at : at + 4096]
             whole |= {w: np.array(x.ids, "<i4").tobytes() for w, x in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True)}
+        parts |= whole
         fresh = [*new, *whole]
-        self.memo.keep(fresh, [parts[x] for x in new] + [whole[w] for w in whole])
-        return parts | whole
+        self.memo.keep(pa.array(fresh, pa.large_string()), *packed_ids([parts[x] for x in fresh]))
+        return parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and each row's first (offsets)."""
         codes, words, woff = word_dictionary(texts)
-        parts = self.memo.known(words)
-        missing = [k for k, part in enumerate(parts) if part is None]
-        if missing:
+        known = self.memo.known(words)
+        if len(missing := np.flatnonzero(known[2] < 0)):
             names = words.take(pa.array(missing)).to_pylist()
             learnt = self._learn(names)
-            for k, w in zip(missing, names, strict=True):
-                parts[k] = learnt[w]
-        ids, starts = joined_ids(parts, codes)
+            known = with_missing(known, missing, *packed_ids([learnt[w] for w in names]))
+        ids, first, size = known
+        ids, starts = runs(ids, first[codes], size[codes])
         return ids, starts[woff]
 
 

@@ -1,24 +1,30 @@
 """Operator 7: encoding and decoding with a SentencePiece vocabulary, streaming.
 
-A Viterbi pass keeps, for each position of a window bounded by the longest piece,
-the last piece of the best path that ends there, and commits ids as soon as the
-paths back from all positions still open meet on one boundary. Two kinds of model:
+One Viterbi pass reads characters as they come. An automaton names the pieces that
+end at each character; every position of the window holds the last piece of the best
+path that ends there. After each chunk the back pointers of the positions that a
+later piece may still start from (as many as the longest piece has characters) are
+followed until they meet on one boundary; what lies before it is committed, and only
+the rest is retained. Two kinds of model, as the vocabulary's file says:
 
 - unigram: the best path has the largest sum of piece scores;
 - BPE: the best path is the one that merging gives. A piece may follow another
   exactly if merging the two pieces' characters alone gives back the two; so each
-  position has one last piece, the longest that fits what stands before it, and
-  the same window and the same commits hold. (A sum of BPE scores, which are ranks,
-  would give other ids.)
+  position has one last piece, the longest that fits what stands before it. (A sum
+  of BPE scores, which are ranks, would give other ids.)
 
 White space becomes the mark U+2581, a text that is not empty gets one in front,
 characters without a piece become their UTF-8 bytes' pieces, and no other
 normalisation is done; models that ask for one are refused. Texts are cut where no
 piece has the two characters around the cut together (as a rule, before white space
-and around signs); equal segments are encoded once for a worker's memory of them.
-
-Null and empty texts have no ids. Decoding joins pieces, turns marks into spaces
-and byte pieces into bytes (invalid UTF-8 into U+FFFD), and drops the first mark.
+and around signs); of a batch, the distinct segments that a worker's memory does not
+know go through the pass one after another.
+
+Null and empty texts have no ids, and texts of any length are read whole. Repeated
+rows are encoded each, with equal ids; null ids stay null. An empty table gives no
+row. Extra columns are ignored. Decoding joins pieces, turns marks into spaces
+and byte pieces into bytes (invalid UTF-8 into U+FFFD), and drops the first mark;
+null ids have a null text.
 """
 
 from __future__ import annotations
@@ -34,11 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows
-from .text import Memo, buffers, joined_ids, release
+from .text import Memo, buffers, release, runs, with_missing
 
 MARK = "▁"
 #: Distinct segments whose ids a worker keeps, and pairs of pieces.
 SEGMENTS_KEPT, PAIRS_KEPT = 600_000, 300_000
+#: Characters that the window takes in before it commits.
+CHUNK = 1 << 14
+#: Parts the segments of a batch: half of a surrogate pair, which no text has.
+PART = "\ud800"
 
 
 class Pieces:
@@ -58,12 +68,9 @@ class Pieces:
         self._lengths = {i: len(p) for i, p in self._named.items()}
         self._many, self._pairs, self._automaton = len(self._raw) + 1, {}, None
         self._size = np.array([len(x) for x in self._raw])
-        self.memo = Memo(pa.large_binary(), SEGMENTS_KEPT)
-        self._follows: dict[tuple[str, str], bool] = {}
-        tails: dict[str, set[int]] = {}
-        for p in scores:
-            tails.setdefault(p[-2:], {1}).add(len(p))
-        self._sizes = {t: sorted(n, reverse=True) for t, n in tails.items()}
+        self.memo = Memo(SEGMENTS_KEPT)
+        self._worth = {i + 1: s for i, s in scores.values()}
+        self._unknown = min((s for _, s in scores.values()), default=0.0) - 10.0
         # no piece has these two ASCII characters (a space is the mark) together: a text may be cut between them
         self._cut = np.zeros((256, 256), bool)
         self._cut[:128, :128] = True
@@ -71,7 +78,6 @@ class Pieces:
             for x, y in zip(p[:-1].replace(MARK, " "), p[1:].replace(MARK, " "), strict=True):
                 if x < "\x80" and y < "\x80":
                     self._cut[ord(x), ord(y)] = False
-        self._whole = {p for p in scores if not bpe or self.merge(p) == [p]}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -87,8 +93,7 @@ class Pieces:
                 byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 scores[model.id_to_piece(i)] = (i, model.get_score(i))
-        ranks = sorted((s for _, s in scores.values()), reverse=True)
-        return cls(scores, byte_ids, bpe=all(s == round(s) for s in ranks[: len(ranks) // 2]), unk=model.unk_id())
+        return cls(scores, byte_ids, bpe=model_type(path) == 2, unk=model.unk_id())
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE merging, for short texts."""
@@ -103,66 +108,89 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, left: str, right: str) -> bool:
-        """Whether right may stand after left in a BPE encoding."""
-        if len(self._follows) > PAIRS_KEPT:
-            self._follows.clear()
-        got = self._follows[left, right] = self.merge(left + right) == [left, right]
-        return got
+    def stream(self, chunks: Iterable[str], retained: list[int] | None = None) -> Iterator[int]:
+        """Ids of a text that comes in chunks of any size; retained, if given, collects the window's sizes after each commit.
 
-    def stream(self, chunks: Iterable[str], seen: list[int] | None = None) -> Iterator[int]:
-        """Ids of a text that comes in chunks of any size; seen, if given, collects the window's sizes."""
-        window = ""  # characters from the last committed boundary
-        last = [""]  # last piece of the best path to each boundary of the window
-        score = [0.0]
-        before = ""  # the piece that was committed last
+        A PART has the id -1, and what follows it is a text of its own.
+        """
+        for ids in self._commits(chunks, retained):
+            yield from ids
+
+    def _commits(self, chunks: Iterable[str], retained: list[int] | None = None) -> Iterator[list[int]]:
+        """Lists of ids, as they are committed."""
+        # last: the number of the last piece of the best path to each boundary of the window, 0 for a character without one
+        window, last, score = "", [0], [0.0]
+        extend = self._extend_bpe if self.bpe else self._extend_unigram
         for chunk in chunks:
-            for at in range(0, len(chunk), self.longest):
-                part = chunk[at : at + self.longest]
-                (self._extend_bpe if self.bpe else self._extend_unigram)(window, part, last, before, score)
+            for at in range(0, len(chunk), CHUNK):
+                part = chunk[at : at + CHUNK]
+                # a piece that ends in the new part starts within the window; what it may have there is read again
+                start = max(0, len(window) - self.longest + 1)
+                text = window[start:] + part
+                extend(self._ending().iter(text), start, len(part), last, score)
                 window += part
-                j = len(window)
-                if seen is not None:
-                    seen.append(j)
-                if j > self.longest:
-                    paths = [self._back(last, k) for k in range(j - self.longest + 1, j + 1)]
-                    if common := max(set(paths[0]).intersection(*paths[1:])):
-                        yield from self._committed(last, common)
-                        before = last[common]
-                        window, last, score = window[common:], ["", *last[common + 1 :]], [s - score[common] for s in score[common:]]
-        yield from self._committed(last, len(window))
-
-    def _windows(self, segments: list[str]) -> list[bytes]:
-        """Ids of segments that each fit in the window: one step of the pass for all of them.
-
-        An automaton names the pieces that end at each character, longest first.
-        """
-        if not self.bpe:
-            return [self._window(s) for s in segments]
-        text = "\0".join(segments) + "\0"  # no piece has it, and what follows it starts anew
-        last, known, many = [0] * (len(text) + 1), self._pairs.get, self._many
-        for end, (n, piece) in self._ending().iter(text):
-            if not last[end + 1]:
-                prior = last[end + 1 - n]
+                if common := self._meeting(last, len(window)):
+                    yield self._path(window, last, common)
+                    window, last = window[common:], last[common:]
+                    score = [s - score[common] for s in score[common:]]
+                if retained is not None:
+                    retained.append(len(window))
+        yield self._path(window, last, len(window))
+
+    def _extend_bpe(self, walk: Iterator, start: int, n: int, last: list[int], score: list[float]) -> None:
+        done = len(last)
+        last += [0] * n
+        known, many = self._pairs.get, self._many
+        start += 1
+        for end, (size, piece) in walk:
+            j = end + start
+            if not last[j] and j >= done:
+                prior = last[j - size]
                 if prior and not ((ok := known(prior * many + piece)) or (ok is None and self._pair(prior, piece))):
                     continue
-                last[end + 1] = piece
-        out, start, sizes = [], 0, self._lengths
-        for segment in segments:
-            ids, j = [], start + len(segment)
-            while j > start:
-                if piece := last[j]:
-                    ids.append(piece - 1)
-                    j -= sizes[piece]
+                last[j] = piece
+
+    def _extend_unigram(self, walk: Iterator, start: int, n: int, last: list[int], score: list[float]) -> None:
+        done, unknown, worth = len(last), self._unknown, self._worth
+        for end, (size, piece) in walk:
+            if (j := end + 1 + start) >= done:
+                while len(last) <= j:
+                    last.append(0)
+                    score.append(score[-1] + unknown)
+                if (value := score[j - size] + worth[piece]) > score[j]:
+                    last[j], score[j] = piece, value
+        while len(last) < done + n:
+            last.append(0)
+            score.append(score[-1] + unknown)
+
+    def _meeting(self, last: list[int], end: int) -> int:
+        """The boundary at which the paths back from all open positions first meet."""
+        sizes = self._lengths.get
+        paths = set(range(max(0, end - self.longest + 1), end + 1))
+        while len(paths) > 1:
+            j = max(paths)
+            paths.remove(j)
+            paths.add(j - sizes(last[j], 1))
+        return paths.pop()
+
+    def _path(self, window: str, last: list[int], end: int) -> list[int]:
+        """Ids of the best path to a boundary."""
+        ids, sizes, j = [], self._lengths, end
+        while j > 0:
+            if piece := last[j]:
+                ids.append(piece - 1)
+                j -= sizes[piece]
+            else:
+                j -= 1
+                if window[j] == PART:
+                    ids.append(-1)
                 else:
-                    ids += list(self._ids(text[j - 1]))[::-1]
-                    j -= 1
-            ids.reverse()
-            out.append(array("i", ids).tobytes())
-            start += len(segment) + 1
-        return out
+                    ids += list(self._ids(window[j]))[::-1]
+        ids.reverse()
+        return ids
 
     def _pair(self, prior: int, piece: int) -> bool:
+        """Whether a piece may stand after another in a BPE encoding."""
         if len(self._pairs) > PAIRS_KEPT:
             self._pairs.clear()
         a, b = self._named[prior], self._named[piece]
@@ -170,58 +198,17 @@ class Pieces:
         return got
 
     def _ending(self):
+        """Names the pieces that end at each character, longest first; of BPE pieces, those that merging makes."""
         if self._automaton is None:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
-            for p in self._whole:
-                self._automaton.add_word(p, (len(p), self.scores[p][0] + 1))
+            for p, (i, _) in self.scores.items():
+                if not self.bpe or self.merge(p) == [p]:
+                    self._automaton.add_word(p, (len(p), i + 1))
             self._automaton.make_automaton()
         return self._automaton
 
-    def _window(self, text: str) -> bytes:
-        last: list[str] = [""]
-        self._extend_unigram("", text, last, "", [0.0])
-        return array("i", self._committed(last, len(text))).tobytes()
-
-    def _extend_bpe(self, window: str, part: str, last: list[str], before: str, score: list[float]) -> None:
-        sizes, whole, known, add, single = self._sizes.get, self._whole, self._follows.get, last.append, (1,)
-        text = window + part
-        for j in range(len(window) + 1, len(text) + 1):
-            for n in sizes(text[max(0, j - 2) : j], single):
-                if n == 1 or n <= j and text[j - n : j] in whole:
-                    piece = text[j - n : j]
-                    prior = last[j - n] or before
-                    if not prior or (ok := known((prior, piece))) or (ok is None and self.follows(prior, piece)):
-                        add(piece)
-                        break
-            else:
-                add(text[j - 1])
-
-    def _extend_unigram(self, window: str, part: str, last: list[str], before: str, score: list[float]) -> None:
-        text = window + part
-        for j in range(len(window) + 1, len(text) + 1):
-            best, gain = text[j - 1], -1e300
-            for n in self._sizes.get(text[max(0, j - 2) : j], (1,)):
-                if n <= j and ((hit := self.scores.get(piece := text[j - n : j])) or n == 1):
-                    if (value := score[j - n] + (hit[1] if hit else -100.0)) > gain:
-                        best, gain = piece, value
-            last.append(best)
-            score.append(gain)
-
-    @staticmethod
-    def _back(last: list[str], j: int) -> list[int]:
-        """Boundaries of the path to boundary j, from its end."""
-        out = [j]
-        while j:
-            j -= len(last[j])
-            out.append(j)
-        return out
-
-    def _committed(self, last: list[str], end: int) -> Iterator[int]:
-        for j in self._back(last, end)[-2::-1]:
-            yield from self._ids(last[j])
-
     def _ids(self, piece: str) -> Iterator[int]:
         hit = self.scores.get(piece)
         if hit is not None:
@@ -245,23 +232,27 @@ class Pieces:
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
         coded = raw.dictionary_encode()
         segments, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        parts = self.memo.known(segments)
-        missing = [k for k, part in enumerate(parts) if part is None]
-        if missing:
-            new = segments.take(pa.array(missing)).to_pylist()
-            texts = [x.decode().replace(" ", MARK) for x in new]
-            short = [k for k, t in enumerate(texts) if len(t) <= 2 * self.longest and "\0" not in t]
-            made = [None] * len(new)
-            for k, ids in zip(short, self._windows([texts[k] for k in short]), strict=True):
-                made[k] = ids
-            made = [array("i", self.stream([t])).tobytes() if ids is None else ids for t, ids in zip(texts, made, strict=True)]
-            for k, ids in zip(missing, made, strict=True):
-                parts[k] = ids
-            short = [k for k, x in enumerate(new) if len(x) <= 256]
-            self.memo.keep([new[k] for k in short], [made[k] for k in short])
-        ids, starts = joined_ids(parts, codes)
+        known = self.memo.known(segments)
+        if len(missing := np.flatnonzero(known[2] < 0)):
+            new = segments.take(pa.array(missing))
+            ids, size = self._segments([x.decode().replace(" ", MARK) for x in new.to_pylist()])
+            known = with_missing(known, missing, ids, size)
+            short = np.flatnonzero(pc.binary_length(new).to_numpy() <= 256)
+            ends = np.cumsum(size)
+            self.memo.keep(new.take(pa.array(short)), runs(ids, (ends - size)[short], size[short])[0], size[short])
+        ids, first, size = known
+        ids, starts = runs(ids, first[codes], size[codes])
         return ids, starts[np.searchsorted(cuts, off)]
 
+    def _segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments end to end, and how many each has: one pass over all of them."""
+        found = array("i")
+        for ids in self._commits([PART.join(segments), PART]):
+            found.extend(ids)
+        ids = np.frombuffer(found, np.int32).astype("<i4")
+        part = np.flatnonzero(ids < 0)
+        return ids[ids >= 0], np.diff(part, prepend=-1) - 1
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_column(pa.array([text], pa.string()))[0]
 
@@ -278,6 +269,16 @@ class Pieces:
         return self.decode_rows(ids, np.array([0, len(ids)]))[0]
 
 
+def model_type(path: str) -> int:
+    """trainer_spec.model_type of a model file, 1 unigram (also where it isn't set), 2 BPE, 3 word, 4 character."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model.trainer_spec.model_type
+
+
 @lru_cache(1)
 def loaded(path: str) -> Pieces:
     return Pieces.load(path)

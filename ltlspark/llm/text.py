@@ -80,10 +80,10 @@ def word_spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE)
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes, eight bytes a step."""
     size = ends - starts
-    h = mix(size.astype(np.uint64) + _K1)
+    h = mix(size.astype(np.uint64) + _K1 + np.uint64(seed))
     if not len(starts):
         return h
     padded = np.zeros(len(data) + 8, np.uint8)
@@ -159,36 +159,79 @@ def release() -> None:
         pass
 
 
+def runs(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[first : first + size] end to end, and where each starts (one more than runs)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 class Memo:
-    """Ids of distinct words, end to end in Arrow and numpy: a million takes some 100 MB. Beyond limit the older half goes."""
-
-    def __init__(self, kind: pa.DataType, limit: int):
-        self.kind, self.limit = kind, limit
-        self.words, self.ids, self.ends = pa.array([], kind), np.zeros(0, "<i4"), np.zeros(0, np.int64)
-
-    def known(self, words: pa.Array) -> list[bytes | None]:
-        """Ids of those of the words that are known."""
-        if not len(self.words):
-            return [None] * len(words)
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
-        raw, ends = self.ids.tobytes(), 4 * np.append(0, self.ends)
-        return [raw[x:y] if k >= 0 else None for k, x, y in zip(at.tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True)]
-
-    def keep(self, words: list, ids: list[bytes]) -> None:
-        """New words with their ids."""
-        new = np.frombuffer(b"".join(ids), "<i4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.words = pa.concat_arrays([self.words, pa.array(words, self.kind)])
-        self.ids, self.ends = np.concatenate([self.ids, new]), np.concatenate([self.ends, len(self.ids) + np.cumsum(size)])
-        if len(self.words) > self.limit:
-            over = len(self.words) - self.limit // 2
-            cut = self.ends[over - 1]
-            self.words = pa.concat_arrays([self.words.slice(over)])
-            self.ids, self.ends = self.ids[cut:].copy(), self.ends[over:] - cut
-
-
-def joined_ids(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of coded words one after another, and where each word's start (one more than words)."""
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    ids = np.frombuffer(b"".join(map(parts.__getitem__, codes.tolist())), "<i4")
-    return ids, np.concatenate([[0], np.cumsum(size[codes])])
+    """Ids of distinct words, by 128-bit hashes, in generations of sorted arrays: a million words take some 50 MB.
+
+    What a batch adds is merged with what is at most twice its size, so a word is moved
+    a logarithmic number of times, and a lookup costs by the batch, not by the memo. At half
+    the limit what is older goes.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.older, self.newer = limit, [], []
+
+    def __len__(self) -> int:
+        return sum(len(g[0]) for g in self.older + self.newer)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, off = buffers(words)
+        return word_hashes(data, off[:-1], off[1:]), word_hashes(data, off[:-1], off[1:], 1)
+
+    def known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each word's first among them and its number of them; the number is -1 for a word that is not known."""
+        first, size, held, n = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64), [np.zeros(0, "<i4")], 0
+        h, g = self._hashes(words)
+        order = np.argsort(h)
+        for low, high, at, many, ids in self.newer[::-1] + self.older[::-1]:
+            k = np.minimum(np.searchsorted(low, h[order]), len(low) - 1)
+            hit = (low[k] == h[order]) & (high[k] == g[order])
+            own, k = order[hit], k[hit]
+            found, ends = runs(ids, at[k], many[k])
+            first[own], size[own] = n + ends[:-1], many[k]
+            held.append(found)
+            n += len(found)
+            order = order[~hit]
+        return np.concatenate(held), first, size
+
+    def known_bytes(self, words: pa.Array) -> list[bytes | None]:
+        ids, first, size = self.known(words)
+        raw = ids.tobytes()
+        return [raw[x : x + n] if n >= 0 else None for x, n in zip((4 * first).tolist(), (4 * size).tolist(), strict=True)]
+
+    def keep(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        """New words with their ids, which lie end to end."""
+        if not len(words):
+            return
+        low, high = self._hashes(words)
+        now = self._sorted(low, high, np.cumsum(size) - size, size, ids)
+        while self.newer and len(self.newer[-1][0]) <= 2 * len(now[0]):
+            before = self.newer.pop()
+            at = np.concatenate([before[2], now[2] + len(before[4])])
+            now = self._sorted(*(np.concatenate([x, y]) for x, y in zip(before[:2], now[:2], strict=True)), at, *(np.concatenate([x, y]) for x, y in zip(before[3:], now[3:], strict=True)))
+        self.newer.append(now)
+        if sum(len(x[0]) for x in self.newer) > self.limit // 2:
+            self.older, self.newer = self.newer, []
+
+    @staticmethod
+    def _sorted(low, high, at, size, ids) -> tuple:
+        order = np.argsort(low)
+        return low[order], high[order], at[order], size[order], ids
+
+
+def packed_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, and how many each part has."""
+    return np.frombuffer(b"".join(parts), "<i4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+def with_missing(known: tuple, missing: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What Memo.known gave, with the ids of the words that were missing."""
+    held, first, many = known
+    first[missing], many[missing] = len(held) + np.cumsum(size) - size, size
+    return np.concatenate([held, ids]), first, many

@@ -430,18 +430,39 @@ def test_pieces_are_the_library_s(vocabulary, library, t):
     assert [i for i in vocabulary.stream(["▁" + t[: len(t) // 2].replace(" ", "▁"), t[len(t) // 2 :].replace(" ", "▁")])] == ids or not t
 
 
-def test_window_is_bounded(vocabulary, library):
-    t = "internationalization" * 300 + "=" * 1000
-    seen = []
-    ids = list(vocabulary.stream(["▁" + t], seen))
-    assert ids == library.encode(t) and max(seen) <= 4 * vocabulary.longest
-
-
-def test_bulk_path_is_the_streaming_pass(vocabulary):
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 14])
+def test_window_is_bounded(vocabulary, library, monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
+    t = "internationalization" * 300 + "=" * 1000 + "中😀" * 50
+    retained = []
+    ids = list(vocabulary.stream(["▁" + t], retained))
+    assert ids == library.encode(t) and max(retained) <= 3 * vocabulary.longest
+
+
+@pytest.mark.parametrize("chunk", [5, 1 << 14])
+def test_one_pass_over_segments(vocabulary, library, monkeypatch, chunk):
+    monkeypatch.setattr(pieces, "CHUNK", chunk)
     docs = documents(SMALL).text.dropna()
-    segments = sorted({("▁" + w)[: 2 * vocabulary.longest] for t in docs[:60] for w in t.split()} | {"▁", "▁▁a", "中中", "é" * 2 * vocabulary.longest})
-    got = [np.frombuffer(x, "<i4").tolist() for x in vocabulary._windows(segments)]
+    segments = sorted({("▁" + w) for t in docs[:60] for w in t.split()} | {"▁", "▁▁a", "中中", "\0", "a\0b", "é" * 80})
+    ids, size = vocabulary._segments(segments)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
     assert got == [list(vocabulary.stream([x])) for x in segments]
+    assert all(a == library.encode(s[1:]) for a, s in zip(got, segments) if s.startswith("▁") and not s.startswith("▁▁") and len(s) > 1)
+
+
+def test_memo_keeps_what_it_is_told():
+    memo = kernels.Memo(400)
+    want = {}
+    for k in range(60):
+        new = [f"w{k}_{i}" * (1 + i % 3) for i in range(k % 13)]
+        ids = [np.arange(i % 4, dtype="<i4") + 1000 * k + i for i in range(len(new))]
+        want |= zip(new, map(bytes, map(np.ndarray.tobytes, ids)))
+        memo.keep(pa.array(new, pa.large_string()), *kernels.packed_ids([x.tobytes() for x in ids]))
+        asked = [*new, "other", ""]
+        assert memo.known_bytes(pa.array(asked, pa.large_string())) == [*(want[x] for x in new), None, None]
+    assert 100 <= len(memo) <= 400
+    held = [x for x, y in zip(want, memo.known_bytes(pa.array(list(want), pa.large_string()))) if y is not None]
+    assert len(held) == len(memo) and held == list(want)[-len(held):]
 
 
 def test_unigram_viterbi_against_all_segmentations():
@@ -458,6 +479,7 @@ def test_unigram_viterbi_against_all_segmentations():
     for k in range(200):
         t = "▁" + "".join("ab"[k >> i & 1] for i in range(8)) * 3
         assert math.isclose(sum(cost[i] for i in model.stream([t])), best(t)[0])
+        assert list(model.stream([*t])) == list(model.stream([t])) == list(model.stream([t + pieces.PART + t]))[len(list(model.stream([t]))) + 1 :]
 
 
 def test_pieces_query(spark, library):
