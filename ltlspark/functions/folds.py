@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..ltl.ast import NARY
 from ..ltl.itl import TEMPLATES
 from ..ltl.parse import LATEX, SPOT
+from .text import let
 
 
 def fold(ast: str, node: str, kind: str = "string") -> Column:
@@ -91,14 +92,17 @@ def _shape(ast: str) -> Column:
 
 def classify(ast: str, compat: bool = False) -> Column:
     """Pattern class by the root's and its operands' kinds; compat tests invariance and eventuality first, which hides reactivity and stability."""
-    shape = _shape(ast)
     general = [("^always\\(", "invariance"), ("^eventually\\(", "eventuality")]
     special = [("^always\\(eventually\\(", "reactivity"), ("^eventually\\(always\\(", "stability")]
-    tests = [*(general if compat else special + general), ("^until\\(", "until"), ("^release\\(", "release")]
-    out = F.when(_last_is_eventually(ast), "response").when(shape.rlike("^weak_until\\(not\\("), "precedence")
-    for pattern, name in tests:
-        out = out.when(shape.rlike(pattern), name)
-    return out.otherwise(F.when(shape.isNotNull(), "general"))
+    tests = [("^weak_until\\(not\\(", "precedence"), *(general if compat else special + general), ("^until\\(", "until"), ("^release\\(", "release")]
+
+    def named(shape: Column) -> Column:
+        out = F
+        for pattern, name in tests:
+            out = out.when(shape.rlike(pattern), name)
+        return out.otherwise(F.when(shape.isNotNull(), "general"))
+
+    return F.when(_last_is_eventually(ast), "response").otherwise(let(_shape(ast), named))
 
 
 def _last_is_eventually(ast: str) -> Column:

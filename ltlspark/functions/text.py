@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..ltl.itl import FILLERS
 from ..schema import DOMAINS
 
 WHITE = " \t\n\r\f\v"
@@ -15,7 +17,11 @@ POSITIVE = [r"\bcorrect\b.*\btranslation\b", r"\baccurately\s+capture", r"\btrue
 NEGATIVE = [r"\bincorrect\b.*\btranslation\b", r"\bdoes\s+not\s+preserve\b", r"\bmisrepresents\b", r"\bnot\s+equivalent\b"]
 DEFAULT_ISSUE = "Temporal relationship not preserved"
 FAILED = "[Generation failed]"
-FILLERS = r"(?i)the condition |condition |the proposition |proposition |is true|holds|is satisfied|is met"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -71,32 +77,47 @@ def judge_parse(c: Column) -> Column:
     without is_correct is taken as false; a score outside 0..10 becomes null.
     """
     clean = strip(F.replace(F.replace(c, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
-    body = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    made = F.from_json(body, f"{VERDICT}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    is_json = (body != "") & made.isNotNull() & made["broken"].isNull()
-    said = F.lower(F.regexp_extract(clean, '(?i)is_correct[": ]*(true|false)', 1))
-    found = lambda ps: F.greatest(*[clean.rlike(f"(?i){p}") for p in ps])
-    verdict = F.when(said != "", said == "true").otherwise(found(POSITIVE) & ~found(NEGATIVE))
-    digits = F.regexp_extract(clean, r'(?i)score[": ]*(\d+)', 1)
-    score = F.when(digits != "", digits.try_cast("int")).otherwise(F.when(verdict, 8).otherwise(3))
-    inside = F.regexp_extract(clean, r'(?s)issues[": ]*\[(.*?)\]', 1)
-    quoted = F.transform(F.regexp_extract_all(inside, F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.btrim(x, F.lit(" \"'")))
-    plain = F.filter(F.transform(F.split(inside, ","), strip), lambda x: x != "")
-    listed = F.when(F.size(quoted) > 0, quoted).otherwise(plain)
-    issues = F.when((F.size(listed) == 0) & ~verdict, F.array(F.lit(DEFAULT_ISSUE))).otherwise(listed)
-    limited = lambda s: F.when(s.between(0, 10), s)
-    return F.when(
-        c.isNotNull(),
-        F.when(
-            is_json,
-            F.struct(F.coalesce(made["is_correct"], F.lit(False)).alias("is_correct"), limited(made["score"]).alias("score"), F.coalesce(made["issues"], F.array().cast("array<string>")).alias("issues"), made["reasoning"].alias("reasoning"), F.lit("json").alias("source")),
-        ).otherwise(F.struct(verdict.alias("is_correct"), limited(score).alias("score"), issues.alias("issues"), clean.alias("reasoning"), F.lit("text").alias("source"))),
-    )
+    return F.when(c.isNotNull(), let(clean, _from_clean))
+
+
+def _limited(score: Column) -> Column:
+    return F.when(score.between(0, 10), score)
+
+
+def _from_clean(clean: Column) -> Column:
+    def read(body: Column) -> Column:
+        made = F.when(body != "", F.from_json(body, f"{VERDICT}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+        return let(made, lambda m: F.when(m.isNotNull() & m["broken"].isNull(), _from_json(m)).otherwise(_from_text(clean)))
+
+    return let(F.regexp_extract(clean, r"(?s)(\{.*\})", 1), read)
+
+
+def _from_json(made: Column) -> Column:
+    issues = F.coalesce(made["issues"], F.array().cast("array<string>"))
+    return F.struct(F.coalesce(made["is_correct"], F.lit(False)).alias("is_correct"), _limited(made["score"]).alias("score"), issues.alias("issues"), made["reasoning"].alias("reasoning"), F.lit("json").alias("source"))
+
+
+def _from_text(clean: Column) -> Column:
+    found = lambda ps: clean.rlike("(?i)" + "|".join(ps))
+    field = lambda pattern, then: let(F.regexp_extract(clean, pattern, 1), then)
+
+    def issues(inside: Column) -> Column:
+        quoted = F.transform(F.regexp_extract_all(inside, F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.btrim(x, F.lit(" \"'")))
+        plain = F.filter(F.transform(F.split(inside, ","), strip), lambda x: x != "")
+        return let(quoted, lambda q: F.when(F.size(q) > 0, q).otherwise(plain))
+
+    def told(verdict: Column) -> Column:
+        score = field('(?i)score[": ]*(\\d+)', lambda d: F.when(d != "", d.try_cast("int")).otherwise(F.when(verdict, 8).otherwise(3)))
+        listed = let(field(r'(?s)issues[": ]*\[(.*?)\]', issues), lambda x: F.when((F.size(x) == 0) & ~verdict, F.array(F.lit(DEFAULT_ISSUE))).otherwise(x))
+        return F.struct(verdict.alias("is_correct"), let(score, _limited).alias("score"), listed.alias("issues"), clean.alias("reasoning"), F.lit("text").alias("source"))
+
+    verdict = field('(?i)is_correct[": ]*(true|false)', lambda said: F.when(said != "", F.lower(said) == "true").otherwise(found(POSITIVE) & ~found(NEGATIVE)))
+    return let(verdict, told)
 
 
 def clean_atom(c: Column) -> Column:
     """A proposition's text without filler phrases; its first one-letter word in lower case, if it has one."""
-    text = F.regexp_replace(c, FILLERS, "")
+    text = F.regexp_replace(c, f"(?i){FILLERS}", "")
     low = F.lower(text)
     short = F.btrim(text, F.lit(" ,.;:"))
     one = F.try_element_at(F.filter(F.split(short, r"\s+"), lambda w: w.rlike(r"^[a-z]$")), F.lit(1))
@@ -143,6 +164,19 @@ def mask_tokens(ids: Column, pad: int, ignore: int = -100) -> Column:
     return F.transform(ids, lambda x: F.when(x == ignore, pad).otherwise(x))
 
 
+# Sentences by a formula's pattern class. {p} and {q} are its operands (response: those of the implication;
+# reactivity and stability: the operand's operand; precedence: {p} without its negation).
+STRUCTURED = {
+    "response": ["Whenever {p} occurs, {q} will eventually follow", "Each time {p} happens, {q} will happen at some point afterward", "If {p} ever becomes true, then {q} must become true later"],
+    "precedence": ["{p} cannot occur before {q}", "{p} must be preceded by {q}", "Either {q} happens first, or {p} never happens"],
+    "invariance": ["At all times, {p} holds", "It is invariably the case that {p}", "{p} is true in every state"],
+    "eventuality": ["At some point, {p} will become true", "Eventually, {p} will hold", "In the future, {p} will be satisfied"],
+    "until": ["{p} holds until {q} becomes true", "{p} continues to be true until {q} occurs", "{p} remains valid until a point where {q} is satisfied"],
+    "release": ["{p} releases {q} from having to hold", "{q} holds until and including the moment {p} holds", "{q} must remain true until {p} becomes true, or forever if {p} never holds"],
+    "reactivity": ["{p} will occur infinitely often", "It is always the case that {p} will eventually happen", "At every point, {p} will occur sometime in the future"],
+    "stability": ["Eventually, {p} will hold forever", "At some point, {p} becomes permanently true", "There will be a time after which {p} is always satisfied"],
+}
+
 # What a paraphrase puts in a phrase's place.
 SIMPLE = [("Always,", "At all times,"), ("Always,", "Invariably,"), ("Eventually,", "At some point,"), ("Eventually,", "In the future,"), ("until", "holds until")]
 ADDITIONAL = [("Always,", "It is always the case that"), ("Always,", "In every state,"), ("Eventually,", "There will be a time when"), ("Eventually,", "Ultimately,"), ("In the next state,", "Immediately after this,")]
@@ -159,6 +193,11 @@ REPHRASE = {
 }
 
 
+def filled(template: str, **places: Column) -> Column:
+    """A template's text with columns in its {places}."""
+    return F.concat(*[places[part] if k % 2 else F.lit(part) for k, part in enumerate(re.split(r"\{(\w+)\}", template)) if part])
+
+
 def variations(c: Column, additional: bool = False) -> Column:
     """Distinct paraphrases by phrase replacement, those that apply."""
     made = [F.when(F.contains(c, F.lit(a)), F.replace(c, F.lit(a), F.lit(b))) for a, b in SIMPLE + (ADDITIONAL if additional else [])]

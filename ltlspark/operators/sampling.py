@@ -1,8 +1,10 @@
 """Samples, splits and balanced draws that depend on a seed and the rows' ids alone.
 
 Every choice is by rank of md5(seed, id). A rank is exact at any size without one
-task for a group: rows are ranked within (group, first bits of the hash), and the
-rows of the buckets before, a table of groups x BUCKETS counts, are added.
+task for a group: rows are ranked within (group, range of the hash), and the rows of
+the ranges before, a table of groups x ranges counts, are added. There are as many
+ranges as give each about BUCKET rows, by a count in the plan. Rows of one id share a
+range: ids are meant to tell rows apart.
 """
 
 from __future__ import annotations
@@ -10,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Rows of a range of hashes, over all groups.
+BUCKET = 100_000
 
 
 def md5_number(*parts: Column) -> Column:
@@ -21,7 +24,8 @@ def md5_number(*parts: Column) -> Column:
 def ranked(df: DataFrame, id_col: str, seed: int | str, group: list[str] | None = None, rank: str = "rank", size: str = "size") -> DataFrame:
     """df with the 1-based rank of md5(seed:id) within its group, and the group's size."""
     group = group or []
-    hashed = df.withColumn("__h", md5_number(F.lit(str(seed)), F.col(id_col))).withColumn("__b", F.floor(F.col("__h") / F.lit((1 << 32) // BUCKETS)).cast("int"))
+    width = df.agg(F.ceil(F.lit(1 << 32) / F.ceil((F.count("*") + 1) / BUCKET)).alias("__width"))
+    hashed = df.withColumn("__h", md5_number(F.lit(str(seed)), F.col(id_col))).join(F.broadcast(width)).withColumn("__b", F.floor(F.col("__h") / F.col("__width"))).drop("__width")
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(f"__g{k}") for k, g in enumerate(group)]
     names = [f"__g{k}" for k in range(len(group))]
     hashed = hashed.select("*", *keys)

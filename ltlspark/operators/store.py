@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise
 
+#: Ranges of the order that a running average is dealt out by.
+RANGES = 64
+
 
 def insert_ignore(existing: DataFrame | None, new: DataFrame, key: str, id_col: str) -> DataFrame:
     """The rows of new that a unique key lets in: of each key the smallest id, and no key that is there already.
@@ -19,10 +22,13 @@ def insert_ignore(existing: DataFrame | None, new: DataFrame, key: str, id_col:
 
 
 def update_by_key(table: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with columns taken from updates where it has the key (a null there is kept as the new value)."""
-    new = updates.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    """table with columns taken from updates where it has the key (a null there is kept as the new value).
+
+    Of updates that share a key the largest by the columns in order counts (null is least); a row is never multiplied.
+    """
+    new = updates.groupBy(key).agg(F.max(F.struct(*columns)).alias("__new"))
     joined = table.join(new, key, "left")
-    return joined.withColumns({c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
+    return joined.withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
 
 
 def add_missing_columns(table: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -54,6 +60,19 @@ def page(df: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
 
 
 def running_average(df: DataFrame, order: str, value: str, group: str) -> DataFrame:
-    """Average of value so far, by order, within each group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.avg(value).over(w))
+    """Average of value so far, by order (a number, date or time), within each group.
+
+    The order's values are cut into RANGES of about equal numbers of rows. Sums run within
+    (group, range) and start from the sums of the ranges before, a table of RANGES rows a group at
+    most, so a group that holds most rows is dealt out. A null value counts for nothing.
+    """
+    marks = [k / RANGES for k in range(1, RANGES)]
+    cuts = df.agg(F.percentile_approx(order, marks, F.lit(100 * RANGES)).alias("__cuts"))
+    placed = df.join(F.broadcast(cuts)).withColumn("__part", F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(order)))).drop("__cuts")
+    sums = placed.groupBy(group, "__part").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"))
+    joined = placed.join(before, placed[group].eqNullSafe(before["__g"]) & (placed["__part"] == before["__p"]))
+    w = Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    total, n = F.col("__s") + F.coalesce(F.sum(value).over(w), F.lit(0.0)), F.col("__n") + F.count(value).over(w)
+    return joined.withColumn("running", F.try_divide(total, n)).select(*df.columns, "running")

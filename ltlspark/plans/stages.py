@@ -1,4 +1,4 @@
-"""The corpus' stages as lazy plans: generate, convert, render, verify, translate, judge."""
+"""The corpus' stages as lazy plans: generate, convert, render, check, translate, judge."""
 
 from __future__ import annotations
 
@@ -151,24 +151,13 @@ def structured_paraphrases(df: DataFrame, ast: str, itl: str) -> DataFrame:
     kind = folds.classify(ast)
     operand = folds.fold(ast, "case when n.a = 0 then array(n.v) else array_append(transform(x, y -> element_at(y, -1)), case when n.a = 1 then concat(n.k, '(', element_at(x[0], -1), ')') else concat('(', array_join(transform(x, y -> element_at(y, -1)), concat(' ', n.k, ' ')), ')') end) end", "array<string>")
     one, two = F.try_element_at(F.col("__o"), F.lit(1)), F.try_element_at(F.col("__o"), F.lit(2))
-    first = F.col("__q")
-    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    strip_kind = lambda c: F.regexp_replace(c, r"^[a-z]+\((.*)\)$", "$1")
-    pair = F.regexp_extract(first, r"^\((.*) implies eventually\((.*)\)\)$", 1), F.regexp_extract(first, r"^\((.*) implies eventually\((.*)\)\)$", 2)
-    inner = strip_kind(one)
-    made = {
-        "response": [say("Whenever ", pair[0], " occurs, ", pair[1], " will eventually follow"), say("Each time ", pair[0], " happens, ", pair[1], " will happen at some point afterward"), say("If ", pair[0], " ever becomes true, then ", pair[1], " must become true later")],
-        "precedence": [say(strip_kind(one), " cannot occur before ", two), say(strip_kind(one), " must be preceded by ", two), say("Either ", two, " happens first, or ", strip_kind(one), " never happens")],
-        "invariance": [say("At all times, ", one, " holds"), say("It is invariably the case that ", one), say(one, " is true in every state")],
-        "eventuality": [say("At some point, ", one, " will become true"), say("Eventually, ", one, " will hold"), say("In the future, ", one, " will be satisfied")],
-        "until": [say(one, " holds until ", two, " becomes true"), say(one, " continues to be true until ", two, " occurs"), say(one, " remains valid until a point where ", two, " is satisfied")],
-        "release": [say(one, " releases ", two, " from having to hold"), say(two, " holds until and including the moment ", one, " holds"), say(two, " must remain true until ", one, " becomes true, or forever if ", one, " never holds")],
-        "reactivity": [say(inner, " will occur infinitely often"), say("It is always the case that ", inner, " will eventually happen"), say("At every point, ", inner, " will occur sometime in the future")],
-        "stability": [say("Eventually, ", inner, " will hold forever"), say("At some point, ", inner, " becomes permanently true"), say("There will be a time after which ", inner, " is always satisfied")],
-    }
-    out = df.withColumn("pattern", kind).withColumn("__o", F.slice(operand, F.lit(1), F.greatest(F.size(operand) - 1, F.lit(0)))).withColumn("__q", one)
+    bare = lambda c: F.regexp_replace(c, r"^[a-z]+\((.*)\)$", "$1")
+    implied = r"^\((.*) implies eventually\((.*)\)\)$"
+    places = {"response": (F.regexp_extract(one, implied, 1), F.regexp_extract(one, implied, 2)), "precedence": (bare(one), two), "reactivity": (bare(one), two), "stability": (bare(one), two)}
+    out = df.withColumn("pattern", kind).withColumn("__o", F.slice(operand, F.lit(1), F.greatest(F.size(operand) - 1, F.lit(0))))
     phrases = None
-    for name, sentences in made.items():
-        phrases = (F.when if phrases is None else phrases.when)(F.col("pattern") == name, F.array(*sentences))
+    for name, sentences in text.STRUCTURED.items():
+        p, q = places.get(name, (one, two))
+        phrases = (F.when if phrases is None else phrases.when)(F.col("pattern") == name, F.array(*[text.filled(s, p=p, q=q) for s in sentences]))
     phrases = phrases.otherwise(F.array(F.col(itl), text.rephrase(F.col(itl))))
-    return out.withColumn("phrase", F.explode(F.array_distinct(F.array_compact(phrases)))).drop("__o", "__q")
+    return out.withColumn("phrase", F.explode(F.array_distinct(F.array_compact(phrases)))).drop("__o")

@@ -328,14 +328,12 @@ def fraction_sample(spark, d):
 
 
 @query(
-    f"""select translation_id, domain from (select *, row_number() over (order by {_H.format(42, 'translation_id')}, translation_id) as k, count(*) over () as n from
-    (select min(t.id) as translation_id, min(t.domain) as domain from translations t join itl i on t.formula_id = i.formula_id and t.itl_id = i.id where t.id not in (select translation_id from results) group by t.id having count(*) = 1)) where k * 100 <= n * 18""",
-    "itl", "translations", "results",
+    f"""select translation_id from (select *, row_number() over (order by {_H.format(42, 'translation_id')}, translation_id) as k, count(*) over () as n from
+    (select t.id as translation_id from translations t join itl i on t.formula_id = i.formula_id and t.itl_id = i.id join formulas f on f.id = t.formula_id where t.id not in (select translation_id from results))) where k * 100 <= n * 18""",
+    "formulas", "itl", "translations", "results",
 )
 def judge_candidates(spark, d):
-    t = frame(spark, d, "translations")
-    once = t.groupBy("id").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in t.columns if c != "id"]).filter("n = 1").drop("n")
-    return corpus.judge_candidates(frame(spark, d, "formulas"), frame(spark, d, "itl"), once, frame(spark, d, "results")).select("translation_id", "domain")
+    return corpus.judge_candidates(*(frame(spark, d, n) for n in ("formulas", "itl", "translations", "results"))).select("translation_id")
 
 
 @query(f"select doc_id, source from documents order by {_H.format(42, 'doc_id')}, doc_id limit 100")
@@ -401,11 +399,11 @@ def tag_extract(spark, d):
 
 
 @query(
-    """select conv_id, turn, case when turn % 4 <> 3 and trim(left(text, 40), ' \t\n\r\f\v') <> '' then 'Robotics' end as domain, case when turn % 4 <> 3 and trim(left(text, 40), ' \t\n\r\f\v') <> '' then trim(left(text, 40), ' \t\n\r\f\v') end as translation
+    """select conv_id, turn, case when turn % 4 <> 3 and trim(text, ' \t\n\r\f\v') <> '' then 'Robotics' end as domain, case when turn % 4 <> 3 and trim(text, ' \t\n\r\f\v') <> '' then trim(text, ' \t\n\r\f\v') end as translation
     from conversations"""
 )
 def tagged_response(spark, d):
-    reply = F.concat(F.lit("<domain>robotics systems and Robotics</domain>\n<activity> a </activity><translation>"), F.substring("text", 1, 40), F.lit("</translation>"))
+    reply = F.concat(F.lit("<domain>robotics systems and Robotics</domain>\n<activity> a </activity><translation>"), F.col("text"), F.lit("</translation>"))
     full = F.when(F.col("turn") % 4 == 3, F.lit("<domain>x</domain>")).otherwise(reply)
     return table(spark, d, "conversations").withColumn("r", text.response(full)).select("conv_id", "turn", "r.domain", "r.translation")
 
@@ -470,9 +468,9 @@ def durations(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.duration(F.col("l_extendedprice")).alias("took"))
 
 
-@query("select vec_id, list_transform(embedding[1:8], lambda x: case when floor(x * 10) = -1 then 0 else floor(x * 10)::int end)::varchar as ids from embeddings")
+@query("select vec_id, list_transform(embedding, lambda x: case when floor(x * 10) = -1 then 0 else floor(x * 10)::int end)::varchar as ids from embeddings")
 def mask_tokens(spark, d):
-    ids = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 10).cast("int"))
+    ids = F.transform("embedding", lambda x: F.floor(x * 10).cast("int"))
     masked = text.mask_tokens(ids, 0, -1)
     return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(masked, ", "), F.lit("]")).alias("ids"))
 
@@ -564,7 +562,7 @@ for _name, _context in (("task_rows", True), ("task_rows_without_context", False
     _SQL[_name] = with_tables("", *_SQL_TASKS).rstrip() + _task_sql(_context)
 
 
-_GRAMS = """tok as (select conv_id * 1000 + turn as id, string_split(trim(lower(regexp_replace(p, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), ' ') as p, string_split(trim(lower(regexp_replace(r, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), ' ') as r from ({turns})),
+_GRAMS = """tok as (select conv_id * 4294967296 + turn as id, string_split(trim(lower(regexp_replace(p, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), ' ') as p, string_split(trim(lower(regexp_replace(r, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))), ' ') as r from ({turns})),
     n as (select unnest([1, 2, 3, 4]) as n),
     gp as (select id, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ' '))) as g from tok, n where len(p) >= n),
     gr as (select id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) as g from tok, n where len(r) >= n),
@@ -576,7 +574,7 @@ _GRAMS = """tok as (select conv_id * 1000 + turn as id, string_split(trim(lower(
     f"with {_GRAMS.format(turns=_TURNS)} select (select sum(len(p)) from tok)::bigint as cp, (select sum(len(r)) from tok)::bigint as cr, round(case when (select count(*) from by_n where hit > 0) = 4 then (case when (select sum(len(p)) from tok) > (select sum(len(r)) from tok) then 1.0 else exp(1 - (select sum(len(r)) from tok)::double / (select sum(len(p)) from tok)) end) * exp((select avg(ln(hit / total)) from by_n)) else 0.0 end, 9) as bleu"
 )
 def bleu_corpus(spark, d):
-    return metrics.bleu(_turns(spark, d).withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "id", "p", "r").withColumn("bleu", _r("bleu", 9))
+    return metrics.bleu(_turns(spark, d).withColumn("id", F.col("conv_id") * (1 << 32) + F.col("turn")), "id", "p", "r").withColumn("bleu", _r("bleu", 9))
 
 
 @query()
@@ -625,8 +623,8 @@ def itl_by_depth(spark, d):
 
 @query(_gold_sql("canonical_key, compat_key", [(k, rewrite.key(f), rewrite.compat_key(f)) for k, f in enumerate(_PARSED)], "o_orderkey, canonical_key, compat_key, sha256(compat_key) as compat_hash"))
 def ltl_keys(spark, d):
-    key = folds.ltl_key("ast", compat=True)
-    return _trees(spark, d).select("o_orderkey", folds.ltl_key("ast").alias("canonical_key"), key.alias("compat_key"), F.sha2(key, 256).alias("compat_hash"))
+    keys = _trees(spark, d).select("o_orderkey", folds.ltl_key("ast").alias("canonical_key"), folds.ltl_key("ast", compat=True).alias("compat_key"))
+    return keys.withColumn("compat_hash", F.sha2("compat_key", 256))
 
 
 @query(_gold_sql("canonical_hash, compat_hash", [(k, rewrite.canonical_hash(f), rewrite.canonical_hash(f, True)) for k, f in enumerate(_PARSED)], "o_orderkey, canonical_hash, compat_hash"))
@@ -667,7 +665,7 @@ _FAIL = {"!q W p"}
 
 
 @query(_gold_sql("reconstructed, is_correct", [(k, b, ltl not in _FAIL) for k, ((ltl, _, _), b) in enumerate(zip(GOLDEN, _BACK, strict=True))], "o_orderkey, reconstructed, is_correct"))
-def roundtrip_verify(spark, d):
+def roundtrip_check(spark, d):
     rows = [(k, ltl, itl) for k, (ltl, itl, _) in enumerate(GOLDEN)]
     df = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 31).cast("int").alias("k")).join(_golden(spark, "k int, formula string, itl_text string", rows), "k")
     return stages.verified(df).select("o_orderkey", "reconstructed", "is_correct")
@@ -779,7 +777,7 @@ def ltl_metrics(spark, d):
 
 @query()
 def human_packet(spark, d):
-    return experiments.human_packet(_turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), F.col("p").alias("prediction"), F.col("r").alias("reference")))
+    return experiments.human_packet(_turns(spark, d).select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("item_id"), F.col("p").alias("prediction"), F.col("r").alias("reference")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The columns of the corpus' tables.
 AST = "array<struct<k:string,a:int,v:string>>"
 FORMULAS = "id bigint not null, formula string not null, latex string not null, canonical_hash string not null, depth int not null, spot_formulas string, canonical_form string"
 ITL = "id bigint not null, formula_id bigint not null, itl_text string not null, canonical_form boolean not null, generation_method string not null, verified boolean, is_correct boolean, verification_errors string"

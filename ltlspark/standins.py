@@ -34,7 +34,7 @@ SQL = {
     "results": """select cast(l_orderkey * 10 + 2 as bigint) as translation_id, l_quantity > 20 as is_correct, cast(l_quantity as int) % 12 as score, l_extendedprice / 1000 as verification_time
         from lineitem where l_linenumber = 2""",
     # predictions: the variants of an item are the turns of a conversation
-    "predictions": """select 'ltl_to_nl' as task, case when turn % 2 = 0 then 'direct' else 'two_stage' end as variant, cast(conv_id * 1000 + floor(turn / 2) as bigint) as item_id,
+    "predictions": """select 'ltl_to_nl' as task, case when turn % 2 = 0 then 'direct' else 'two_stage' end as variant, cast(conv_id * 4294967296 + floor(turn / 2) as bigint) as item_id,
         case when conv_id % 19 = 0 then '[Generation failed]' else role end as prediction, 'user' as reference, cast(conv_id % 13 as string) as domain,
         cast(conv_id % 5 as int) as depth, cast(conv_id % 17 as int) as operators, cast(conv_id % 4 as int) as propositions from conversations where turn is not null""",
 }
