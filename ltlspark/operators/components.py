@@ -1,10 +1,11 @@
-"""Connected components of an edge table: forests in every task, then large and small stars (Kiveris et al., 2014).
+"""Connected components of an edge table: forests in every task, then rounds of hooking and jumping (Shiloach and Vishkin, 1982).
 
 A task contracts its edges, in packed arrays of at most CHUNK edges at a time, to
-stars around each tree's smallest node. A round connects every node's larger
-neighbours with its smallest one (large star) and a node with several parents to the
-smallest of them (small star), contracts again and writes once. It ends when no node
-has two parents or both a parent and children. The same steps run at every size.
+stars around each tree's smallest node; edges lead from the larger node to the
+smaller. A round takes each node's smallest neighbour as its parent, moves every edge
+on to the parent of its smaller end, links a node's other neighbours with its parent,
+and contracts again. It ends when no node has two parents or both a parent and
+children. The same steps run at every size.
 """
 
 from __future__ import annotations
@@ -78,16 +79,14 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(_contract, edges.schema)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").filter((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _round(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """Every node of an edge moves on to its neighbour's parent, and a node's other neighbours go to its own parent.
 
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    linked = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select("a", F.col("m").alias("b")))
+    parents(a, m) is a written table, so a join in which one node has most edges can be split at run time.
+    """
+    moved = edges.join(parents.toDF("b", "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+    met = edges.join(parents, "a").filter(F.col("b") != F.col("m")).select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+    return moved.union(met)
 
 
 def _settled(stars: DataFrame) -> bool:
@@ -104,15 +103,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     with a null end and loops are left out, repeated edges count once, and no edge
     gives no row. Each round is written to the shared folder and the one before it
     deleted; nothing but a flag reaches the driver. Neighbourhoods of any size are
-    aggregated before they are shuffled, and joins carry a node's smallest neighbour alone.
+    aggregated before they are shuffled, and joins carry a node's parent alone.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b"))
     now = materialise(_contracted(now), "edges")
     for _ in range(max_rounds):
         if _settled(now):
             break
-        before, now = now, materialise(_contracted(_small_star(_large_star(now))), "edges")
-        discard(before)
+        parents = materialise(now.groupBy("a").agg(F.min("b").alias("m")), "parents")
+        before, now = now, materialise(_contracted(_round(now, parents)), "edges")
+        discard(before, parents)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = now.distinct()
