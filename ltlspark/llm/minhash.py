@@ -272,18 +272,24 @@ def _met(percent: int, least: float):
     return _in_cells(body)
 
 
-def _cells(placed: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, s, own, node, comp, size, i, j, chunk) of the open ones of the buckets placed(key, node, comp, size).
+def _sized(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, s, own, node, comp, size) of placed(key, node, comp, size): a set goes to its own class of size and to the one above.
 
-    Linked sets are of the same class of size or of neighbouring ones, so a set goes to its own class and to the one above.
+    Sets that can be linked are of the same class or of neighbouring ones.
     """
-    wide = 1.0001 * 100 / percent
-    kind = F.floor(F.log("size") / F.log(F.lit(wide))).cast("int")
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-    sized = placed.join(apart, "key").withColumn("c", kind).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
-    sized = sized.select("key", (F.col("c") + F.col("up")).alias("s"), (F.col("up") == 0).alias("own"), "node", "comp", "size")
+    kind = F.floor(F.log("size") / F.log(F.lit(1.0001 * 100 / percent))).cast("int")
+    both = placed.withColumn("c", kind).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1))))
+    return both.select("key", (F.col("c") + F.col("up")).alias("s"), (F.col("up") == 0).alias("own"), "node", "comp", "size")
+
+
+def _open(sized: DataFrame) -> DataFrame:
+    """(key, s, n): what has several components left, and into how many chunks it is cut."""
     pieces = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") * 8 / CHUNK_BYTES)).cast("int")
-    open_ = sized.groupBy("key", "s").agg(pieces.alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("own").alias("any")).filter("x != y and any").select("key", "s", "n")
+    return sized.groupBy("key", "s").agg(pieces.alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("own").alias("any")).filter("x != y and any").select("key", "s", "n")
+
+
+def _cells(sized: DataFrame, open_: DataFrame) -> DataFrame:
+    """The rows of what is open, each in every cell that its chunk is in."""
     dealt = sized.join(open_, ["key", "s"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return dealt.select("key", "s", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"), "chunk", "own", "node", "comp", "size")
 
@@ -304,19 +310,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     signed = source.mapInArrow(_signatures(shingle), "doc_id long, h long, size long, f1 long, f2 long, bands array<long>, sig binary")
     every = materialise(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     some = every.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    first = materialise(some.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"), F.max("size").alias("size")), "nodes")
-    signatures = every.select(F.col("rid").alias("node"), "sig")
+    first = some.groupBy("f1", "f2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"))
+    nodes = every.select("rid", "h", F.col("doc_id").alias("id"), "size", "bands", "sig").join(first, "rid").withColumnRenamed("rid", "node")
+    nodes = materialise(nodes, "nodes")
+    signatures = nodes.select("node", "sig")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(some_nodes: DataFrame) -> DataFrame:
         """The sets of nodes, from their texts; repeated rows are combined before the texts are shuffled."""
         texts = source.filter("doc_id is not null and text is not null").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-        named = every.select(F.col("rid").alias("node"), "doc_id", "h").join(nodes, "node", "left_semi")
+        named = nodes.select("node", F.col("id").alias("doc_id"), "h").join(some_nodes, "node", "left_semi")
         return materialise(texts.join(named, ["doc_id", "h"]).select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary"), "sets")
 
-    bands_of = every.select(F.col("rid").alias("node"), "bands").join(first.select("node"), "node", "left_semi")
-    member = bands_of.select("node", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
-    hits = materialise(member.join(bucket, "key"), "buckets")
+    # buckets are written before their members are joined, here and in cells: a hot one can then be split at run time
+    member = nodes.select("node", F.explode("bands").alias("key"))
+    bucket = materialise(member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi"), "buckets")
+    hits = materialise(member.join(bucket, "key"), "hits")
+    discard(bucket)
 
     def of(frame: DataFrame, side: str) -> DataFrame:
         return frame.toDF(side, f"of_{side}")
@@ -332,20 +341,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
 
     comps = materialise(connected_components(links), "components")
     rest = hits.filter("node != lo and node != hi").select("key", "node")
-    placed = rest.join(first.select("node", "size").join(comps, "node", "left"), "node").select("key", "node", F.coalesce("component", "node").alias("comp"), "size")
-    cells = _sorted_by_cell(_cells(placed, percent).join(signatures, "node"))
+    placed = rest.join(nodes.select("node", "size").join(comps, "node", "left"), "node").select("key", "node", F.coalesce("component", "node").alias("comp"), "size")
+    sized = _sized(placed, percent)
+    open_ = materialise(_open(sized), "open")
+    cells = _sorted_by_cell(_cells(sized, open_).join(signatures, "node"))
     rows = "key long, s int, i int, j int, chunk int, own boolean, node long, comp long, size long, sig binary"
     columns = [c.split()[0] for c in rows.split(", ")]
     partnered = materialise(cells.select(*columns).mapInArrow(_partnered(percent, least), rows), "partnered")
     sets = sets_of(partnered.select("node").distinct())
     whole = _sorted_by_cell(partnered.join(sets, "node"))
     more = materialise(whole.select(*columns, "shingles").mapInArrow(_met(percent, least), "a long, b long"), "links")
-    discard(hits, comps, partnered, sets)
+    discard(hits, comps, open_, partnered, sets)
 
     found = materialise(connected_components(links.union(more)), "components")
     discard(links, more)
-    lowest = found.join(first.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("lowest"))
-    named = first.join(found.join(lowest, "component").select("node", "lowest"), "node", "left").select("f1", "f2", F.coalesce("lowest", "least_id").alias("component"))
+    ids = nodes.select("node", "f1", "f2", "least_id")
+    lowest = materialise(found.join(ids, "node").groupBy("component").agg(F.min("least_id").alias("lowest")), "lowest")
+    named = ids.join(found.join(lowest, "component").select("node", "lowest"), "node", "left").select("f1", "f2", F.coalesce("lowest", "least_id").alias("component"))
     component = F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return (
         every.select("doc_id", "size", "f1", "f2")
