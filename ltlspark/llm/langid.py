@@ -12,13 +12,16 @@ a text's presence row, so their product is formed once, and a batch of texts is
 scored by one matrix product; a column of ones counts its n-grams on the way.
 
 The classifier learns from a bounded sample: at most ROWS_PER_LANG rows of each
-language and MAX_ROWS in all, the smallest by a hash of the id. They come to the
-driver as presence bits of DIM / 8 bytes, however long the texts. Everything else
-covers all rows, and whole texts.
-
-A text that is null or has no letter is `und` with score 0. Ties go to the
-language that sorts first. With no labelled row every text is `und`. Repeated rows
-get the same answer each; extra columns are ignored or kept, as the caller asks.
+language and MAX_ROWS in all, but one of each language at least, the smallest by a
+hash of id and text. Rows are cut to that number within each task before they meet,
+and come to the driver as presence bits of DIM / 8 bytes, however long the texts;
+equal rows count once. Everything else covers all rows, and whole texts. The model
+has DIM floats for each language, so the number of languages must fit the driver.
+
+A text that is null or has no letter is `und` with score 0 and a null margin. Ties go
+to the language that sorts first. With no labelled row every text is `und`. Repeated
+rows get the same answer each; an empty table gives no row. learn ignores extra
+columns; identify keeps them, but replaces those named lang_pred, score and margin.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,13 +120,17 @@ class Model:
         self.langs, self.weights = langs, weights
         self.wide = np.concatenate([weights, np.ones((DIM, 1), np.float32)], axis=1)
 
-    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and its softmax share for presence rows."""
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its softmax share and its regression's output for presence rows.
+
+        The output is near 1 for a text like those of the language and near 0 for one like none that was learnt,
+        however many languages there are.
+        """
         raw = x @ self.wide
-        f = SHARPNESS * raw[:, :-1] / np.sqrt(np.maximum(raw[:, -1:], 1))
+        f = raw[:, :-1] / np.sqrt(np.maximum(raw[:, -1:], 1))
         best = f.argmax(axis=1)
-        p = np.exp(f - f.max(axis=1, keepdims=True))
-        return best, (p[np.arange(len(p)), best] / p.sum(axis=1)).astype(float)
+        top = f[np.arange(len(f)), best]
+        return best, (1 / np.exp(SHARPNESS * (f - top[:, None])).sum(axis=1)).astype(float), top.astype(float)
 
 
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -156,42 +163,40 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """A model from the labelled rows of docs, on a sample bounded by rows_per_lang and max_rows."""
     arrow_rows(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_rows // 8).collect()}
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(1)), F.lit(1 << 62))
+    named = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((DIM, 0), np.float32))
-    most = max(8, min(rows_per_lang, max_rows // len(counts)))
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.25 * most / n + 16 / n))])
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(1))
-    sample = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).filter(F.pmod("h", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    found = sample.mapInArrow(_bits, "h long, lang string, bits binary").filter("bits is not null").toArrow().to_pylist()
-    taken: dict[str, int] = {}
-    kept = []
-    for r in sorted(found, key=lambda r: (r["h"] % (1 << 30), r["h"], r["bits"])):
-        if taken.get(r["lang"], 0) < most:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            kept.append((r["lang"], r["bits"]))
-    return fit(kept)
+    most = max(1, min(rows_per_lang, max_rows // len(counts)))
+    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * most / n + 32 / n))])
+    few = named.filter(F.col("h") < rate[F.col("lang")] * float(1 << 62)).groupBy("lang", "h").agg(F.min("text").alias("text")).select("h", "lang", "text")
+    marked = few.mapInArrow(_bits, "h long, lang string, bits binary").filter("bits is not null")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "bits")) <= most
+    found = marked.withColumn("first", first).filter("first").drop("first").toArrow().to_pylist()
+    return fit([(r["lang"], r["bits"]) for r in sorted(found, key=lambda r: (r["h"], r["lang"], r["bits"]))])
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; columns of those names are replaced. text_col is the only input of a prediction."""
+    """docs with lang_pred, score and margin; columns of those names are replaced. text_col is the only input of a prediction."""
     spark = docs.sparkSession
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast((model.langs, model.weights))  # DIM x languages floats
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "margin")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            lang, score = [], []
+            lang, score, margin = [], [], []
             for _, _, x, lettered in presence(batch.column(at)):
                 if own.langs:
-                    best, p = own.score(x)
+                    best, p, top = own.score(x)
                 else:
-                    best, p, lettered = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x), bool)
+                    best, p, top, lettered = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), bool)
                 lang += [own.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 score += np.where(lettered, p, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+                margin += [t if ok else None for t, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "margin"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]))
