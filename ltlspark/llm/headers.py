@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, materialise
 from .licenses import HEADER, NAMES, TEMPLATES, WHOLE, Vocabulary, _hashed, inherit
+from .lm import head_from
 from .text import slices
 
 # Texts and headers of well-known licences.
@@ -213,15 +214,8 @@ def matches(files: DataFrame) -> tuple[DataFrame, DataFrame, int, bool]:
     counts = materialise(word_counts(files.select("text")), "words")
     n = (counts.filter("h is null").first() or {"n": 0})["n"]
     counts = counts.filter("h is not null")
-    room, least = HEAD, None
-    by_count = sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True)
-    for c, words in by_count:
-        if words > room:
-            break
-        room, least = room - words, c
-    complete = not by_count or least == by_count[-1][0]
-    most = by_count[0][0] if by_count else 0
-    below = most if least is None else least - 1
+    least, complete = head_from(counts, "n", HEAD)
+    below = least - 1
     named = spark.createDataFrame([(int(x),) for x in vocabulary.hashes.view(np.int64)], "h long")
     got = [counts.filter(F.col("n") > below).toArrow(), counts.join(F.broadcast(named), "h", "left_semi").toArrow()]
     h = np.concatenate([*(t["h"].to_numpy().view(np.uint64) for t in got), vocabulary.hashes])

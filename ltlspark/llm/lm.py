@@ -10,14 +10,19 @@ The model predicts units: the WORDS most frequent tokens, and CLASSES of the res
 by their last two bytes; a token of a class gets its smoothed share of the class.
 A unit's context is the two before it. Its score is a dot product of its own vector
 and a predicted one, the sum of the context's vectors weighted by place, plus a
-bias (a log-bilinear model; Mnih and Hinton, 2007). Every task of the training
-texts runs noise-contrastive estimation over all its tokens in numpy, the noise of
-a minibatch shared so that it is one matrix product, and the tasks' parameters are
-averaged by their tokens. Scores use the full softmax: the log normaliser of each
-context is a batched matrix product over all units, made once for a context.
+bias (a log-bilinear model; Mnih and Hinton, 2007). The training texts, as units,
+are dealt into shards of about SHARD tokens by a hash of the row, and the shards into
+ROUNDS. Each shard of a round runs noise-contrastive estimation in numpy over all its
+tokens, from the average of the round before, the noise of a minibatch shared so that
+it is one matrix product; a round's parameters are averaged by tokens. Shards, their
+order and their random numbers follow from the rows alone, so the model does not
+depend on how the table is partitioned (but for the last digits of the averages' sums).
+Scores use the full softmax: the log normaliser of each context is a batched matrix
+product over all units, made once for a context.
 
 Null and empty texts are one end token. With no training text every count is 0.
-Repeated rows are scored each and learnt from each. Extra columns are ignored.
+Repeated rows are scored each and learnt from each; rows equal in all columns are of
+one shard. An empty table gives no row. Extra columns are ignored by the scores.
 """
 
 from __future__ import annotations
@@ -28,14 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, materialise
+from ..runtime import arrow_rows, discard, materialise
 from .text import buffers, release, slices, word_dictionary
 
-WORDS, CLASSES, DIM = 1024, 256, 16
+WORDS, CLASSES, DIM = 2048, 256, 16
 UNITS = WORDS + CLASSES
 #: Context unit before a text's first token.
 BEGIN = UNITS
@@ -43,6 +47,8 @@ HEAD, HEAD_BYTES = 500_000, 64
 SMOOTH = 0.1
 #: Tokens of a minibatch, noise samples of one, and the step of Adagrad.
 BATCH, NOISE, RATE = 2048, 48, 0.1
+#: Tokens of a shard, about; rounds of averaging; and tokens of a shard that are shuffled at once.
+SHARD, ROUNDS, MIXED = 1 << 21, 4, 1 << 18
 _BLOCK = 4096
 
 
@@ -166,6 +172,21 @@ class Scorer:
         return (out - norm[code]) / np.log(10)
 
 
+def head_from(counts: DataFrame, column: str, room: int) -> tuple[int, bool]:
+    """The least count so that no more than room rows have it or more, and whether those are all rows.
+
+    Counts are binned, eight bins to a doubling, so the driver gets some 500 rows at most; of a bin
+    that does not fit as a whole nothing is taken.
+    """
+    bins = counts.groupBy(F.floor(8 * F.log2(column)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")).collect()
+    least = max((b["most"] for b in bins), default=0) + 1
+    for b in sorted(bins, key=lambda b: -b["bin"]):
+        if b["n"] > room:
+            return least, False
+        room, least = room - b["n"], b["least"]
+    return least, True
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token (the empty string is the end) and its count c over all rows of docs(text)."""
 
@@ -194,25 +215,44 @@ def _class_sums(head: pa.Array):
     return run
 
 
-def _trained(head: pa.Array, share: np.ndarray):
+def _units(head: pa.Array):
+    """Rows (h, text) as (h, packed units)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        net, noise, rng, n = Net.start(share), np.log(np.maximum(share, 1e-9)), np.random.default_rng([11, pid]), 0
-        memory = np.full_like(net.flat, 1e-6)
         for batch in batches:
-            for i, j, *_ in slices(batch.column(0)):
-                _, _, unit, codes, first = tokens(batch.column(0).slice(i, j - i), head)
-                units = np.where(codes < 0, 0, unit[codes]) if len(unit) else np.zeros(len(codes), np.int64)
-                one, two = contexts(units, first)
-                order = rng.permutation(len(units))
-                for at in range(0, len(order), BATCH):
-                    k = order[at : at + BATCH]
-                    net.learn(units[k], one[k], two[k], noise, memory, rng)
-                n += len(units)
-        if n:
-            blocks = [net.flat[at : at + _BLOCK].astype(float) * n for at in range(0, len(net.flat), _BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([pid % 64] * len(blocks), pa.int32()), pa.array([float(n)] * len(blocks)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "part", "n", "v"])
+            for i, j, *_ in slices(batch.column("text")):
+                _, _, unit, codes, first = tokens(batch.column("text").slice(i, j - i), head)
+                units = (np.where(codes < 0, 0, unit[codes]) if len(unit) else np.zeros(len(codes))).astype("<u2")
+                raw, ends = units.tobytes(), (2 * first).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, j - i), pa.array([raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["h", "units"])
+        release()
+
+    return run
+
+
+def _trained(flat: np.ndarray, share: np.ndarray):
+    """A shard's parameters after one pass over its tokens from flat, as blocks weighted by its tokens."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        net, noise, rng, n = Net(flat.copy()), np.log(np.maximum(share, 1e-9)), np.random.default_rng([11, shard]), 0
+        memory = np.full_like(net.flat, 1e-6)
+        texts = rows.sort_by([("h", "ascending"), ("units", "ascending")])["units"].to_pylist()
+        sizes = np.cumsum([0, *(len(t) // 2 for t in texts)])
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + MIXED, "right")) - 1)
+            units = np.frombuffer(b"".join(texts[at:to]), "<u2").astype(np.int64)
+            one, two = contexts(units, sizes[at : to + 1] - sizes[at])
+            order = rng.permutation(len(units))
+            for x in range(0, len(order), BATCH):
+                k = order[x : x + BATCH]
+                net.learn(units[k], one[k], two[k], noise, memory, rng)
+            n += len(units)
+            at = to
+        blocks = [net.flat[x : x + _BLOCK].astype(float) * n for x in range(0, len(net.flat), _BLOCK)]
         release()
+        return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "part": pa.array([shard % 64] * len(blocks), pa.int32()), "n": [float(n)] * len(blocks), "v": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
     return run
 
@@ -230,12 +270,7 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> tuple[Scorer, DataFrame
     counts = materialise(token_counts(texts), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     known = counts.filter((F.octet_length("token") <= HEAD_BYTES) & (F.col("token") != ""))
-    room, least = HEAD - 1, None
-    for c, n in sorted(map(tuple, known.groupBy("c").count().collect()), reverse=True):
-        if n > room:
-            break
-        room, least = room - n, c
-    most = known.filter(F.col("c") >= F.lit(least)) if least is not None else known.orderBy(F.desc("c"), "token").limit(HEAD - 1)
+    most = known.filter(F.col("c") >= head_from(known, "c", HEAD - 1)[0])
     got = most.toArrow().combine_chunks().sort_by([("c", "descending"), ("token", "ascending")])
     ends = counts.filter("token = ''").first()
     head = pa.concat_arrays([pa.array([""], pa.large_string()), *[c.cast(pa.large_string()) for c in got["token"].chunks]])
@@ -246,10 +281,17 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> tuple[Scorer, DataFrame
         class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
     share = np.append(np.pad(n[:WORDS].astype(float), (0, max(0, WORDS - len(n)))), class_n) + SMOOTH
     share /= share.sum()
-    trained = texts.mapInArrow(_trained(head[:WORDS], share), "block int, part int, n double, v binary")
-    blocks = trained.groupBy("block", "part").applyInArrow(_summed, "block int, part int, n double, v binary").groupBy("block").applyInArrow(_summed, "block int, part int, n double, v binary")
-    parts = {r["block"]: np.frombuffer(r["v"]) / r["n"] for r in blocks.collect()}
-    flat = np.concatenate([parts[k] for k in sorted(parts)]).astype(np.float32) if parts else Net.start(share).flat
+    shards = max(ROUNDS, -(-int(total) // SHARD))
+    named = docs.select(F.xxhash64(*docs.columns).alias("h"), F.col(text_col).cast("string").alias("text"))
+    units = materialise(named.mapInArrow(_units(head[:WORDS]), "h long, units binary").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))), "units")
+    flat, schema = Net.start(share).flat, "block int, part int, n double, v binary"
+    for k in range(ROUNDS):
+        trained = units.filter(F.col("shard") % ROUNDS == k).groupBy("shard").applyInArrow(_trained(flat, share), schema)
+        blocks = trained.groupBy("block", "part").applyInArrow(_summed, schema).groupBy("block").applyInArrow(_summed, schema)
+        parts = {r["block"]: np.frombuffer(r["v"]) / r["n"] for r in blocks.collect()}
+        if parts:
+            flat = np.concatenate([parts[b] for b in sorted(parts)]).astype(np.float32)
+    discard(units)
     return Scorer(head, n, int(total), int(distinct), class_n, class_v, flat), counts
 
 
