@@ -46,6 +46,12 @@ def materialise(df: DataFrame, name: str, onto: DataFrame | None = None) -> Data
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read, whatever store it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Where tables of materialise() lie: by the frame's id, itself, its file system and its path.
 _TABLES: dict[int, tuple] = {}
 #: Tables whose frame is gone, but which others may read.
