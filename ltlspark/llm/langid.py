@@ -18,10 +18,10 @@ and come to the driver as presence bits of DIM / 8 bytes, however long the texts
 equal rows count once. Everything else covers all rows, and whole texts. The model
 has DIM floats for each language, so the number of languages must fit the driver.
 
-A text that is null or has no letter is `und` with score 0 and a null margin. Ties go
+A text that is null or has no letter is `und` with score 0 and null margin and lead. Ties go
 to the language that sorts first. With no labelled row every text is `und`. Repeated
 rows get the same answer each; an empty table gives no row. learn ignores extra
-columns; identify keeps them, but replaces those named lang_pred, score and margin.
+columns; identify keeps them, but replaces those named lang_pred, score, margin and lead.
 """
 
 from __future__ import annotations
@@ -120,17 +120,18 @@ class Model:
         self.langs, self.weights = langs, weights
         self.wide = np.concatenate([weights, np.ones((DIM, 1), np.float32)], axis=1)
 
-    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, its softmax share and its regression's output for presence rows.
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its softmax share, its regression's output and the output's lead over the next, for presence rows.
 
-        The output is near 1 for a text like those of the language and near 0 for one like none that was learnt,
-        however many languages there are.
+        The output is near 1 for a text like those of the language, and both are near 0 for one like none that was
+        learnt, however many languages there are. A single language leads by its output.
         """
         raw = x @ self.wide
         f = raw[:, :-1] / np.sqrt(np.maximum(raw[:, -1:], 1))
         best = f.argmax(axis=1)
         top = f[np.arange(len(f)), best]
-        return best, (1 / np.exp(SHARPNESS * (f - top[:, None])).sum(axis=1)).astype(float), top.astype(float)
+        second = np.partition(f, -2, axis=1)[:, -2] if f.shape[1] > 1 else np.zeros(len(f))
+        return best, (1 / np.exp(SHARPNESS * (f - top[:, None])).sum(axis=1)).astype(float), top.astype(float), (top - second).astype(float)
 
 
 def fit(rows: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -178,25 +179,26 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and margin; columns of those names are replaced. text_col is the only input of a prediction."""
+    """docs with lang_pred, score, margin and lead; columns of those names are replaced. text_col is the only input of a prediction."""
     spark = docs.sparkSession
     arrow_rows(spark)
     sent = spark.sparkContext.broadcast((model.langs, model.weights))  # DIM x languages floats
-    docs = docs.drop("lang_pred", "score", "margin")
+    docs = docs.drop("lang_pred", "score", "margin", "lead")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            lang, score, margin = [], [], []
+            lang, score, margin, lead = [], [], [], []
             for _, _, x, lettered in presence(batch.column(at)):
                 if own.langs:
-                    best, p, top = own.score(x)
+                    best, p, top, over = own.score(x)
                 else:
-                    best, p, top, lettered = np.zeros(len(x), int), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), bool)
+                    best, p, top, over, lettered = np.zeros(len(x), int), *np.zeros((3, len(x))), np.zeros(len(x), bool)
                 lang += [own.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 score += np.where(lettered, p, 0.0).tolist()
                 margin += [t if ok else None for t, ok in zip(top.tolist(), lettered.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "margin"])
+                lead += [t if ok else None for t, ok in zip(over.tolist(), lettered.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(lead, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "margin", "lead"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("score", "margin", "lead")]]))
