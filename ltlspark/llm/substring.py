@@ -10,14 +10,19 @@ puts both on cover positions, so they share an anchor of W - v + 1 words there.
    a 96-bit hash of all W words: a window that occurs twice is a repeat.
 3. Words covered by repeats are removed, judged on the input.
 
-Hashes meet in buckets that are packed arrays, not rows. A hash that occurs twice
-within a map task's buffer is answered there and sent on once, so a passage that
-fills a third of all rows adds one entry for each buffer to its bucket. Documents
-are shuffled once, by a row number of the scan; the three passes read that exchange.
+Hashes meet in buckets that are packed arrays, not rows; there are as many as give
+each PART_BYTES / 2 of text, by the table's size. A hash that occurs twice within a map
+task's buffer is answered there and sent on once, so a passage that fills a third of
+all rows adds one entry for each buffer to its bucket. Documents are shuffled once, by
+a row number of the scan; the three passes read that exchange. The row number names a
+row between passes, so the input must be deterministic (a table, or what a stage has
+written): a lost task is run again and must give its rows the same numbers.
 
 Null and empty texts have no words; texts of fewer than W words have no window and
-lose nothing. Repeated rows are documents of their own, each other's copies. Extra
-columns are kept by `strip_repeats` and ignored by `repeats`.
+lose nothing; a text of any length is read whole, in one row. Repeated rows are
+documents of their own, each other's copies, and so are rows that share an id or have
+none. An empty table gives no row. Extra columns, whatever their names, are kept by
+`strip_repeats` and ignored by `kept_words`.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ COVERS = {3: [0, 1], 7: [0, 1, 3], 13: [0, 1, 3, 9], 21: [3, 6, 7, 12, 14], 31:
 ANCHOR = 12
 #: Entries that a map task holds before it sends them.
 BUFFER = 250_000
+#: Bytes of text for a partition of the passes, at most; the session's shuffle partitions are the least number of them.
+PART_BYTES = 128 << 20
 
 _ENTRY = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("rid", pa.binary()), ("pos", pa.binary()), ("h1", pa.binary()), ("h2", pa.binary())])
 ENTRY = "bucket int, kind tinyint, rid binary, pos binary, h1 binary, h2 binary"
@@ -144,7 +151,7 @@ def _by_row(key: tuple, answers: pa.Table) -> pa.Table:
     order = np.argsort(rid, kind="stable")
     rid, pos = rid[order], pos[order]
     cuts = _cuts(rid)
-    return pa.table({"__rid": pa.array([int(rid[x]) for x, _ in cuts], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
+    return pa.table({"rid": pa.array([int(rid[x]) for x, _ in cuts], pa.int64()), "pos": pa.array([pos[x:y].tobytes() for x, y in cuts], pa.binary())})
 
 
 def _marked(column: pa.Array, woff: np.ndarray) -> np.ndarray:
@@ -168,7 +175,7 @@ def _map(body: Callable, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out(n_buckets)
         for batch in batches:
-            rid = batch.column("__rid").to_numpy()
+            rid = batch.column("rid").to_numpy()
             for i, j, data, off in slices(batch.column("text")):
                 starts, ends, woff = word_spans(data, off)
                 if out.add(*body(batch.slice(i, j - i), rid[i:j], word_hashes(data, starts, ends), woff)) and (sent := out.flush()):
@@ -180,16 +187,14 @@ def _map(body: Callable, n_buckets: int):
     return run
 
 
-def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> DataFrame:
-    """docs with __rid (a row number of the scan) and __repeats: packed int32 word positions at which a repeated window starts.
-
-    text_col is returned as text.
-    """
-    spark = docs.sparkSession
+def _repeats(source: DataFrame, window: int) -> DataFrame:
+    """source(row, text) with rid and repeats: packed int32 word positions at which a repeated window starts."""
+    spark = source.sparkSession
     arrow_rows(spark)
     v = period(window)
     anchor = window - v + 1
-    n_parts = shuffle_partitions(spark)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n_parts = max(shuffle_partitions(spark), -(-size // PART_BYTES))
     n_buckets = 2 * n_parts
 
     def anchors(batch, rid, words, woff):
@@ -199,32 +204,32 @@ def repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text") -> Dat
         return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, anchor), None
 
     def windows(batch, rid, words, woff):
-        seed = _marked(batch.column("__seeds"), woff)
+        seed = _marked(batch.column("seeds"), woff)
         at, row = gram_starts(woff, window)
         near = _covered(seed[::-1], v)[::-1]  # a seed lies at this word or up to v - 1 after it
         keep = near[at]
         at, row = at[keep], row[keep]
         return rid[row], (at - woff[:-1][row]).astype(np.int32), gram_hashes(words, at, window), gram_hashes(words, at, window, 77).astype(np.uint32)
 
-    named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    texts = named.withColumn("text", F.col("text").cast("string")).withColumn("__rid", F.monotonically_increasing_id()).repartition(n_parts, "__rid")
+    texts = source.withColumn("rid", F.monotonically_increasing_id()).repartition(n_parts, "rid")
 
     def answered(entries: DataFrame, name: str) -> DataFrame:
-        found = entries.groupBy("bucket").applyInArrow(_answers(n_parts), "part int, rids binary, pos binary")
-        return found.groupBy("part").applyInArrow(_by_row, "__rid long, pos binary").withColumnRenamed("pos", name).hint("shuffle_hash")
+        found = entries.repartition(n_parts, "bucket").groupBy("bucket").applyInArrow(_answers(n_parts), "part int, rids binary, pos binary")
+        by_row = found.repartition(n_parts, "part").groupBy("part").applyInArrow(_by_row, "rid long, pos binary")
+        return by_row.withColumnRenamed("pos", name).repartition(n_parts, "rid").hint("shuffle_hash")
 
     # all passes take the same columns, else the exchange of the texts would not be reused
-    seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "__seeds")
-    seeded = texts.join(seeds, "__rid")
-    found = answered(seeded.mapInArrow(_map(windows, n_buckets), ENTRY), "__repeats")
-    return texts.join(found, "__rid", "left")
+    seeds = answered(texts.mapInArrow(_map(anchors, n_buckets), ENTRY), "seeds")
+    seeded = texts.join(seeds, "rid")
+    found = answered(seeded.mapInArrow(_map(windows, n_buckets), ENTRY), "repeats")
+    return texts.join(found, "rid", "left")
 
 
 def _removed(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row: its bytes, word starts and ends, and which words repeats cover."""
     for i, j, data, off in slices(batch.column("text")):
         starts, ends, woff = word_spans(data, off)
-        start = _marked(batch.column("__repeats").slice(i, j - i), woff)
+        start = _marked(batch.column("repeats").slice(i, j - i), woff)
         gone = _covered(start, window)
         for k in range(j - i):
             own = slice(woff[k], woff[k + 1])
@@ -246,8 +251,8 @@ def kept_words(docs: DataFrame, *, window: int = 35, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
         release()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = repeats(source, window=window).select("doc_id", "text", "__repeats")
+    source = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
+    marked = _repeats(source, window).select("row", "text", "repeats")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -271,12 +276,16 @@ def strip_repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text")
                     np.add.at(step, follow[gone], -1)
                     data = data[np.cumsum(step)[:-1] == 0]
                 out.append(data.tobytes())
-            at = batch.schema.get_field_index("text")
-            texts = pc.if_else(batch.column(at).is_null(), pa.scalar(None, pa.string()), pa.array(out, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.set_column(at, "text", texts).columns[:-1], pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*batch.schema.names[:-1], "n_words", "n_removed"])
-
-    docs = docs.drop("n_words", "n_removed")
-    named = docs.withColumnRenamed(text_col, "text").withColumn("text", F.col("text").cast("string"))
-    marked = repeats(named, window=window).select(*named.columns, "__repeats")
-    schema = T.StructType([*named.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return marked.mapInArrow(run, schema).toDF(*docs.columns, "n_words", "n_removed")
+            texts = pc.if_else(batch.column("text").is_null(), pa.scalar(None, pa.string()), pa.array(out, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=["row", "text", "n_words", "n_removed"])
+        release()
+
+    # the row travels under names of our own, apart from its text
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    rest = [c for c in kept if c != text_col]
+    row = F.struct(F.lit(True).alias("is_row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    source = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    cut = _repeats(source, window).select("row", "text", "repeats").mapInArrow(run, schema)
+    back = {text_col: F.col("text")} | {c: F.col(f"row.c{k}") for k, c in enumerate(rest)}
+    return cut.select(*[back[c].alias(c) for c in kept], "n_words", "n_removed")

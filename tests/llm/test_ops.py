@@ -138,6 +138,16 @@ def test_substring_on_odd_rows(spark, odd, none):
     assert substring.strip_repeats(none).count() == 0 and substring.kept_words(none).count() == 0
 
 
+def test_substring_columns_of_any_name(spark):
+    rows = [(k, "a b c d e f g h" if k < 2 else f"own {k}", f"t{k}", k, "r", "x", "y") for k in range(4)]
+    df = spark.createDataFrame(rows, "`doc.id` int, body string, text string, rid int, row string, repeats string, __rid string")
+    got = substring.strip_repeats(df, window=5, text_col="body")
+    assert got.columns == [*df.columns, "n_words", "n_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "" if k < 2 else f"own {k}", f"t{k}", k, "r", "x", "y", 8 if k < 2 else 2, 8 if k < 2 else 0) for k in range(4)]
+    only = substring.strip_repeats(df.select("body"), window=5, text_col="body")
+    assert sorted(r["body"] for r in only.collect()) == ["", "", "own 2", "own 3"]
+
+
 # --- 3 fingerprints
 
 
