@@ -3,6 +3,7 @@
 import corpus_pipeline
 import pandas as pd
 from compare import SMALL
+from pyspark.sql import functions as F
 from test_ops import check_packing, components, removed, words
 from tokenizers import Tokenizer
 
@@ -52,5 +53,41 @@ def test_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
+    import os
+
+    from ltlspark.runtime import shared_dir
+
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.count() > 0
+    left = [x for x in os.listdir(shared_dir(spark)) if x.startswith("pipeline-")]
+    assert len(left) == 1 and left[0].startswith("pipeline-3-packing")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "packing"]
+
+
+def test_odd_rows_through_all_stages(spark, odd):
+    docs = odd.withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(docs.filter("doc_id = 8").withColumn("doc_id", F.lit(108).cast("long"))).unionByName(docs.filter("doc_id = 9"))
+    got = corpus_pipeline.run(spark, SMALL, docs).collect()
+    kept = {r["doc_id"] for r in got}
+    assert {1, 5, 8, 9} <= kept and not kept & {2, 3, 4, 7, 108}  # texts without a letter and the later copy are gone
+    assert sum(r["start"] == 0 for r in got if r["doc_id"] == 9) == 2  # copies of a row, shorter than a window, stay
+    assert sum(r["length"] for r in got if r["doc_id"] == 5) == next(r["doc_tokens"] for r in got if r["doc_id"] == 5) > 40_000
+    empty = corpus_pipeline.run(spark, SMALL, docs.limit(0))
+    assert empty.count() == 0 and "sequence_id" in empty.columns
+
+
+def test_the_language_stage_does_not_depend_on_the_number_of_languages(spark):
+    sentences = {
+        "en": "the cat and the dog were in the house with the children when it rained",
+        "de": "der hund und die katze sind nicht im haus wenn es regnet und die kinder",
+        "fr": "le chat et le chien sont dans la maison avec les enfants quand il pleut",
+        "es": "el gato y el perro estan en la casa con los ninos cuando llueve mucho",
+        "it": "il gatto e il cane sono nella casa con i bambini quando piove molto",
+        "nl": "de hond en de kat zijn niet in het huis met de kinderen als het regent",
+    }
+    kept = []
+    for n in (1, 2, 6):
+        rows = [(k, " ".join(s.split()[k % 5 :]), lang, "s", 1) for lang, s in list(sentences.items())[:n] for k in range(30)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        kept.append(corpus_pipeline.language(spark, docs, SMALL).count() / len(rows))
+    assert kept == [1, 1, 1]
