@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, discard, materialise
+from ..runtime import arrow_rows, discard, materialise, shuffle_partitions
 from .text import buffers, release, slices, word_dictionary
 
 WORDS, CLASSES, DIM = 2048, 256, 16
@@ -285,8 +285,9 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> tuple[Scorer, DataFrame
     named = docs.select(F.xxhash64(*docs.columns).alias("h"), F.col(text_col).cast("string").alias("text"))
     units = materialise(named.mapInArrow(_units(head[:WORDS]), "h long, units binary").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))), "units")
     flat, schema = Net.start(share).flat, "block int, part int, n double, v binary"
+    tasks = min(-(-2 * shards // ROUNDS), 4 * shuffle_partitions(spark))  # said outright: few bytes, but much work each
     for k in range(ROUNDS):
-        trained = units.filter(F.col("shard") % ROUNDS == k).groupBy("shard").applyInArrow(_trained(flat, share), schema)
+        trained = units.filter(F.col("shard") % ROUNDS == k).repartition(tasks, "shard").groupBy("shard").applyInArrow(_trained(flat, share), schema)
         blocks = trained.groupBy("block", "part").applyInArrow(_summed, schema).groupBy("block").applyInArrow(_summed, schema)
         parts = {r["block"]: np.frombuffer(r["v"]) / r["n"] for r in blocks.collect()}
         if parts:
