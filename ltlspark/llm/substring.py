@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, shuffle_partitions
+from .rows import column, packed, unpacked
 from .text import gram_hashes, gram_starts, mix, release, slices, word_hashes, word_spans
 
 #: Perfect difference sets by period.
@@ -280,12 +281,10 @@ def strip_repeats(docs: DataFrame, *, window: int = 35, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=["row", "text", "n_words", "n_removed"])
         release()
 
-    # the row travels under names of our own, apart from its text
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rest = [c for c in kept if c != text_col]
-    row = F.struct(F.lit(True).alias("is_row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
-    source = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = docs.select(packed(rest), column(text_col).cast("string").alias("text"))
     schema = T.StructType([source.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     cut = _repeats(source, window).select("row", "text", "repeats").mapInArrow(run, schema)
-    back = {text_col: F.col("text")} | {c: F.col(f"row.c{k}") for k, c in enumerate(rest)}
-    return cut.select(*[back[c].alias(c) for c in kept], "n_words", "n_removed")
+    back = unpacked(rest) | {text_col: F.col("text").alias(text_col)}
+    return cut.select(*[back[c] for c in kept], "n_words", "n_removed")
