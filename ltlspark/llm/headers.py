@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, materialise
-from .licenses import HEADER, NAMES, TEMPLATES, WHOLE, Vocabulary, _hashed, inherit
+from .licenses import HEADER, NAMES, TEMPLATES, WHOLE, Vocabulary, _hashed, _source, inherit
 from .lm import head_from
 from .text import slices
 
@@ -262,13 +262,13 @@ def decided(found: DataFrame, counts: DataFrame, n: int) -> DataFrame:
 
 def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """files, without the text, with license, score, origin (header, file, inherited or none) and license_path."""
-    kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path")]
-    units, counts, n, complete = matches(files.select(*kept, F.col(text_col).cast("string").alias("text")))
+    kept, source = _source(files, path_col, text_col)
+    units, counts, n, complete = matches(source)
     found = materialise(units.withColumn("__rid", F.monotonically_increasing_id()), "licences")
     if not complete:
         found = decided(found, counts, n)
     own = F.coalesce("__whole_template", "__line_template")
     score = F.when(F.col("__whole_template").isNotNull(), F.col("__whole_score")).when(F.col("__line_template").isNotNull(), F.col("__line_score"))
-    named = F.substring_index(F.col(path_col), "/", -1).rlike(NAMES)
+    named = F.substring_index(F.col("path"), "/", -1).rlike(NAMES)
     is_file = F.col("__whole_template").isNotNull() | (F.col("__line_template").isNotNull() & named)
-    return inherit(found, kept, path_col, own, is_file, score)
+    return inherit(found, kept, own, is_file, score)

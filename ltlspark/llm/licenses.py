@@ -11,10 +11,12 @@ Files without a header take the licence of the licence file in the nearest
 directory above them: every distinct directory is joined with its ancestors by
 path, and the deepest that has a licence file counts (the first by path, if several).
 
-Files without either have no licence. Null texts have no header; null paths inherit
-nothing and give nothing. Ties between templates go to the first by name. Repeated
-rows are files of their own. Other columns of files are kept, but for those named
-license, score, origin and license_path.
+Files without either have no licence. Null, empty and blank texts have no header, and
+texts of any length are read whole; null paths inherit nothing and give nothing. Ties
+between templates go to the first by name, those between licence files to the first by
+path. Repeated rows are files of their own. An empty table gives no row. Other columns
+of files are kept, whatever their names, but for those named license, score, origin
+and license_path, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import arrow_rows, materialise
+from .rows import column, packed, unpacked
 from .text import lower, slices, word_hashes, word_spans
 
 # Headers of well-known licences.
@@ -144,20 +147,28 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, *, path_col: s
 
     score is the cosine of the file's own best unit; license_path is the licence file that an inherited licence is of.
     """
-    kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path")]
-    source = files.select(*kept, F.col(text_col).cast("string").alias("text"))
-    path = F.col(path_col)
+    kept, source = _source(files, path_col, text_col)
+    path = F.col("path")
     found = materialise(matches(source, templates), "licences")
     header = F.col("__line_score") >= HEADER
     whole = F.col("__whole_score") >= WHOLE
     is_file = whole | (header & F.substring_index(path, "/", -1).rlike(NAMES))
     own = F.when(whole & (F.col("__whole_score") >= F.col("__line_score")), F.col("__whole_template")).when(header, F.col("__line_template")).when(whole, F.col("__whole_template"))
-    return inherit(found, kept, path_col, own, is_file, F.greatest("__line_score", "__whole_score"))
+    return inherit(found, kept, own, is_file, F.greatest("__line_score", "__whole_score"))
+
+
+def _source(files: DataFrame, path_col: str, text_col: str) -> tuple[list[str], DataFrame]:
+    """The names that are kept, and (row, path, text) of files."""
+    kept = [c for c in files.columns if c not in (text_col, "license", "score", "origin", "license_path")]
+    return kept, files.select(packed(kept), column(path_col).cast("string").alias("path"), column(text_col).cast("string").alias("text"))
+
 
+def inherit(found: DataFrame, kept: list[str], own: Column, is_file: Column, score: Column) -> DataFrame:
+    """kept columns of found(row, path, ...) with license, score, origin and license_path; own, is_file and score are said of found's rows.
 
-def inherit(found: DataFrame, kept: list[str], path_col: str, own: Column, is_file: Column, score: Column) -> DataFrame:
-    """kept columns of found with license, score, origin and license_path; own, is_file and score are said of found's rows."""
-    path = F.col(path_col)
+    A directory's nearest licence file is written before files are joined with it, so that a hot directory can be split.
+    """
+    path = F.col("path")
     slash = F.length(path) - F.instr(F.reverse(path), "/")
     found = found.withColumn("__directory", F.when(F.instr(path, "/") > 0, F.substring(path, F.lit(1), slash)).when(path.isNotNull(), ""))
     found = found.withColumns({"__own": own, "__is_file": F.coalesce(is_file, F.lit(False))})
@@ -167,9 +178,9 @@ def inherit(found: DataFrame, kept: list[str], path_col: str, own: Column, is_fi
     above = F.transform(F.sequence(F.lit(0), F.when(F.col("__directory") == "", 0).otherwise(F.size(parts))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     ancestors = found.select("__directory").filter("__directory is not null").distinct().select("__directory", F.explode(above).alias("__above"))
     nearest = ancestors.join(given, "__above").groupBy("__directory").agg(F.max_by("__given", F.length("__above")).alias("__given"))
-    out = found.join(nearest, "__directory", "left")
+    out = found.join(materialise(nearest, "nearest"), "__directory", "left")
     return out.select(
-        *kept,
+        *unpacked(kept).values(),
         F.coalesce("__own", "__given.l").alias("license"),
         score.alias("score"),
         F.when(F.col("__own").isNotNull(), F.when(F.col("__is_file"), "file").otherwise("header")).when(F.col("__given").isNotNull(), "inherited").otherwise("none").alias("origin"),
