@@ -12,7 +12,9 @@ ln a is a table too. A fingerprint is K 16-bit hashes of the samples in hex: equ
 texts have equal ones, and `likeness` is the share of equal samples.
 
 Null and empty texts, and those without a word, have a fingerprint of zeros, which
-no other text has; two of them are alike (1). Repeated rows get equal fingerprints.
+no other text has; two of them are alike (1). Texts of any length are read whole.
+Repeated rows get equal fingerprints. An empty table gives no row. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ shared folder; the small second step reads them from there.
 
 Null and empty texts are one piece with the end id. Null ids stay null; repeated
 rows are packed each. Special tokens written out in a text get their own ids, as
-the tokenizer has it. Extra columns are ignored.
+the tokenizer has it. Texts of any length are read whole; ties in the best fit go to
+the window that was opened first. An empty table gives no row. Extra columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -78,6 +78,40 @@ def test_language_on_odd_rows(spark, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.learn(none)).collect()} == {"und"}
 
 
+def test_nystroem_and_ridge_by_hand():
+    """The model's outputs against kernel, whitening and regression written out, one language and one text at a time."""
+    rng = np.random.default_rng(3)
+    said = [("".join(rng.choice(list("abcde ") if k % 3 else list("xyzab "), 60)), ("l1", "l2", "l2")[k % 3]) for k in range(30)]
+    rows = []
+    for t, lang in said:
+        (_, _, x, _), = langid.presence(pa.array([t]))
+        rows.append((lang, np.packbits(x[0] > 0).tobytes()))
+    model = langid.fit(rows, landmarks=8)
+    grams = []
+    for t, _ in said:
+        s = " " + " ".join(t.split()) + " "
+        grams.append({s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1)})
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    own = {lang: [k for k, (_, x) in enumerate(said) if x == lang] for lang in ("l1", "l2")}
+    marks = [own[lang][k] for k in range(4) for lang in ("l1", "l2")]
+    values, vectors = np.linalg.eigh(np.array([[kernel(grams[a], grams[b]) for b in marks] for a in marks]))
+    features = np.array([[kernel(g, grams[b]) for b in marks] for g in grams]) @ (vectors / np.sqrt(values))
+    for j, lang in enumerate(("l1", "l2")):
+        weight = np.array([1 / len(own[x]) for _, x in said])
+        y = np.array([1.0 if x == lang else -1.0 for _, x in said])
+        gram = features.T @ np.diag(weight) @ features
+        beta = np.linalg.solve(gram + 1e-2 * np.trace(gram) / 8 * np.eye(8), features.T @ (weight * y))
+        raw = np.array([np.unpackbits(np.frombuffer(b, np.uint8)).astype(float) @ model.weights[:, j] for _, b in rows])
+        size = np.array([np.unpackbits(np.frombuffer(b, np.uint8)).sum() for _, b in rows])
+        assert np.allclose(raw / np.sqrt(size), features @ beta, atol=5e-2)  # a few n-grams share a column
+
+
+def test_the_sample_is_bounded_and_keeps_every_language(spark):
+    rows = [(7, "the same row again and again", "en")] * 3000 + [(k, f"text {k} with words", f"l{k % 40}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6)
+    assert langid.learn(df, max_rows=20).langs == sorted({"en", *(f"l{k}" for k in range(40))})
+
+
 def test_language_kernel_is_a_presence_kernel():
     x = next(langid.presence(pa.array(["ab ab", "ab"])))[2].copy()
     assert (x[0] >= x[1]).all() and set(np.unique(x)) == {0.0, 1.0}
@@ -230,6 +264,45 @@ def test_language_model_is_normalised(spark):
     assert scorer.distinct == 7 and scorer.total == sum(scorer.counts)
 
 
+def test_scores_of_whole_documents_by_hand(spark, monkeypatch):
+    """Every document's score from the parameters, a full softmax for each token and the counts."""
+    monkeypatch.setattr(lm, "HEAD", 40)
+    docs = documents(SMALL).head(60)
+    df = spark.createDataFrame([(int(k), t) for k, t in zip(docs.doc_id, docs.text)], "doc_id bigint, text string")
+    scorer, counts = lm.learn(df.filter("doc_id % 3 > 0"))
+    c = {r["token"]: r["c"] for r in counts.collect()}
+    net = lm.Net(scorer.flat.astype(np.float64))
+    unit_of = {w: k for k, w in enumerate(scorer.head.to_pylist()[: lm.WORDS])}
+    vocabulary = sorted(c)
+    by_class = lm.WORDS + lm.classes_of(pa.array(vocabulary, pa.large_string()))
+    n, v = np.zeros(lm.UNITS), np.zeros(lm.UNITS)
+    for w, k in zip(vocabulary, by_class):
+        if w not in unit_of:
+            n[k] += c[w]
+            v[k] += 1
+    got = by_id(lm.score(df, scorer, counts))
+    for k, t in zip(docs.doc_id, docs.text):
+        ws = [x.decode() for x in words(t, True)] + [""]
+        units = [unit_of.get(w, lm.WORDS + int(lm.classes_of(pa.array([w], pa.large_string()))[0])) for w in ws]
+        want, before = 0.0, [lm.BEGIN, lm.BEGIN]
+        for w, u in zip(ws, units):
+            guess = net.ctx[before[-1]] * net.place[0] + net.ctx[before[-2]] * net.place[1]
+            s = net.out @ guess + net.bias
+            want += (s[u] - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10)
+            if w not in unit_of:
+                want += math.log10((c.get(w, 0) + 0.1) / (n[u] + 0.1 * (v[u] + 1)))
+            before.append(u)
+        assert math.isclose(got[k]["score"], want, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 2000)
+    docs = documents(SMALL).head(80)
+    df = spark.createDataFrame([(int(k), t) for k, t in zip(docs.doc_id, docs.text)], "doc_id bigint, text string")
+    one, other = (lm.learn(x)[0].flat for x in (df.coalesce(1), df.repartition(7)))
+    assert np.allclose(one, other, rtol=1e-4, atol=1e-6) and not np.allclose(one, lm.Net.start(np.full(lm.UNITS, 1 / lm.UNITS)).flat)
+
+
 def test_rare_tokens_meet_their_counts_in_a_join(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 7 + 1))) for k in range(30)], "doc_id bigint, text string")
     whole = {r["doc_id"]: r["base_score"] for r in lm.score(docs, *lm.learn(docs)).collect()}
@@ -602,6 +675,19 @@ def test_url_rules(spark, monkeypatch, broadcast):
     assert got == {k: verdict(u, known) for k, u in enumerate([*many, "http://A.Com/"])}
 
 
+def test_urls_on_the_odd_table(spark, odd, none):
+    rules = spark.createDataFrame([("example.com", "/en/", "block"), ("com", "/", "allow"), ("com", "/" + "x" * 3000, "block")], "host string, path string, verdict string")
+    said = F.when(F.col("doc_id") == 2, None).when(F.col("doc_id") == 3, "").when(F.col("doc_id") == 5, F.concat(F.lit("HTTP://WWW.Example.COM/en/"), F.repeat(F.lit("y/"), 50_000))).when(F.col("doc_id") == 6, F.concat(F.lit("x://a.com/"), F.repeat(F.lit("x"), 4000))).otherwise("a://b.example.com/de/?q#f")
+    df = odd.withColumn("url", said).withColumns({c: F.lit(1) for c in ("of", "best", "of_", "h", "p", "e", "prefix", "full", "shapes", "labels", "size", "digest", "v", "a.b")})
+    out = urls.judge(df, rules)
+    got = {r["doc_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+    assert got[2] == got[3] == ("", "", None, "allow") and got[1] == ("b.example.com", "/de/", "com/", "allow")
+    assert got[5][0] == "www.example.com" and len(got[5][1]) == 100_004 and got[5][2:] == ("example.com/en/", "block")
+    assert got[6][2] == "com/" + "x" * 3000 and got[6][3] == "block"
+    assert out.count() == 12 and set(out.columns) == set(df.columns)
+    assert urls.judge(none.withColumn("url", F.lit("a://b")), rules).count() == 0
+
+
 def test_url_rules_of_nothing(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
@@ -676,6 +762,19 @@ def licence_of(spark, scan, texts):
     return [got[f"{k}/LICENSE.txt"] for k in range(len(texts))] + sorted({got[f"p{k}/x.py"] for k in range(50)})
 
 
+@pytest.mark.parametrize("operator", [licenses, headers])
+def test_licences_on_the_odd_table(spark, odd, none, operator):
+    path = F.when(F.col("doc_id") == 2, None).when(F.col("doc_id") == 9, "a/LICENSE").otherwise(F.concat(F.lit("a/b/"), F.col("doc_id").cast("string")))
+    text = F.when(F.col("doc_id") == 9, "Released under the MIT License.").when(F.col("doc_id") == 5, F.concat("text", F.lit("\nThis work is licensed under the GNU General Public License, version 3.\n"), "text")).otherwise(F.col("text"))
+    df = odd.withColumn("path", path).withColumn("text", text).withColumns({c: F.lit("x") for c in ("row", "__own", "__directory", "__rid", "__line_score", "license", "a.b")})
+    out = operator.scan(df)
+    assert set(out.columns) == {*df.columns, "license", "origin", "license_path"} - {"text"} and out.count() == 12
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in out.collect()}
+    assert got[9] == ("MIT", "file") and got[5] == ("GPL-3.0", "header") and got[2] == (None, "none") and got[None] == (None, "none")
+    assert all(got[k] == ("MIT", "inherited") for k in (1, 3, 4, 6, 7, 8, 10))
+    assert operator.scan(none.withColumn("path", F.lit("a"))).count() == 0
+
+
 def test_full_texts_and_wrapped_headers(spark):
     full = sorted(headers.TEXTS)
     wrapped = [
