@@ -59,6 +59,26 @@ def ltl_render(ast: str, latex: bool = False) -> Column:
     return fold(ast, _cases(own))
 
 
+# How loosely operators bind when a formula is printed as published.
+RANKS = {"not": 1, "and": 2, "or": 3, "implies": 4, "iff": 5}
+
+
+def ltl_published(ast: str) -> Column:
+    """LaTeX as published: unary operands in braces, a binary operator's operand in brackets if it binds more loosely.
+
+    Temporal operators rank below all others, so they never get brackets and give them to every other operator.
+    """
+    said = {}
+    for k, s in LATEX.items():
+        own = RANKS.get(k, 0)
+        if k in ("not", "next", "always", "eventually"):
+            said[k] = f"concat({_quoted(s + ' {')}, get(x, 0).t, '}}')"
+        else:
+            said[k] = f"array_join(transform(x, y -> case when y.r > {own} then concat({_quoted(chr(92) + 'left(')}, y.t, {_quoted(chr(92) + 'right)')}) else y.t end), {_quoted(' ' + s + ' ')})"
+    rank = "case n.k " + " ".join(f"when '{k}' then {r}" for k, r in RANKS.items()) + " else 0 end"
+    return fold(ast, f"named_struct('t', {_cases(said)}, 'r', {rank})", "struct<t:string,r:int>").getField("t")
+
+
 def ltl_key(ast: str, compat: bool = False) -> Column:
     """Prefix key: operands of commutative operators sorted; compat sorts those of every operator and has no separators."""
     own = {}

@@ -39,10 +39,12 @@ def judge_candidates(formulas: DataFrame, itl: DataFrame, translations: DataFram
     return fraction_sample(triplets(formulas, itl, open_), "translation_id", percent, seed)
 
 
-def unverified(formulas: DataFrame, itl: DataFrame) -> DataFrame:
-    f = formulas.select(F.col("id").alias("formula_id"), "formula")
+def unverified(formulas: DataFrame, itl: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """ITL that is still to be checked, with its formula; a page of it in order of id."""
+    f = formulas.select(F.col("id").alias("formula_id"), "formula", "spot_formulas", "canonical_form")
     i = itl.filter(~F.col("verified")).select(F.col("id").alias("itl_id"), "formula_id", "itl_text")
-    return i.join(f, "formula_id").select("itl_id", "formula_id", "formula", "itl_text")
+    out = i.join(f, "formula_id").select("itl_id", "formula_id", "formula", "spot_formulas", "canonical_form", "itl_text")
+    return out if limit is None else out.orderBy("itl_id").offset(offset).limit(limit)
 
 
 def to_convert(formulas: DataFrame) -> DataFrame:
@@ -50,7 +52,9 @@ def to_convert(formulas: DataFrame) -> DataFrame:
 
 
 def depth_distribution(formulas: DataFrame) -> DataFrame:
-    return formulas.groupBy("depth").agg(F.count("*").alias("n"))
+    """Formulas by depth, with the number of all of them."""
+    by = formulas.groupBy("depth").agg(F.count("*").alias("n"))
+    return by.join(F.broadcast(formulas.agg(F.count("*").alias("total"))))
 
 
 def pending(formulas: DataFrame, translations: DataFrame) -> DataFrame:

@@ -50,6 +50,13 @@ def with_ids(new: DataFrame, order: list[str], start: int | Column = 0, id_col:
     return part.join(starts, "__p").withColumn(id_col, F.col("__k") + F.col("__before") + 1 + start).drop("__p", "__k", "__before")
 
 
+def with_next_ids(existing: DataFrame, new: DataFrame, order: list[str], id_col: str = "id", time_col: str | None = None) -> DataFrame:
+    """new with consecutive ids after the largest of existing, and the time of the run if a column is named for it."""
+    last = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))
+    out = with_ids(new, order, 0, id_col).join(F.broadcast(last)).withColumn(id_col, F.col(id_col) + F.col("__last")).drop("__last")
+    return out.withColumn(time_col, F.current_timestamp()) if time_col else out
+
+
 def existing_keys(candidates: DataFrame, table: DataFrame, key: str, present: bool = True) -> DataFrame:
     """The candidates whose key is (or is not) in the table."""
     return candidates.join(table.select(key), key, "left_semi" if present else "left_anti")

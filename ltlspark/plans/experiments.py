@@ -19,6 +19,15 @@ def paired(predictions: DataFrame, task: str, a: str, b: str) -> DataFrame:
     return by.filter(F.col("first").isNotNull() & F.col("second").isNotNull())
 
 
+def paired_by_position(first: DataFrame, second: DataFrame, order: str = "item_id") -> DataFrame:
+    """The published way to pair two runs: their rows by position, in order, as far as the shorter goes."""
+    from ..operators.store import with_ids
+
+    a = with_ids(first.select(order, "prediction", "reference"), [order], 0, "position")
+    b = with_ids(second.select(order, "prediction"), [order], 0, "position")
+    return a.withColumnRenamed("prediction", "first").join(b.select("position", F.col("prediction").alias("second")), "position")
+
+
 def difference(pairs: DataFrame, score, by: list[Column] | None = None, least: int = 1) -> DataFrame:
     """n, both variants' means of score(prediction, reference) and their difference, by groups of at least so many."""
     scored = pairs.withColumns({"__a": score(F.col("first"), F.col("reference")), "__b": score(F.col("second"), F.col("reference"))})

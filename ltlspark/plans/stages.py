@@ -61,6 +61,20 @@ def converted(formulas: DataFrame, formula: str = "formula", dialect: str = "lat
     return df.withColumn("spot_formulas", spot).withColumn("canonical_form", F.when(F.col("status") == "error", "ERROR").otherwise(udfs.ltl_canonical(F.col("__ast")))).drop("__basic", "__p", "__b", "__ast")
 
 
+def revalidated(formulas: DataFrame) -> DataFrame:
+    """formulas with a converted column checked again: readable text gets its canonical form, other text becomes an error.
+
+    Rows without one, and rows that already say they are errors, stay as they are.
+    """
+    spot = F.col("spot_formulas")
+    due = spot.isNotNull() & ~F.startswith(spot, F.lit("ERROR:"))
+    once = udfs.over_distinct(formulas.withColumn("__s", F.when(due, spot)), ["__s"], __p=udfs.ltl_parse(F.col("__s")))
+    once = once.withColumn("__ast", F.when(due, F.col("__p.ast")))
+    canonical = F.when(due & ~F.col("__p.valid"), "ERROR").when(due, udfs.ltl_canonical(F.col("__ast"))).otherwise(F.col("canonical_form"))
+    text_ = F.when(due & ~F.col("__p.valid"), F.concat(F.lit("ERROR: "), spot)).otherwise(spot)
+    return once.withColumns({"canonical_form": canonical, "spot_formulas": text_}).select(*formulas.columns)
+
+
 def rendered(formulas: DataFrame) -> DataFrame:
     """One ITL row for each formula without an error: canonical text from the canonical form, or else the formula."""
     source = text.first_filled(F.col("canonical_form"), F.col("spot_formulas"), F.col("formula"))

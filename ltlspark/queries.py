@@ -11,18 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import goldens
 from .functions import folds, metrics, text, udfs
-from .ltl import rewrite
-from .ltl import itl as english
 from .ltl.ast import atoms, depth, operators, to_arena
 from .ltl.generate import space_size
 from .ltl.parse import parse
-from .ltl.treedist import normalised
 from .operators import aggregates, corpus, sampling, store
 from .plans import experiments, stages
-from .runtime import table
+from .runtime import scratch, table
 from .schema import AST, DOMAINS, GOLDEN
-from .standins import frame, quoted, values, with_tables
+from .sources import tables
+from .standins import CONTEXT, DOMAIN_RUNS, GOLD, frame, quoted, values, with_tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -59,6 +58,21 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(_golden(spark, f"k int, ltl string, ast {AST}", rows), "k")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, schema: str, rows: list[tuple]) -> DataFrame:
+    """Orders, each with one of the rows, in turn."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(rows)).cast("int").alias("k"))
+    return orders.join(_golden(spark, f"k int, {schema}", [(k, *r) for k, r in enumerate(rows)]), "k")
+
+
+def _dealt_trees(spark: SparkSession, sf_dir: str, formulas: list[str]) -> DataFrame:
+    """Orders, each with a formula and its stored tree."""
+    return _dealt(spark, sf_dir, f"ltl string, ast {AST}", [(f, [(n["k"], n["a"], n["v"]) for n in to_arena(parse(f))]) for f in formulas])
+
+
+def _dealt_sql(columns: str, rows: list[tuple], select: str) -> str:
+    return f"select {select} from orders join {values([(k, *r) for k, r in enumerate(rows)])} as g(k, {columns}) on g.k = o_orderkey % {len(rows)}"
+
+
 def _gold_sql(columns: str, rows: list[tuple], select: str) -> str:
     return f"select {select} from orders join {values(rows)} as g(k, {columns}) on g.k = o_orderkey % 31"
 
@@ -70,7 +84,7 @@ def _r(c, n: int = 6) -> Column:
 # --- scans, joins and the corpus' own queries
 
 
-@query("select depth, count(*) as n from formulas group by depth", "formulas")
+@query("select depth, count(*) as n, (select count(*) from formulas) as total from formulas group by depth", "formulas")
 def depth_distribution(spark, d):
     return corpus.depth_distribution(frame(spark, d, "formulas"))
 
@@ -111,16 +125,29 @@ def complete_triplets(spark, d):
     return corpus.complete_triplets(frame(spark, d, "formulas"), frame(spark, d, "itl"), frame(spark, d, "translations"))
 
 
-@query("select i.id as itl_id, i.formula_id, f.formula, i.itl_text from itl i join formulas f on f.id = i.formula_id where not i.verified", "formulas", "itl")
+_UNVERIFIED = "select i.id as itl_id, i.formula_id, f.formula, f.spot_formulas, f.canonical_form, i.itl_text from itl i join formulas f on f.id = i.formula_id where not i.verified"
+
+
+@query(_UNVERIFIED, "formulas", "itl")
 def unverified_itl(spark, d):
     return corpus.unverified(frame(spark, d, "formulas"), frame(spark, d, "itl"))
 
 
+@query(_UNVERIFIED + " order by i.id limit 64 offset 128", "formulas", "itl")
+def unverified_page(spark, d):
+    return corpus.unverified(frame(spark, d, "formulas"), frame(spark, d, "itl"), 64, 128)
+
+
 @query("select id, spot_formulas, canonical_form from formulas where spot_formulas is null or canonical_form is null", "formulas")
 def formulas_to_convert(spark, d):
     return corpus.to_convert(frame(spark, d, "formulas")).select("id", "spot_formulas", "canonical_form")
 
 
+@query("select count(*) as n from formulas where spot_formulas is null or canonical_form is null", "formulas")
+def formulas_to_convert_count(spark, d):
+    return corpus.to_convert(frame(spark, d, "formulas")).agg(F.count("*").alias("n"))
+
+
 @query(
     """select count(*) as total, count(*) filter (verified) as verified, count(*) filter (verified and is_correct) as correct, count(*) filter (verified and not is_correct) as incorrect,
     round(100.0 * count(*) filter (verified and is_correct) / nullif(count(*) filter (verified), 0)::double, 6) as correct_pct, round(100.0 * count(*) filter (verified and not is_correct) / nullif(count(*) filter (verified), 0)::double, 6) as incorrect_pct from itl""",
@@ -226,6 +253,54 @@ def generated_ids(spark, d):
     return store.with_ids(table(spark, d, "documents").select("source", "doc_id"), ["source", "doc_id"], 100).select("doc_id", "id")
 
 
+@query("select o_orderkey, (select max(c_custkey) from customer) + row_number() over (order by o_custkey, o_orderkey) as id from orders")
+def next_ids(spark, d):
+    existing = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return store.with_next_ids(existing, table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], time_col="at").select("o_orderkey", "id")
+
+
+@query("select doc_id, text, source, n_chars from documents")
+def csv_round_trip(spark, d):
+    """Texts with commas, quotes and line ends, written as CSV and read back."""
+    path = scratch(spark, "csv")
+    tables.write_csv(table(spark, d, "documents").select("doc_id", "text", "source", "n_chars"), path)
+    return tables.read_csv(spark, path, "doc_id bigint, text string, source string, n_chars bigint")
+
+
+@query("select conv_id, turn, role, text from conversations")
+def json_round_trip(spark, d):
+    path = scratch(spark, "json")
+    tables.write_json(table(spark, d, "conversations"), path)
+    return spark.read.schema("conv_id bigint, turn bigint, role string, text string").json(path)
+
+
+@query("select doc_id, n_chars from documents where doc_id % 2 = 0 union all select doc_id, n_chars from documents where doc_id % 3 = 0")
+def snapshot_and_append(spark, d):
+    """A snapshot that a second one does not replace, and an addition to it."""
+    docs, path = table(spark, d, "documents").select("doc_id", "n_chars"), scratch(spark, "snapshot")
+    tables.snapshot(docs.filter("doc_id % 2 = 0"), path)
+    tables.snapshot(docs, path)
+    tables.append(docs.filter("doc_id % 3 = 0"), path)
+    return tables.read_parquet(spark, path, "doc_id bigint, n_chars bigint")
+
+
+@query("select source, count(*) as n, round(avg(n_chars), 6) as mean from documents where n_chars > 100 group by 1")
+def sql_scan(spark, d):
+    return tables.read_sql(spark, "select source, count(*) as n, round(avg(n_chars), 6) as mean from {docs} where n_chars > 100 group by 1", docs=table(spark, d, "documents"))
+
+
+@query(
+    """select 'summary' as section, 'total' as key, count(*)::varchar as value from results union all select 'summary', 'correct', count(*) filter (is_correct)::varchar from results
+    union all select 'scores', b::varchar, count(score)::varchar from range(11) r(b) left join results on score = b group by b""",
+    "results",
+)
+def report_file(spark, d):
+    """The statistics report through its CSV file."""
+    path = scratch(spark, "report")
+    tables.write_report(statistics_report(spark, d), path)
+    return tables.read_csv(spark, path, "section string, key string, value string")
+
+
 @query("select n_nationkey, n_name, null::varchar as canonical_form from nation")
 def added_columns(spark, d):
     return store.add_missing_columns(table(spark, d, "nation").select("n_nationkey", "n_name"), {"canonical_form": "string", "n_name": "string"})
@@ -233,9 +308,7 @@ def added_columns(spark, d):
 
 @query("""select '{"n":' || count(*)::varchar || ',"top":' || max(score)::varchar || '}' as statistics_json from results""", "results")
 def statistics_json(spark, d):
-    from .sources.tables import statistics_json as made
-
-    return made(frame(spark, d, "results").agg(F.count("*").alias("n"), F.max("score").alias("top"))).select("statistics_json")
+    return tables.statistics_json(frame(spark, d, "results").agg(F.count("*").alias("n"), F.max("score").alias("top"))).select("statistics_json")
 
 
 @query(
@@ -475,14 +548,9 @@ def mask_tokens(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(masked, ", "), F.lit("]")).alias("ids"))
 
 
-_ATOMS = ["the condition p holds", "q is true, r", "TRUE", "Falsehood", "the system", " ,request; ", "is met"]
-_ATOMS_CLEAN = [english.clean_atom(x) for x in _ATOMS]
-
-
-@query(f"select o_orderkey, atom from orders join {values(list(enumerate(_ATOMS_CLEAN)))} as g(k, atom) on g.k = o_orderkey % {len(_ATOMS)}")
+@query(f"select o_orderkey, atom from orders join {values([(k, a) for k, (_, a) in enumerate(goldens.ATOMS)])} as g(k, atom) on g.k = o_orderkey % {len(goldens.ATOMS)}")
 def clean_atoms(spark, d):
-    g = _golden(spark, "k int, said string", list(enumerate(_ATOMS)))
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_ATOMS)).cast("int").alias("k")).join(g, "k").select("o_orderkey", text.clean_atom(F.col("said")).alias("atom"))
+    return _dealt(spark, d, "said string", [(t,) for t, _ in goldens.ATOMS]).select("o_orderkey", text.clean_atom(F.col("said")).alias("atom"))
 
 
 @query("""with s as (select page_id, list_reduce(list_transform(string_split(regexp_replace(html, '[^()]', '', 'g'), ''), lambda x: case x when '(' then 1 when ')' then -1 else 0 end), lambda a, x: case when a < 0 then a else a + x end, 0) as level from pages) select page_id, level = 0 as balanced from s""")
@@ -582,6 +650,15 @@ def rouge_l(spark, d):
     return _turns(spark, d).select("conv_id", "turn", _r(metrics.rouge_l(F.col("p"), F.col("r")), 9).alias("rouge_l"))
 
 
+# Two texts, words of their longest common subsequence, words of each.
+_COMMON = [("the cat sat", "the cat sat", 3, 3, 3), ("The  cat", "the CAT sat down", 2, 2, 4), ("a b c d", "d c b a", 1, 4, 4), ("p holds until q", "until q p holds", 2, 4, 4), ("x", "y", 0, 1, 1), ("", "a", 0, 0, 1), ("a a a b", "a b a", 2, 4, 3), (None, "a", None, 1, 1)]
+
+
+@query(_dealt_sql("p, r, n, a, b", _COMMON, "o_orderkey, round(2 * n / (a + b)::double, 9) as rouge_l"))
+def rouge_l_golden(spark, d):
+    return _dealt(spark, d, "p string, r string", [x[:2] for x in _COMMON]).select("o_orderkey", _r(metrics.rouge_l(F.col("p"), F.col("r")), 9).alias("rouge_l"))
+
+
 @query()
 def meteor(spark, d):
     return _turns(spark, d).select("conv_id", "turn", _r(metrics.meteor(F.col("p"), F.col("r")), 9).alias("meteor"))
@@ -621,16 +698,26 @@ def itl_by_depth(spark, d):
     return flagship(spark, d)
 
 
-@query(_gold_sql("canonical_key, compat_key", [(k, rewrite.key(f), rewrite.compat_key(f)) for k, f in enumerate(_PARSED)], "o_orderkey, canonical_key, compat_key, sha256(compat_key) as compat_hash"))
+@query(_dealt_sql("ltl, canonical_key, compat_key", goldens.KEYS, "o_orderkey, canonical_key, compat_key, sha256(compat_key) as compat_hash"))
 def ltl_keys(spark, d):
-    keys = _trees(spark, d).select("o_orderkey", folds.ltl_key("ast").alias("canonical_key"), folds.ltl_key("ast", compat=True).alias("compat_key"))
+    keys = _dealt_trees(spark, d, [f for f, *_ in goldens.KEYS]).select("o_orderkey", folds.ltl_key("ast").alias("canonical_key"), folds.ltl_key("ast", compat=True).alias("compat_key"))
     return keys.withColumn("compat_hash", F.sha2("compat_key", 256))
 
 
-@query(_gold_sql("canonical_hash, compat_hash", [(k, rewrite.canonical_hash(f), rewrite.canonical_hash(f, True)) for k, f in enumerate(_PARSED)], "o_orderkey, canonical_hash, compat_hash"))
+@query(_dealt_sql("ltl, normal, compat_normal", goldens.NORMAL, "o_orderkey, sha256(normal) as canonical_hash, sha256(compat_normal) as compat_hash"))
 def ltl_canonical_hash(spark, d):
-    df = udfs.over_distinct(_trees(spark, d), ["ltl"], parsed=udfs.ltl_parse(F.col("ltl")))
-    return udfs.over_distinct(df.drop("ast").withColumn("ast", F.col("parsed.ast")).drop("parsed"), ["ast"], canonical_hash=udfs.ltl_canonical_hash(F.col("ast")), compat_hash=udfs.ltl_canonical_hash(F.col("ast"), True)).select("o_orderkey", "canonical_hash", "compat_hash")
+    df = _dealt_trees(spark, d, [f for f, *_ in goldens.NORMAL])
+    return udfs.over_distinct(df, ["ast"], canonical_hash=udfs.ltl_canonical_hash(F.col("ast")), compat_hash=udfs.ltl_canonical_hash(F.col("ast"), True)).select("o_orderkey", "canonical_hash", "compat_hash")
+
+
+_STEPS = ["nnf", "expand", "flatten", "distribute", "sort", "simplify"]
+
+
+@query(_dealt_sql("ltl, nnf, expand, flatten, distribute, sort, simplify", goldens.REWRITES, "o_orderkey, nnf, expand, flatten, distribute, sort, simplify"))
+def ltl_rewrites(spark, d):
+    """Each rewrite on its own."""
+    df = _dealt_trees(spark, d, [f for f, *_ in goldens.REWRITES])
+    return udfs.over_distinct(df, ["ast"], **{s: udfs.ltl_show(udfs.ltl_rewrite(F.col("ast"), s)) for s in _STEPS}).select("o_orderkey", *_STEPS)
 
 
 @query(_gold_sql("depth, operators, propositions, atoms", [(k, depth(f), operators(f), len(atoms(f)), ",".join(atoms(f))) for k, f in enumerate(_PARSED)], "o_orderkey, depth, operators, propositions, atoms"))
@@ -648,27 +735,49 @@ def pattern_class(spark, d):
     return _trees(spark, d).select("o_orderkey", folds.classify("ast").alias("pattern"), folds.classify("ast", compat=True).alias("compat_pattern"))
 
 
-@query()
+def _structured_sql() -> str:
+    said = [(p, k, t) for p, ts in text.STRUCTURED.items() for k, t in enumerate(ts)]
+    g = _dealt_sql("ltl, pattern, p, q", goldens.OPERANDS, "o_orderkey, pattern, p, coalesce(q, '') as q")
+    return f"select o_orderkey, pattern, replace(replace(t, '{{p}}', p), '{{q}}', q) as phrase from ({g}) join {values(said)} as s(name, n, t) on name = pattern"
+
+
+@query(_structured_sql())
 def structured_paraphrases(spark, d):
-    df = _trees(spark, d).withColumn("itl", folds.itl_render("ast"))
+    df = _dealt_trees(spark, d, [f for f, *_ in goldens.OPERANDS]).withColumn("itl", folds.itl_render("ast"))
     return stages.structured_paraphrases(df, "ast", "itl").select("o_orderkey", "pattern", "phrase")
 
 
-@query()
+@query(_dealt_sql("ltl, published, itl, nnf, sexpr", goldens.TEXTS, "o_orderkey, published, itl, nnf, sexpr, true as same_json"))
 def ltl_texts(spark, d):
-    return _trees(spark, d).select("o_orderkey", folds.ltl_render("ast").alias("spot"), folds.ltl_render("ast", latex=True).alias("latex"), folds.nnf_text("ast").alias("nnf"), folds.to_json("ast").alias("json"), folds.sexpr("ast").alias("sexpr"))
+    """LaTeX as published, English, normal form and the tree's own text; JSON that reads back as the tree."""
+    df = _dealt_trees(spark, d, [f for f, *_ in goldens.TEXTS]).withColumn("json", folds.to_json("ast"))
+    back = udfs.over_distinct(df, ["json"], back=udfs.ast_from_json(F.col("json")))
+    return back.select("o_orderkey", folds.ltl_published("ast").alias("published"), folds.itl_render("ast").alias("itl"), folds.nnf_text("ast").alias("nnf"), folds.sexpr("ast").alias("sexpr"), (F.col("back") == F.col("ast")).alias("same_json"))
 
 
-_BACK = [english.operand_text(english.parse_itl(i)) for _, i, _ in GOLDEN]
 # The golden texts that do not read back as their formula ("not" reaches over what follows it).
 _FAIL = {"!q W p"}
+_BACK = dict(goldens.BACK)
+_CHECKED = [*goldens.CHECKS, *[(ltl, i, _BACK[i], True, None) for ltl, i, _ in GOLDEN if ltl not in _FAIL]]
 
 
-@query(_gold_sql("reconstructed, is_correct", [(k, b, ltl not in _FAIL) for k, ((ltl, _, _), b) in enumerate(zip(GOLDEN, _BACK, strict=True))], "o_orderkey, reconstructed, is_correct"))
+@query(_dealt_sql("formula, itl_text, reconstructed, is_correct, verification_errors", _CHECKED, "o_orderkey, reconstructed, is_correct, verification_errors"))
 def roundtrip_check(spark, d):
-    rows = [(k, ltl, itl) for k, (ltl, itl, _) in enumerate(GOLDEN)]
-    df = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 31).cast("int").alias("k")).join(_golden(spark, "k int, formula string, itl_text string", rows), "k")
-    return stages.verified(df).select("o_orderkey", "reconstructed", "is_correct")
+    """English read back and compared with its formula, rows that fail by what they say included."""
+    df = _dealt(spark, d, "formula string, itl_text string", [r[:2] for r in _CHECKED])
+    return stages.verified(df).select("o_orderkey", "reconstructed", "is_correct", "verification_errors")
+
+
+@query(_dealt_sql("before, spot_formulas, canonical_form", goldens.REVALIDATED, "o_orderkey, spot_formulas, canonical_form"))
+def revalidated_formulas(spark, d):
+    df = _dealt(spark, d, "spot_formulas string", [(r[0],) for r in goldens.REVALIDATED]).withColumn("canonical_form", F.lit("kept"))
+    return stages.revalidated(df).select("o_orderkey", "spot_formulas", "canonical_form")
+
+
+@query(f"select f.id as formula_id, g.itl as itl_text, true as canonical_form, 'canonical_mapping' as generation_method, false as verified from formulas f join {GOLD} on g.k = f.id % 31 where coalesce(canonical_form, '') <> 'ERROR'", "formulas")
+def rendered_itl(spark, d):
+    """The ITL table made from the formulas: canonical text, else converted, else original."""
+    return stages.rendered(frame(spark, d, "formulas"))
 
 
 # Pairs of formulas, whether they mean the same.
@@ -684,8 +793,6 @@ _PAIRS = [
     ("p M q", "q U (p & q)", True),
     ("p ->", "p", None),
 ]
-_DISTANCES = [None if same is None else round(normalised(parse(a), parse(b)), 9) for a, b, same in _PAIRS]
-
 
 @query(f"select o_orderkey, same, valid from orders join {values([(k, s, s is not None) for k, (_, _, s) in enumerate(_PAIRS)])} as g(k, same, valid) on g.k = o_orderkey % 10")
 def ltl_equivalence(spark, d):
@@ -695,11 +802,12 @@ def ltl_equivalence(spark, d):
     return out.select("o_orderkey", "same", F.col("p.valid").alias("valid"))
 
 
-@query(f"select o_orderkey, distance::double as distance from orders join {values(list(enumerate(_DISTANCES)))} as g(k, distance) on g.k = o_orderkey % 10")
+@query(_dealt_sql("a, b, edits, nodes", goldens.DISTANCES, "o_orderkey, edits::double as edits, round(edits::double / nodes, 9) as distance"))
 def tree_edit_distance(spark, d):
-    g = _golden(spark, "k int, a string, b string", [(k, a, b) for k, (a, b, _) in enumerate(_PAIRS)])
-    df = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).cast("int").alias("k")).join(g, "k")
-    return udfs.over_distinct(df, ["a", "b"], distance=udfs.tree_edit_distance(F.col("a"), F.col("b"))).select("o_orderkey", _r("distance", 9).alias("distance"))
+    df = _dealt(spark, d, "a string, b string", [r[:2] for r in goldens.DISTANCES])
+    pair = F.col("a"), F.col("b")
+    found = udfs.over_distinct(df, ["a", "b"], edits=udfs.tree_edit_distance(*pair, normalised=False), distance=udfs.tree_edit_distance(*pair))
+    return found.select("o_orderkey", "edits", _r("distance", 9).alias("distance"))
 
 
 # Formulas that are tautologies (true), contradictions (false) or neither.
@@ -768,14 +876,63 @@ def sensitivity_to_operators(spark, d):
     return experiments.sensitivity(frame(spark, d, "predictions"), metrics.exact_match, "ltl_to_nl", "operators").withColumn("mean", _r("mean"))
 
 
-@query()
+def _renamed(spark: SparkSession, d: str, names: dict[str, str]) -> DataFrame:
+    p = frame(spark, d, "predictions")
+    return p.withColumn("variant", F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("variant")))
+
+
+@query(
+    """, pr as (select item_id, max(prediction) filter (variant = 'direct') as a, max(prediction) filter (variant = 'two_stage') as b, max(reference) as r, max(domain) as domain
+    from predictions where prediction is not null and prediction <> '[Generation failed]' group by 1 having a is not null and b is not null)
+    select domain, count(*) as n, round(avg((a = r)::double), 6) as first_mean, round(avg((b = r)::double), 6) as second_mean, round(avg((a = r)::double) - avg((b = r)::double), 6) as difference from pr group by 1 having count(*) >= 10""",
+    "predictions",
+)
+def impact_of_context(spark, d):
+    out = experiments.impact_of_context(_renamed(spark, d, CONTEXT), metrics.exact_match)
+    return out.withColumns({c: _r(c) for c in ("first_mean", "second_mean", "difference")})
+
+
+_SQL["impact_of_context"] = _SQL["impact_of_context"].replace(") , pr as", "), pr as")
+
+
+@query("select case variant when 'direct' then 'lodo' else 'few_shot_5' end as variant, domain, count(*) as n, round(avg((prediction = reference)::double), 6) as mean from predictions where prediction is not null and prediction <> '[Generation failed]' group by 1, 2", "predictions")
+def domain_generalisation(spark, d):
+    return experiments.domain_generalisation(_renamed(spark, d, DOMAIN_RUNS), metrics.exact_match).withColumn("mean", _r("mean"))
+
+
+@query(
+    """, a as (select row_number() over (order by item_id) as position, prediction as first, reference, item_id from predictions where variant = 'direct'),
+    b as (select row_number() over (order by item_id) as position, prediction as second from predictions where variant = 'two_stage')
+    select position, item_id, first, second, reference from a join b using (position)""",
+    "predictions",
+)
+def positional_pairs(spark, d):
+    p = frame(spark, d, "predictions")
+    return experiments.paired_by_position(p.filter("variant = 'direct'"), p.filter("variant = 'two_stage'"))
+
+
+_SQL["positional_pairs"] = _SQL["positional_pairs"].replace(") , a as", "), a as")
+
+
+# Prediction, reference, exact match, meaning, edits of the tree over its nodes, whether the prediction is a formula.
+_SCORED = [("G(p)", "G(p)", 1, 1, 0.0, 1), ("g(P)", "G(p)", 0, None, None, 0), ("F(G(p))", "G(F(p))", 0, 0, 2 / 3, 1), ("p W q", "(p U q) | G(p)", 0, 1, 4 / 6, 1), ("p ->", "p", 0, None, None, 0), ("[Generation failed]", "p", 0, None, None, 0), (None, "p", 0, None, None, 0)]
+
+
+@query(
+    f"""select count(*) as n, round(avg(exact), 9) as exact_match, round(avg((lower(p) = lower(r))::double), 9) as normalized_exact_match, null::double as rouge_l, null::double as meteor,
+    round(avg(same), 9) as semantic_equivalence, round(avg(distance), 9) as tree_edit_distance, round(avg(valid), 9) as syntactic_correctness
+    from ({_dealt_sql("p, r, exact, same, distance, valid", _SCORED, "*")}) where p <> '[Generation failed]'"""
+)
 def ltl_metrics(spark, d):
-    """All metrics of formula targets over the pairs, as predictions and references."""
-    g = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(_PAIRS)], "item_id int, prediction string, reference string")
-    return metrics.metric_table(g, "ltl")
+    """All metrics of formula targets over a table of predictions; failed and missing ones do not count."""
+    out = metrics.metric_table(_dealt(spark, d, "prediction string, reference string", [r[:2] for r in _SCORED]), "ltl")
+    return out.withColumns({c: _r(c, 9) for c in out.columns if c != "n"})
 
 
-@query()
+@query(
+    f"""select item_id, to_json({{'item_id': item_id, 'prediction': p, 'reference': r, 'ratings': {{'accuracy': null, 'fluency': null, 'domain_fit': null}}}})::varchar as json
+    from (select conv_id * 4294967296 + turn as item_id, p, r from ({_TURNS})) order by {_H.format(42, 'item_id')}, item_id limit 100"""
+)
 def human_packet(spark, d):
     return experiments.human_packet(_turns(spark, d).select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("item_id"), F.col("p").alias("prediction"), F.col("r").alias("reference")))
 

@@ -38,18 +38,35 @@ def materialise(df: DataFrame, name: str, onto: DataFrame | None = None) -> Data
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
     if id(out) in _TABLES:
         _LEFT.append(_TABLES[id(out)])
-    _TABLES[id(out)] = (weakref.ref(out), where.getFileSystem(sc._jsc.hadoopConfiguration()), where)
+    _TABLES[id(out)] = (weakref.ref(out), *_place(spark, path))
     return out
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder that is no longer read, whatever store it is in."""
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The file system and the path of a folder, whatever store it is in."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    fs, where = _place(spark, path)
+    fs.delete(where, True)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there and has Parquet files."""
+    fs, where = _place(spark, path)
+    return fs.exists(where) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(where))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files of any format; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.append((None, *_place(spark, path)))
+    return path
 
 
 #: Where tables of materialise() lie: by the frame's id, itself, its file system and its path.

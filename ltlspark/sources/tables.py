@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..runtime import shared_dir
+from ..runtime import has_files, shared_dir
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -57,12 +57,7 @@ def statistics_json(one_row: DataFrame) -> DataFrame:
 def processed_keys(spark: SparkSession, name: str, schema: str) -> DataFrame:
     """Keys that earlier runs have noted as done; none before the first."""
     path = f"{shared_dir(spark)}/progress-{name}"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - the reader's class of a missing path differs by version
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    return spark.read.schema(schema).parquet(path) if has_files(spark, path) else spark.createDataFrame([], schema)
 
 
 def note_processed(keys: DataFrame, name: str) -> None:

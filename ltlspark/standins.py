@@ -19,6 +19,9 @@ def values(rows: list[tuple]) -> str:
 GOLD = values([(k, ltl, itl) for k, (ltl, itl, _) in enumerate(GOLDEN)]) + " as g(k, ltl, itl)"
 DOMAIN = values(list(enumerate(DOMAINS))) + " as d(k, name)"
 
+#: Variants of a prediction as the experiments on context and domains name them.
+CONTEXT, DOMAIN_RUNS = {"direct": "with_context", "two_stage": "without_context"}, {"direct": "lodo", "two_stage": "few_shot_5"}
+
 SQL = {
     "formulas": f"""select o_orderkey as id, g.ltl as formula, g.ltl as latex, cast(o_custkey as string) as canonical_hash, cast(o_orderkey % 6 as int) as depth,
         case when o_orderkey % 7 = 0 then null else g.ltl end as spot_formulas,

@@ -2,7 +2,8 @@
 
 The work queue of the original is a loop that reads what is not done yet. Here the
 input directory is a stream; a batch drops the keys that the output has (so a
-repeated batch adds nothing) and the stream's checkpoint remembers the files.
+repeated batch, or a run from the beginning, adds nothing) and the stream's checkpoint
+remembers the files. Of the output only the key is read; batches should be large.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..runtime import shared_dir
+from ..runtime import has_files, shared_dir
 
 
 def run_incremental(spark: SparkSession, source: str, schema: str, out: str, key: str, transform: Callable[[DataFrame], DataFrame], *, name: str = "stage", checkpoint: str | None = None, per_trigger: int | None = None) -> StreamingQuery:
@@ -24,13 +25,9 @@ def run_incremental(spark: SparkSession, source: str, schema: str, out: str, key
 
     def each(batch: DataFrame, _: int) -> None:
         made = transform(batch).dropDuplicates([key])
-        try:
-            done = spark.read.parquet(out).select(key)
-        except Exception as e:  # noqa: BLE001 - the first batch finds no output
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
-        (made if done is None else made.join(done, key, "left_anti")).write.mode("append").parquet(out)
+        if has_files(spark, out):
+            made = made.join(spark.read.schema(made.schema).parquet(out).select(key), key, "left_anti")
+        made.write.mode("append").parquet(out)
 
     stream = reader.parquet(source)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint or f"{shared_dir(spark)}/stream-{name}").trigger(availableNow=True).start()

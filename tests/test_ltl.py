@@ -1,9 +1,12 @@
 """Formulas without Spark: parser, printers, rewrites, decisions, distance, English."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ltlspark import goldens
 from ltlspark.ltl import decide, generate, itl, rewrite, treedist
 from ltlspark.ltl.ast import BINARY, UNARY, atoms, depth, from_arena, operators, to_arena, walk
 from ltlspark.ltl.parse import LATEX, ParseError, parse, show
@@ -142,3 +145,32 @@ def test_generator_depends_on_seed_and_number_alone():
     assert made == [generate.formula(1, k, 4) for k in range(50)] and len(set(made)) > 20
     assert all(depth(f) <= 4 for f in made) and made != [generate.formula(2, k, 4) for k in range(50)]
     assert [generate.space_size(k) for k in (1, 2, 3)] == [8, 176, 69696]
+
+
+@pytest.mark.parametrize(("text", "key", "compat"), goldens.KEYS)
+def test_keys_are_as_written_down(text, key, compat):
+    assert (rewrite.key(parse(text)), rewrite.compat_key(parse(text))) == (key, compat)
+
+
+@pytest.mark.parametrize(("text", "normal", "compat"), goldens.NORMAL)
+def test_hashes_are_of_the_normal_forms_written_down(text, normal, compat):
+    f = parse(text)
+    assert rewrite.canonical_hash(f) == hashlib.sha256(normal.encode()).hexdigest()
+    assert rewrite.canonical_hash(f, True) == hashlib.sha256(compat.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("text", "latex", "said", "nnf", "_"), goldens.TEXTS)
+def test_texts_mean_the_formula(text, latex, said, nnf, _):
+    f = parse(text)
+    assert itl.render(f) == said and decide.equivalent(f, parse(nnf)) is True
+
+
+@pytest.mark.parametrize(("said", "back"), goldens.BACK)
+def test_english_reads_back_as_written_down(said, back):
+    assert itl.operand_text(itl.parse_itl(said)) == back
+
+
+@pytest.mark.parametrize(("a", "b", "edits", "nodes"), goldens.DISTANCES[:-1])
+def test_distances_are_as_written_down(a, b, edits, nodes):
+    f, g = parse(a), parse(b)
+    assert treedist.distance(f, g) == treedist.distance(g, f) == edits and max(sum(1 for _ in walk(x)) for x in (f, g)) == nodes

@@ -243,3 +243,57 @@ def test_json_and_roles(spark):
     got = [tuple(r) for r in df.orderBy("i").select(*[folds.proposition("ast", r) for r in roles]).collect()]
     no = "the condition"
     assert got == [("(p implies eventually(q))", no, no, "p", "q", no), (no, "p", "(q and r)", no, no, no), ("always(p)", no, no, no, no, no), (no,) * 6, ("(p implies q)", no, no, "p", "q", no)]
+
+
+def test_updates_that_repeat_a_key(spark):
+    table = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "id int, v string")
+    new = spark.createDataFrame([(2, "a"), (2, "b"), (2, None), (9, "c")], "id int, v string")
+    assert collected(store.update_by_key(table, new, "id", ["v"])) == [(1, "x"), (2, "b"), (2, "b")]
+
+
+def test_running_average_of_hot_groups_nulls_and_ties(spark):
+    rows = [("hot", k, float(k % 7)) for k in range(500)] + [("other", 3, 1.0), ("other", 1, None), (None, 5, 2.0), ("hot", None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, t int, v double").repartition(5)
+    got = {(r["g"], r["t"]): r["running"] for r in store.running_average(df, "t", "v", "g").collect()}
+    assert len(got) == len(rows) and got["hot", None] == 4.0 and got[None, 5] == 2.0 and got["other", 1] is None and got["other", 3] == 1.0
+    assert abs(got["hot", 499] - (sum(k % 7 for k in range(500)) + 4) / 501) < 1e-12 and abs(got["hot", 9] - (sum(k % 7 for k in range(10)) + 4) / 11) < 1e-12
+    assert store.running_average(df.limit(0), "t", "v", "g").count() == 0
+
+
+def test_samples_are_dealt_into_ranges(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    want = collected(sampling.fraction_sample(df, "k", 10))
+    monkeypatch.setattr(sampling, "BUCKET", 7)
+    assert collected(sampling.fraction_sample(df, "k", 10)) == want and len(want) == 300
+
+
+def test_published_latex_of_many_operands(spark):
+    rows = [(k, [(n["k"], n["a"], n["v"]) for n in to_arena(parse(x))]) for k, x in enumerate(["p & q & (r | s)", "!(p | q)"])]
+    df = spark.createDataFrame(rows, f"i int, ast {AST}")
+    assert [r[0] for r in df.orderBy("i").select(folds.ltl_published("ast")).collect()] == ["p \\land q \\land \\left(r \\lor s\\right)", "\\neg {p \\lor q}"]
+
+
+def test_grid_and_progress(spark):
+    from ltlspark.plans.experiments import grid
+
+    assert grid(spark, ["a", "b"], ["x"]).count() == 2
+
+
+def test_verdicts_of_many_replies(spark):
+    replies = [
+        ('```json\n{"is_correct": true, "score": 11, "issues": ["a"], "reasoning": "r"}\n```', (True, None, ["a"], "json")),
+        ('{"is_correct": false}', (False, None, [], "json")),
+        ('text before {"score": 4, "issues": null} after', (False, 4, [], "json")),
+        ('{"broken": ', (False, 3, [text.DEFAULT_ISSUE], "text")),
+        ('IS_CORRECT: TRUE score: 7 issues: []', (True, 7, [], "text")),
+        ('is_correct: false issues: [one, two]', (False, 3, ["one", "two"], "text")),
+        ("it accurately captures the formula", (True, 8, [], "text")),
+        ("an incorrect translation, not equivalent", (False, 3, [text.DEFAULT_ISSUE], "text")),
+        ("", (False, 3, [text.DEFAULT_ISSUE], "text")),
+        ("score: 99999999999999", (False, None, [text.DEFAULT_ISSUE], "text")),
+    ]
+    df = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(replies)] + [(99, None)], "k int, r string")
+    got = {x["k"]: x["j"] for x in df.select("k", text.judge_parse(F.col("r")).alias("j")).collect()}
+    assert got.pop(99) is None
+    for k, (_, want) in enumerate(replies):
+        assert (got[k]["is_correct"], got[k]["score"], got[k]["issues"], got[k]["source"]) == want, replies[k]
