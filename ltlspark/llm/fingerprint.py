@@ -20,6 +20,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -112,6 +113,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+#: Stands for every hash where an id is not cut by them.
+_ANY = -(1 << 63)
+
+
 class _Text:
     """A text on its way through the neighbours' pass."""
 
@@ -131,31 +136,51 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     The edited text has its last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document, by ascending id; the first follows
-    the last. Rows are dealt once, by ranges of the id whose lower ends are ids of
-    the table; the row at a lower end goes to the range before it as well, and the
-    first row to the last range. Ties in the id are ordered by text, null ids come
-    first, and a text that is alone follows itself.
+    the last. Rows are dealt once, by ranges of the id, and of the text's hash within an
+    id that many rows share, whose lower ends are values of the table; the rows at a
+    lower end go to the range before it as well, and the first row to the last range.
+    Ties in the id are ordered by the text's hash, then by the text; null ids come
+    first, and a text that is alone follows itself. Rows equal in id and text share a range.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     n = shuffle_partitions(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     stats = source.agg(F.min(key).alias("lo"), F.percentile_approx(key, [k / n for k in range(1, n)] or [0.5], F.lit(max(10_000, 20 * n))).alias("cuts")).first()
     first = stats["lo"] if stats["lo"] is not None else 0
-    cuts = np.array(sorted({c for c in stats["cuts"] or () if c > first} if n > 1 else ()), np.int64)
-    last = len(cuts)
+    quantiles = _in_table(source.select(key.alias("k")), list(stats["cuts"] or ())) if n > 1 else []
+    ends = [(c, _ANY) for c in sorted({c for c in quantiles if c > first})]
+    # an id that several quantiles fall on is cut by quantiles of its texts' hashes
+    shared = [c for c, times in Counter(quantiles).items() if times > 1]
+    least = {}
+    if shared:
+        inside = source.filter(key.isin(shared)).groupBy(key.alias("k")).agg(F.min("h").alias("least"), F.percentile_approx("h", [i / 64 for i in range(1, 64)], F.lit(10_000)).alias("hs"))
+        for r in inside.collect():
+            least[r["k"]] = r["least"]
+            step = max(1, 64 // (quantiles.count(r["k"]) + 1))
+            ends += [(r["k"], x) for x in sorted(set(r["hs"][step - 1 :: step])) if x > r["least"]]
+    ends.sort()
+    cuts, hashes = (np.array([e[i] for e in ends], np.int64) for i in range(2))
+    last = len(ends)
+    lowest = [(first, _ANY), *ends]
+    at = np.array([least.get(c, _ANY) if x == _ANY else x for c, x in lowest], np.int64)
+    any_hash = np.array([x == _ANY and c not in least for c, x in lowest])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            k, h = batch.column(0).fill_null(-(1 << 63)).to_numpy(), batch.column(2).to_numpy()
             to = np.searchsorted(cuts, k, "right")
-            low = np.append(np.int64(first), cuts)[to] == k
+            for c in least:
+                own = k == c
+                x, y = np.searchsorted(cuts, c, "left"), np.searchsorted(cuts, c, "right")
+                to[own] = x + np.searchsorted(hashes[x:y], h[own], "right")
+            low = (np.append(np.int64(first), cuts)[to] == k) & (any_hash[to] | (at[to] == h))
             rows = np.concatenate([np.arange(len(k)), np.flatnonzero(low)])
             bucket = np.concatenate([to, np.where(to[low] > 0, to[low] - 1, last)])
             order = np.concatenate([np.zeros(len(k), bool), np.ones(low.sum(), bool)])
             out = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bucket, pa.int32()), pa.array(order)], names=["doc_id", "text", "bucket", "after"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(bucket, pa.int32()), pa.array(order)], names=["doc_id", "text", "h", "bucket", "after"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: _Text | None = None
@@ -177,9 +202,26 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    dealt = source.mapInArrow(deal, "doc_id long, text string, bucket int, after boolean")
+    dealt = source.mapInArrow(deal, "doc_id long, text string, h long, bucket int, after boolean")
     spread = dealt.repartitionById(last + 1, F.col("bucket")) if hasattr(dealt, "repartitionById") else dealt.repartition(last + 1, "bucket")
-    return spread.sortWithinPartitions("bucket", "after", F.asc_nulls_first("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return spread.sortWithinPartitions("bucket", "after", F.asc_nulls_first("doc_id"), "h", "text").mapInArrow(run, SCHEMA)
+
+
+def _in_table(keys: DataFrame, quantiles: list[int]) -> list[int]:
+    """Quantiles went through doubles: large ones are replaced by the next value that the table has."""
+    if all(abs(c) <= 1 << 53 for c in quantiles if c != _ANY):
+        return quantiles
+    at = np.array(sorted(set(quantiles)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = np.sort(batch.column(0).to_numpy())
+            place = np.searchsorted(k, at)
+            found = np.flatnonzero(place < len(k))
+            yield pa.RecordBatch.from_arrays([pa.array(at[found]), pa.array(k[place[found]])], names=["c", "k"])
+
+    named = {r["c"]: r["k"] for r in keys.mapInArrow(run, "c long, k long").groupBy("c").agg(F.min("k").alias("k")).collect()}
+    return [named[c] for c in quantiles if c in named]
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

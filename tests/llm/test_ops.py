@@ -215,6 +215,21 @@ def jaccard(a, b):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
+@pytest.mark.parametrize(("hot", "more"), [(1, 0), (5, 0), (9, 0), (2**60 + 3, 2**60)])
+def test_an_id_of_many_rows_is_cut_by_its_texts(spark, hot, more):
+    import xxhash
+
+    many = [(k + more, f"text of {k} and {k * k}") for k in range(1, 10)] + [(hot, f"one of many {j} {j * j}") for j in range(400)] + [(None, f"no id {j}") for j in range(300)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.edited_fingerprints(df).collect())
+    rows = sorted(many, key=lambda r: (-1 if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1].encode(), seed=42) >> 11, r[1]))
+    want = Counter()
+    for (k, t), (_, after) in zip(rows, [*rows[1:], rows[0]]):
+        half = len(t) // 2
+        want[k, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def test_consistent_sampling_follows_weights():
     rng = np.random.default_rng(1)
     terms = rng.integers(0, 2**63, 60, np.uint64)
