@@ -164,3 +164,26 @@ OPERANDS = [
     ("G(send -> X(F(receive)))", "invariance", "(send implies next(eventually(receive)))", None),
     ("G(alarm -> (alarm U reset))", "invariance", "(alarm implies (alarm until reset))", None),
 ]
+
+# LaTeX-like formulas, their reading or the error, and how it came about.
+CONVERTED = [
+    (r"u \land \neg {G {\neg {\neg {w \leftrightarrow s}}} U u} \lor s", "(u & !(G(!!(w <-> s)) U u)) | s", "valid"),
+    (r"G {p} \land F {\neg {p}}", "G(p) & F(!p)", "valid"),
+    (r"p \lor \neg {p}", "p | !p", "valid"),
+    (r"p \rightarrow (q \lor r)", "p -> (q | r)", "valid"),
+    (r"\neg {\neg {p}} \leftrightarrow p", "!!p <-> p", "valid"),
+    (r"G {F {p}} \rightarrow F {G {p}}", "G(F(p)) -> F(G(p))", "valid"),
+    (r"p U (q U r)", "p U (q U r)", "valid"),
+    (r"(p U q) U r", "(p U q) U r", "valid"),
+    (r"\neg {G {p}} \leftrightarrow F {\neg {p}}", "!G(p) <-> F(!p)", "valid"),
+    (r"(G (p \rightarrow F q)) \land (G (r \rightarrow F s))", "G(p -> F(q)) & G(r -> F(s))", "valid"),
+    (r"G (p \rightarrow (q U r)) \lor (s U (\neg {t}))", "G(p -> (q U r)) | (s U !t)", "valid"),
+    (r"\neg{(p U q) R (r M s)}", "!((p U q) R (r M s))", "valid"),
+    (r"G (p \rightarrow (F q \land X (r \lor s)))", "G(p -> (F(q) & X(r | s)))", "valid"),
+    (r"F G ((p \lor q) \land (r -> s))", "F(G((p | q) & (r -> s)))", "valid"),
+    (r"\left(p \land q\right) U r", "(p & q) U r", "valid"),
+    (r"p \land q \land r", "p & q & r", "valid"),
+    (r"p \land", "ERROR: unexpected end", "error"),
+    (r"p q", "ERROR: unexpected 'q'", "error"),
+    (r"", "ERROR: empty formula", "error"),
+]

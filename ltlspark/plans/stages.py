@@ -53,7 +53,7 @@ def unique_formulas(spark: SparkSession, target: int, *, seed: int = 42, max_dep
 def converted(formulas: DataFrame, formula: str = "formula", dialect: str = "latex") -> DataFrame:
     """formulas with spot_formulas, canonical_form and status: the parser's reading, else plain replacement if that parses, else an error."""
     df = formulas.drop("spot_formulas", "canonical_form", "status").withColumn("__basic", text.basic_conversion(F.col(formula)))
-    df = df.withColumn("__p", udfs.ltl_parse(F.col(formula), dialect)).withColumn("__b", udfs.ltl_parse(F.col("__basic")))
+    df = udfs.over_distinct(df, [formula, "__basic"], __p=udfs.ltl_parse(F.col(formula), dialect), __b=udfs.ltl_parse(F.col("__basic")))
     status = F.when(F.col("__p.valid"), "valid").when(F.col("__b.valid"), "basic").otherwise("error")
     ast = F.when(F.col("__p.valid"), F.col("__p.ast")).when(F.col("__b.valid"), F.col("__b.ast"))
     df = df.withColumn("status", status).withColumn("__ast", ast)

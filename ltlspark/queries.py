@@ -811,25 +811,19 @@ def tree_edit_distance(spark, d):
 
 
 # Formulas that are tautologies (true), contradictions (false) or neither.
-_TRUTHS = [("!p | p", True), ("G(p) | F(!p)", True), ("F(p) | G(!p)", True), ("(p -> q) | (q -> p)", True), ("(p & q) -> p", True), ("!p & p", False), ("G(p) & F(!p)", False), ("p U q", None)]
+_TRUTHS = [("!p | p", True), ("G(p) | F(!p)", True), ("F(p) | G(!p)", True), ("(p -> q) | (q -> p)", True), ("(p & q) -> p", True), ("!p & p", False), ("G(p) & F(!p)", False), ("p U q", None), ("G(p) -> p", True), ("(p U q) -> F(q)", True), ("(p W q) <-> (q R (p | q))", True), ("(p U q) & G(!q)", False), ("X(p) <-> !X(!p)", True), ("F(G(p)) -> G(F(p))", True), ("G(F(p)) -> F(G(p))", None), ("1", True), ("0 | (p & 0)", False)]
 
 
-@query(f"select o_orderkey, tautology, contradiction from orders join {values([(k, t is True, t is False) for k, (_, t) in enumerate(_TRUTHS)])} as g(k, tautology, contradiction) on g.k = o_orderkey % 8")
+@query(_dealt_sql("ltl, tautology, contradiction", [(f, t is True, t is False) for f, t in _TRUTHS], "o_orderkey, tautology, contradiction"))
 def tautologies(spark, d):
-    rows = [(k, [(n["k"], n["a"], n["v"]) for n in to_arena(parse(f))]) for k, (f, _) in enumerate(_TRUTHS)]
-    once = spark.createDataFrame(rows, f"k int, ast {AST}").select("k", udfs.ltl_tautology(F.col("ast")).alias("tautology"), udfs.ltl_contradiction(F.col("ast")).alias("contradiction"))
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).cast("int").alias("k")).join(F.broadcast(once), "k").drop("k")
+    df = _dealt_trees(spark, d, [f for f, _ in _TRUTHS])
+    return udfs.over_distinct(df, ["ast"], tautology=udfs.ltl_tautology(F.col("ast")), contradiction=udfs.ltl_contradiction(F.col("ast"))).select("o_orderkey", "tautology", "contradiction")
 
 
-# LaTeX-like formulas and their reading, or the reading of the plain replacement.
-_CONVERT = [("G {p \\rightarrow F {q}}", "G(p -> F(q))", "valid"), ("\\left(p \\land q\\right) U r", "(p & q) U r", "valid"), ("G {p} \\land F {q}", "G(p) & F(q)", "valid"), ("p \\land q \\land r", "p & q & r", "valid"), ("\\neg{(p U q) R (r M s)}", "!((p U q) R (r M s))", "valid"), ("p \\land", None, "error")]
-
-
-@query(f"select o_orderkey, spot, status from orders join {values([(k, s, t) for k, (_, s, t) in enumerate(_CONVERT)])} as g(k, spot, status) on g.k = o_orderkey % {len(_CONVERT)}")
+@query(_dealt_sql("formula, spot, status", goldens.CONVERTED, "o_orderkey, spot, status"))
 def latex_conversion(spark, d):
-    rows = spark.createDataFrame([(k, f) for k, (f, _, _) in enumerate(_CONVERT)], "k int, formula string")
-    once = stages.converted(rows).select("k", F.when(F.col("status") != "error", F.col("spot_formulas")).alias("spot"), "status")
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_CONVERT)).cast("int").alias("k")).join(F.broadcast(once), "k").drop("k")
+    df = _dealt(spark, d, "formula string", [(f,) for f, *_ in goldens.CONVERTED])
+    return stages.converted(df).select("o_orderkey", F.col("spot_formulas").alias("spot"), "status")
 
 
 @query()

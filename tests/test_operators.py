@@ -297,3 +297,28 @@ def test_verdicts_of_many_replies(spark):
     assert got.pop(99) is None
     for k, (_, want) in enumerate(replies):
         assert (got[k]["is_correct"], got[k]["score"], got[k]["issues"], got[k]["source"]) == want, replies[k]
+
+
+def test_english_as_trees(spark):
+    df = spark.createDataFrame([("Always, p",), ("nothing in particular",), (None,)], "s string")
+    got = [(r["s"], r["p"]["valid"], r["p"]["ast"] is not None) for r in df.select("s", udfs.itl_parse(F.col("s")).alias("p")).collect()]
+    assert got == [("Always, p", True, True), ("nothing in particular", False, False), (None, False, False)]
+
+
+def test_domain_counts_over_a_stream(spark, tmp_path):
+    rows = [("2025-05-09 10:05:00", "Robotics"), ("2025-05-09 10:55:00", "Robotics"), ("2025-05-09 11:05:00", "Aerospace")]
+    spark.createDataFrame(rows, "t string, domain string").select(F.to_timestamp("t").alias("t"), "domain").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("t timestamp, domain string").parquet(f"{tmp_path}/in")
+    q = incremental.domain_counts(stream, "t", "domain").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert collected(spark.table("counts").select(F.hour("window.start"), "domain", "n")) == [(10, "Robotics", 2), (11, "Aerospace", 1)]
+
+
+def test_schemas_are_those_of_written_tables(spark, tmp_path):
+    from ltlspark.schema import TABLES
+
+    for name, schema in TABLES.items():
+        made = spark.createDataFrame([], schema)
+        made.write.parquet(f"{tmp_path}/{name}")
+        back = tables.read_parquet(spark, f"{tmp_path}/{name}", schema)
+        assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in made.schema] and back.count() == 0
