@@ -14,7 +14,8 @@ bias (a log-bilinear model; Mnih and Hinton, 2007). The training texts, as units
 are dealt into shards of about SHARD tokens by a hash of the row, and the shards into
 ROUNDS. Each shard of a round runs noise-contrastive estimation in numpy over all its
 tokens, from the average of the round before, the noise of a minibatch shared so that
-it is one matrix product; a round's parameters are averaged by tokens. Shards, their
+it is one matrix product; a round's parameters, and Adagrad's memory of their
+gradients, are averaged by tokens. Shards, their
 order and their random numbers follow from the rows alone, so the model does not
 depend on how the table is partitioned (but for the last digits of the averages' sums).
 Scores use the full softmax: the log normaliser of each context is a batched matrix
@@ -46,7 +47,7 @@ BEGIN = UNITS
 HEAD, HEAD_BYTES = 500_000, 64
 SMOOTH = 0.1
 #: Tokens of a minibatch, noise samples of one, and the step of Adagrad.
-BATCH, NOISE, RATE = 2048, 48, 0.1
+BATCH, NOISE, RATE = 512, 48, 0.1
 #: Tokens of a shard, about; rounds of averaging; and tokens of a shard that are shuffled at once.
 SHARD, ROUNDS, MIXED = 1 << 21, 4, 1 << 18
 _BLOCK = 4096
@@ -230,13 +231,13 @@ def _units(head: pa.Array):
     return run
 
 
-def _trained(flat: np.ndarray, share: np.ndarray):
-    """A shard's parameters after one pass over its tokens from flat, as blocks weighted by its tokens."""
+def _trained(state: np.ndarray, share: np.ndarray):
+    """A shard's state (parameters, then Adagrad's memory) after one pass over its tokens, as blocks weighted by its tokens."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        net, noise, rng, n = Net(flat.copy()), np.log(np.maximum(share, 1e-9)), np.random.default_rng([11, shard]), 0
-        memory = np.full_like(net.flat, 1e-6)
+        flat, memory = np.split(state.copy(), 2)
+        net, noise, rng, n = Net(flat), np.log(np.maximum(share, 1e-9)), np.random.default_rng([11, shard]), 0
         texts = rows.sort_by([("h", "ascending"), ("units", "ascending")])["units"].to_pylist()
         sizes = np.cumsum([0, *(len(t) // 2 for t in texts)])
         at = 0
@@ -250,7 +251,8 @@ def _trained(flat: np.ndarray, share: np.ndarray):
                 net.learn(units[k], one[k], two[k], noise, memory, rng)
             n += len(units)
             at = to
-        blocks = [net.flat[x : x + _BLOCK].astype(float) * n for x in range(0, len(net.flat), _BLOCK)]
+        after = np.concatenate([net.flat, memory]).astype(float) * n
+        blocks = [after[x : x + _BLOCK] for x in range(0, len(after), _BLOCK)]
         release()
         return pa.table({"block": pa.array(range(len(blocks)), pa.int32()), "part": pa.array([shard % 64] * len(blocks), pa.int32()), "n": [float(n)] * len(blocks), "v": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
@@ -284,14 +286,16 @@ def learn(docs: DataFrame, *, text_col: str = "text") -> tuple[Scorer, DataFrame
     shards = max(ROUNDS, -(-int(total) // SHARD))
     named = docs.select(F.xxhash64(*docs.columns).alias("h"), F.col(text_col).cast("string").alias("text"))
     units = materialise(named.mapInArrow(_units(head[:WORDS]), "h long, units binary").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))), "units")
-    flat, schema = Net.start(share).flat, "block int, part int, n double, v binary"
+    flat = Net.start(share).flat
+    state, schema = np.concatenate([flat, np.full_like(flat, 1e-6)]), "block int, part int, n double, v binary"
     tasks = min(-(-2 * shards // ROUNDS), 4 * shuffle_partitions(spark))  # said outright: few bytes, but much work each
     for k in range(ROUNDS):
-        trained = units.filter(F.col("shard") % ROUNDS == k).repartition(tasks, "shard").groupBy("shard").applyInArrow(_trained(flat, share), schema)
+        trained = units.filter(F.col("shard") % ROUNDS == k).repartition(tasks, "shard").groupBy("shard").applyInArrow(_trained(state, share), schema)
         blocks = trained.groupBy("block", "part").applyInArrow(_summed, schema).groupBy("block").applyInArrow(_summed, schema)
         parts = {r["block"]: np.frombuffer(r["v"]) / r["n"] for r in blocks.collect()}
         if parts:
-            flat = np.concatenate([parts[b] for b in sorted(parts)]).astype(np.float32)
+            state = np.concatenate([parts[b] for b in sorted(parts)]).astype(np.float32)
+    flat = np.split(state, 2)[0]
     discard(units)
     return Scorer(head, n, int(total), int(distinct), class_n, class_v, flat), counts
 
