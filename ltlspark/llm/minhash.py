@@ -48,7 +48,7 @@ from .text import lower, mix, release, row_shingles, slices, word_hashes, word_s
 K, R, B = 128, 4, 4
 BANDS = K // R
 #: Sets of a bucket, and bytes of them, that one chunk has; two chunks meet in a cell.
-CHUNK, CHUNK_BYTES = 512, 16 << 20
+CHUNK, CHUNK_BYTES = 1024, 16 << 20
 #: Bytes of sets that a task sends on at once.
 SENT_BYTES = 16 << 20
 
@@ -288,10 +288,11 @@ def _open(sized: DataFrame) -> DataFrame:
     return sized.groupBy("key", "s").agg(pieces.alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("own").alias("any")).filter("x != y and any").select("key", "s", "n")
 
 
-def _cells(sized: DataFrame, open_: DataFrame) -> DataFrame:
-    """The rows of what is open, each in every cell that its chunk is in."""
-    dealt = sized.join(open_, ["key", "s"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return dealt.select("key", "s", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"), "chunk", "own", "node", "comp", "size")
+def _cells(sized: DataFrame, open_: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The rows of what is open, with their signatures, each in every cell that its chunk is in."""
+    signed = sized.join(open_, ["key", "s"]).join(signatures, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.select("key", "s", F.least("chunk", "other").cast("int").alias("i"), F.greatest("chunk", "other").cast("int").alias("j"), "chunk", "own", "node", "comp", "size", "sig")
 
 
 def _sorted_by_cell(rows: DataFrame) -> DataFrame:
@@ -344,7 +345,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     placed = rest.join(nodes.select("node", "size").join(comps, "node", "left"), "node").select("key", "node", F.coalesce("component", "node").alias("comp"), "size")
     sized = _sized(placed, percent)
     open_ = materialise(_open(sized), "open")
-    cells = _sorted_by_cell(_cells(sized, open_).join(signatures, "node"))
+    cells = _sorted_by_cell(_cells(sized, open_, signatures))
     rows = "key long, s int, i int, j int, chunk int, own boolean, node long, comp long, size long, sig binary"
     columns = [c.split()[0] for c in rows.split(", ")]
     partnered = materialise(cells.select(*columns).mapInArrow(_partnered(percent, least), rows), "partnered")
