@@ -47,7 +47,7 @@ BEGIN = UNITS
 HEAD, HEAD_BYTES = 500_000, 64
 SMOOTH = 0.1
 #: Tokens of a minibatch, noise samples of one, and the step of Adagrad.
-BATCH, NOISE, RATE = 512, 48, 0.1
+BATCH, NOISE, RATE = 1024, 48, 0.1
 #: Tokens of a shard, about; rounds of averaging; and tokens of a shard that are shuffled at once.
 SHARD, ROUNDS, MIXED = 1 << 21, 4, 1 << 18
 _BLOCK = 4096
