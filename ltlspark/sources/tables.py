@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,13 +18,26 @@ def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> D
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; texts may hold commas, quotes and line ends."""
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+#: CSV by RFC 4180, every field in quotes and as it is: no white space goes, \N is null and "" the empty text.
+_CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": '"', "lineSep": "\n", "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, line_end: str | None = "\n") -> DataFrame:
+    """CSV with a header; texts may hold commas, quotes and line ends. \\N and an empty field without quotes are null.
+
+    Files of other programs may end lines otherwise: None takes what ends the header (as \\n within texts too).
+    """
+    df = spark.read.schema(schema).csv(path, multiLine=True, **(_CSV | {"lineSep": line_end}))
+    return _texts(df, lambda c: F.when(F.rlike(c, F.lit(r"^\\\\+N\z")), F.substr(c, F.lit(2))).otherwise(c))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV that read_csv gives back as it was; a text of backslashes and N gets one backslash more, so that none is null's mark."""
+    _texts(df, lambda c: F.when(F.rlike(c, F.lit(r"^\\+N\z")), F.concat(F.lit("\\"), c)).otherwise(c)).write.mode("overwrite").csv(path, quoteAll=True, **_CSV)
+
+
+def _texts(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    return df.select(*[change(df[f.name]).alias(f.name) if isinstance(f.dataType, T.StringType) else df[f.name] for f in df.schema])
 
 
 def read_sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
@@ -47,7 +60,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_report(report: DataFrame, path: str) -> None:
     """A statistics report, a few rows, as one CSV file."""
-    report.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    write_csv(report.coalesce(1), path)
 
 
 def statistics_json(one_row: DataFrame) -> DataFrame:

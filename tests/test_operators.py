@@ -145,6 +145,19 @@ def test_csv_json_and_snapshots(spark, tmp_path):
     assert tables.processed_keys(spark, "some", "id bigint").count() == 2
 
 
+def test_csv_keeps_every_text(spark, tmp_path):
+    odd = ["", " a ", "\tb\n", "\r\n", "\r", "\x00", '\x00"', '"\x00,', '"', '""', "\\", '\\"', "\\N", "\\\\N", "\\N\n", "\ufeffx", "\x0c", "#", "null", None]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)], "id int, t string, u string")
+    tables.write_csv(df, f"{tmp_path}/c")
+    assert {r[0]: tuple(r) for r in tables.read_csv(spark, f"{tmp_path}/c", "id int, t string, u string").collect()} == {r[0]: tuple(r) for r in df.collect()}
+    tables.write_csv(df.select("t"), f"{tmp_path}/one")
+    assert sorted(map(repr, tables.read_csv(spark, f"{tmp_path}/one", "t string").collect())) == sorted(map(repr, df.select("t").collect()))
+    (tmp_path / "other.csv").write_text('id,t\n1,\n2,""\n3," x, ""y"""\n')
+    assert collected(tables.read_csv(spark, f"{tmp_path}/other.csv", "id int, t string")) == [(1, None), (2, ""), (3, ' x, "y"')]
+    (tmp_path / "ends.csv").write_bytes(b'id,t\r\n1,"a, b"\r\n2,c\r\n')
+    assert collected(tables.read_csv(spark, f"{tmp_path}/ends.csv", "id int, t string", line_end=None)) == [(1, "a, b"), (2, "c")]
+
+
 def test_sqlite(spark, tmp_path):
     path = f"{tmp_path}/corpus.db"
     with sqlite3.connect(path) as db:
