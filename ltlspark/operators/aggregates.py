@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import partitions_of
+
 
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole; null where whole is 0."""
@@ -91,6 +93,20 @@ def paired_by_group(df: DataFrame, group: str, variant: Column, value: Column, l
     return out.filter((F.col("n_with") >= least) & (F.col("n_without") >= least)).withColumn("difference", F.col("with") - F.col("without"))
 
 
+def paired_sums(left: DataFrame, right: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """For each key of both sides the sum of value over all pairs of a left and a right row, both added; a pair with a null is left out.
+
+    Each side is one row a key before they meet, so a key of many rows makes no pairs, and partitions follow the larger table.
+    """
+    n = max(partitions_of(left), partitions_of(right))
+
+    def once(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, value).repartition(n, *keys).groupBy(*keys).agg(F.sum(value).alias(f"s{side}"), F.count(value).alias(f"n{side}"))
+
+    met = once(left, "l").hint("merge").join(once(right, "r"), keys)
+    return met.select(*keys, F.when((F.col("nl") > 0) & (F.col("nr") > 0), F.col("sl") * F.col("nr") + F.col("sr") * F.col("nl")).alias(out))
+
+
 def statistics_report(one_row: DataFrame, histogram: DataFrame) -> DataFrame:
     """Long form of a report in two sections: section, key, value."""
     names = one_row.columns

@@ -191,8 +191,8 @@ def labelled_semijoin(spark, d):
 
 @query("select p.l_orderkey, p.l_linenumber, sum(p.l_quantity + s.l_quantity) as q from lineitem p join lineitem s on p.l_orderkey = s.l_orderkey and p.l_linenumber = s.l_linenumber group by 1, 2")
 def composite_key_join(spark, d):
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")  # noqa: E741
-    return l.join(l.withColumnRenamed("l_quantity", "other"), ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity") + F.col("other")).alias("q"))
+    l = table(spark, d, "lineitem")  # noqa: E741
+    return aggregates.paired_sums(l, l, ["l_orderkey", "l_linenumber"], "l_quantity", "q")
 
 
 # --- filters and projections

@@ -106,5 +106,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_of(df: DataFrame, rows: int = 500_000) -> int:
+    """Partitions of so many rows each, the session's number at least, so that a task's memory does not follow the table's size."""
+    return max(shuffle_partitions(df.sparkSession), -(-df.count() // rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
