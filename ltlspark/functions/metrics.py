@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shuffle_partitions
 from .text import FAILED, collapse, strip
 
 
@@ -124,16 +125,23 @@ def without_nan(c: Column) -> Column:
 
 
 def metric_table(df: DataFrame, target: str) -> DataFrame:
-    """One row of the means that the kind of target (nl, ltl or itl) has; those that it has not are null."""
+    """One row of the means that the kind of target (nl, ltl or itl) has; those that it has not are null.
+
+    Formulas repeat and cost much each, so every pair of theirs is scored once and counts as often as it occurs.
+    """
     from .udfs import ltl_equivalent, ltl_parse, tree_edit_distance
 
     p, r = F.col("prediction"), F.col("reference")
-    rows = valid_pairs(df)
+    rows = valid_pairs(df).select("prediction", "reference")
     out = {"exact_match": exact_match(p, r), "normalized_exact_match": normalized_exact_match(p, r)}
     if target == "nl":
         out |= {"rouge_l": rouge_l(p, r), "meteor": meteor(p, r)}
     if target == "ltl":
         out |= {"semantic_equivalence": ltl_equivalent(p, r).cast("double"), "tree_edit_distance": tree_edit_distance(p, r), "syntactic_correctness": ltl_parse(p)["valid"].cast("double")}
-    scored = rows.select(*[v.alias(k) for k, v in out.items()])
+        rows = rows.groupBy("prediction", "reference").agg(F.count("*").alias("n")).repartition(shuffle_partitions(df.sparkSession))  # said outright: few bytes, but much work each
+    else:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    scored = rows.select("n", *[v.alias(k) for k, v in out.items()])
     names = ["exact_match", "normalized_exact_match", "rouge_l", "meteor", "semantic_equivalence", "tree_edit_distance", "syntactic_correctness"]
-    return scored.agg(F.count("*").alias("n"), *[without_nan(F.avg(n) if n in out else F.lit(None).cast("double")).alias(n) for n in names])
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum(F.when(F.col(c).isNotNull(), F.col("n"))))
+    return scored.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[without_nan(mean(n) if n in out else F.lit(None).cast("double")).alias(n) for n in names])

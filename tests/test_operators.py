@@ -7,7 +7,7 @@ from compare import SMALL
 from pyspark.sql import functions as F
 
 from ltlspark import runtime
-from ltlspark.functions import folds, text, udfs
+from ltlspark.functions import folds, metrics, text, udfs
 from ltlspark.ltl import decide, generate, itl, rewrite
 from ltlspark.ltl.ast import depth, operators, to_arena
 from ltlspark.ltl.parse import parse
@@ -146,6 +146,21 @@ def test_partitions_follow_the_table(spark):
     assert ", 6), REPARTITION_BY_NUM" in aggregates.paired_sums(df, df, ["a"], "v", "q")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_metric_table_weighs_pairs_that_repeat(spark):
+    schema, once = "prediction string, reference string", [("G(p)", "!F(!p)"), ("F(p)", "G(p)"), ("p &", "p"), ("p", None), ("[Generation failed]", "p"), (None, "p")]
+    rows = spark.createDataFrame(once * 10 + once[:1] * 40, schema)
+    got = metrics.metric_table(rows.repartition(3), "ltl")
+    r = got.first()
+    # 50 pairs of one meaning, 10 of two, 10 whose prediction is no formula, 10 without reference
+    assert (r["n"], r["exact_match"], r["syntactic_correctness"]) == (80, 0.0, 7 / 8)
+    assert r["semantic_equivalence"] == pytest.approx(50 / 60) and r["tree_edit_distance"] == pytest.approx((50 * 3 / 4 + 10 / 2) / 60)
+    nodes = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = [[k for k, line in enumerate(nodes) if what in line] for what in ("ArrowEvalPython", "Aggregate [prediction")]
+    assert at[0] and at[1] and max(at[0]) < min(at[1])  # formulas are counted before they are scored
+    assert metrics.metric_table(rows.limit(0), "ltl").first()[:2] == (0, None)
+    assert metrics.metric_table(rows, "nl").first()["n"] == 80
+
+
 def test_csv_json_and_snapshots(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a, "quoted"\nline'), (2, None)], "id bigint, t string")
     tables.write_csv(df, f"{tmp_path}/c")
