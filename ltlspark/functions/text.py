@@ -50,14 +50,17 @@ def tag(c: Column, name: str) -> Column:
 
 def normalise_domain(c: Column, domains: list[str] = DOMAINS) -> Column:
     """The first domain that contains the text or is contained in it, whatever the case; else the first."""
-    low = F.lower(strip(c))
-    fits = F.filter(F.array(*map(F.lit, domains)), lambda d: F.contains(F.lower(d), low) | F.contains(low, F.lower(d)))
-    return F.when(c.isNotNull(), F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(domains[0])))
+
+    def fitting(low: Column) -> Column:
+        fits = F.filter(F.array(*map(F.lit, domains)), lambda d: F.contains(F.lower(d), low) | F.contains(low, F.lower(d)))
+        return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(domains[0]))
+
+    return F.when(c.isNotNull(), let(F.lower(strip(c)), fitting))
 
 
 def response(c: Column) -> Column:
     """struct(domain, activity, translation) of a tagged reply; null unless all three are there and not empty."""
-    d, a, t = (F.nullif(tag(c, n), F.lit("")) for n in ("domain", "activity", "translation"))
+    d, a, t = (F.nullif(strip(F.regexp_extract(c, f"(?s)<{n}>(.*?)</{n}>", 1)), F.lit("")) for n in ("domain", "activity", "translation"))
     return F.when(d.isNotNull() & a.isNotNull() & t.isNotNull(), F.struct(normalise_domain(d).alias("domain"), a.alias("activity"), t.alias("translation")))
 
 

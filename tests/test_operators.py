@@ -14,7 +14,7 @@ from ltlspark.ltl.parse import parse
 from ltlspark.operators import aggregates, components, sampling, store
 from ltlspark.operators.components import connected_components
 from ltlspark.plans import stages
-from ltlspark.schema import AST, FORMULAS, ITL
+from ltlspark.schema import AST, DOMAINS, FORMULAS, ITL
 from ltlspark.sources import tables
 from ltlspark.streaming import incremental
 
@@ -161,6 +161,16 @@ def test_metric_table_weighs_pairs_that_repeat(spark):
     assert metrics.metric_table(rows, "nl").first()["n"] == 80
 
 
+def test_reply_is_read_once_not_for_each_domain(spark):
+    full = "<domain> {} </domain>\n<activity>a</activity><translation>\nt t </translation><domain>late</domain>"
+    replies = [full.format("robotics"), full.format("nothing known"), full.format("Web Services/APIs and Robotics"), full.format("  "), full.replace("activity", "other").format("Robotics"), "", None]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(replies)], "k int, reply string").withColumn("r", text.response(F.col("reply")))
+    assert [r and tuple(r) for _, _, r in df.orderBy("k").collect()] == [("Robotics", "a", "t t"), (DOMAINS[0], "a", "t t"), ("Robotics", "a", "t t"), None, None, None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    each = plan[plan.index("filter([") : plan.index(", 1, None", plan.index("filter(["))]
+    assert "Contains(" in each and "regexp_extract" not in each and "trim(" not in each
+
+
 def test_csv_json_and_snapshots(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a, "quoted"\nline'), (2, None)], "id bigint, t string")
     tables.write_csv(df, f"{tmp_path}/c")
