@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from operator import and_
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import shuffle_partitions
+from ..runtime import arrow_rows, shuffle_partitions
 from .text import FAILED, collapse, strip
 
 
@@ -28,25 +35,75 @@ def tokens(c: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
-def bleu(df: DataFrame, id_col: str, prediction: str, reference: str, order: int = 4) -> DataFrame:
+def _grams(words: list[str], n: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(words[k:] for k in range(n)))  # noqa: B905
+
+
+_COUNTS = "key string, n int, g string, cp bigint, cr bigint, total bigint, hit bigint"
+
+
+def _counted(order: int, long: int):
+    """Arrow batches of (key, p, r, matched) to sums of rows without a key, and n-gram counts of rows with one.
+
+    A sum has no text: n, total and hit; n = 0 has the words of both sides.
+    """
+    schema = pa.schema([("key", pa.string()), ("n", pa.int32()), ("g", pa.string()), *[(c, pa.int64()) for c in ("cp", "cr", "total", "hit")]])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def spread(key: str, words: list[str], n: int, mine: bool) -> Iterator[tuple]:
+        for lo in range(0, len(words) - n + 1, long):
+            for g, c in Counter(_grams(words[lo : lo + long + n - 1], n)).items():
+                yield key, n, " ".join(g), c if mine else 0, 0 if mine else c, 0, 0
+
+    def counted(batch: pa.RecordBatch, sums: list[list[int]]) -> Iterator[tuple]:
+        for key, p, r, matched in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = (x.split(" ") if x else [] for x in (p, r))
+            sums[0][0] += len(a)
+            sums[0][1] += len(b)
+            for n in range(1, order + 1):
+                if key is not None:
+                    yield from spread(key, a, n, True)
+                    yield from spread(key, b, n, False)
+                    continue
+                sums[n][0] += max(len(a) - n + 1, 0)
+                if matched:
+                    mine, other = Counter(_grams(a, n)), Counter(_grams(b, n))
+                    sums[n][1] += sum(min(c, other[g]) for g, c in mine.items() if g in other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [[0, 0] for _ in range(order + 1)]
+        for batch in batches:
+            rows = counted(batch, sums)
+            while part := list(islice(rows, 10_000)):
+                yield made(part)
+        yield made([(None, n, None, 0, 0, *two) for n, two in enumerate(sums)])
+
+    return run
+
+
+def bleu(df: DataFrame, id_cols: str | list[str], prediction: str, reference: str, order: int = 4, long: int = 20_000) -> DataFrame:
     """Corpus BLEU of one reference each: clipped n-gram precisions and brevity penalty, 0 where an order has no match.
 
-    N-grams are counted in rows and meet by (id, n-gram), so a long text is no long task.
+    Rows of one id are one item. Where an id has one row, and its texts have no more than `long` words, n-grams are counted
+    within the row and only sums leave the task; all others are rows and meet by (id, n-gram), so a long text is no long task.
     """
-    texts = df.select(F.col(id_col).alias("id"), tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r"))
-
-    def grams(side: str) -> DataFrame:
-        each = texts.select("id", F.explode(F.array(*map(F.lit, range(1, order + 1)))).alias("n"), side)
-        at = F.when(F.size(side) >= F.col("n"), F.sequence(F.lit(1), F.size(side) - F.col("n") + 1)).otherwise(F.array().cast("array<int>"))
-        made = each.select("id", "n", F.explode(F.transform(at, lambda i: F.array_join(F.slice(side, i, F.col("n")), " "))).alias("g"))
-        return made.groupBy("id", "n", "g").agg(F.count("*").alias(f"c{side}"))
-
-    met = grams("p").join(grams("r"), ["id", "n", "g"], "left")
-    by = met.groupBy("n").agg(F.sum("cp").alias("total"), F.sum(F.least("cp", F.coalesce("cr", F.lit(0)))).alias("hit"))
-    precision = by.agg(F.count_if(F.col("hit") > 0).alias("k"), F.sum(F.when(F.col("hit") > 0, F.ln(F.col("hit") / F.col("total")))).alias("logs"))
-    sizes = texts.agg(F.coalesce(F.sum(F.size("p").cast("long")), F.lit(0)).alias("cp"), F.coalesce(F.sum(F.size("r").cast("long")), F.lit(0)).alias("cr"))
+    ids = [id_cols] if isinstance(id_cols, str) else id_cols
+    arrow_rows(df.sparkSession)
+    some = reduce(and_, [F.col(c).isNotNull() for c in ids])
+    words = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+    texts = df.select(*ids, collapse(F.col(prediction)).alias("p"), collapse(F.col(reference)).alias("r"))
+    texts = texts.withColumn("rows", F.count("*").over(Window.partitionBy(*ids)))
+    apart = some & ((F.col("rows") > 1) | (F.greatest(words(F.col("p")), words(F.col("r"))) > long))
+    sent = texts.select(F.when(apart, F.to_json(F.struct(*ids))).alias("key"), "p", "r", some.alias("matched"))
+    met = sent.mapInArrow(_counted(order, long), _COUNTS).groupBy("key", "n", "g").agg(*[F.sum(c).alias(c) for c in ("cp", "cr", "total", "hit")])
+    by = met.groupBy("n").agg(F.sum(F.col("cp") + F.col("total")).alias("total"), F.sum(F.least("cp", "cr") + F.col("hit")).alias("hit"))
+    found = (F.col("n") > 0) & (F.col("hit") > 0)
+    size = lambda c: F.coalesce(F.sum(F.when(F.col("n") == 0, F.col(c))), F.lit(0))
+    one = by.agg(size("total").alias("cp"), size("hit").alias("cr"), F.count_if(found).alias("k"), F.sum(F.when(found, F.ln(F.col("hit") / F.col("total")))).alias("logs"))
     short = F.when(F.col("cp") > F.col("cr"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("cr").cast("double"), F.col("cp"))))
-    return sizes.join(F.broadcast(precision)).select("cp", "cr", F.when(F.col("k") == order, short * F.exp(F.col("logs") / order)).otherwise(0.0).alias("bleu"))
+    return one.select("cp", "cr", F.when(F.col("k") == order, short * F.exp(F.col("logs") / order)).otherwise(0.0).alias("bleu"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:

@@ -642,7 +642,7 @@ _GRAMS = """tok as (select conv_id * 4294967296 + turn as id, string_split(trim(
     f"with {_GRAMS.format(turns=_TURNS)} select (select sum(len(p)) from tok)::bigint as cp, (select sum(len(r)) from tok)::bigint as cr, round(case when (select count(*) from by_n where hit > 0) = 4 then (case when (select sum(len(p)) from tok) > (select sum(len(r)) from tok) then 1.0 else exp(1 - (select sum(len(r)) from tok)::double / (select sum(len(p)) from tok)) end) * exp((select avg(ln(hit / total)) from by_n)) else 0.0 end, 9) as bleu"
 )
 def bleu_corpus(spark, d):
-    return metrics.bleu(_turns(spark, d).withColumn("id", F.col("conv_id") * (1 << 32) + F.col("turn")), "id", "p", "r").withColumn("bleu", _r("bleu", 9))
+    return metrics.bleu(_turns(spark, d), ["conv_id", "turn"], "p", "r").withColumn("bleu", _r("bleu", 9))
 
 
 @query()

@@ -171,6 +171,39 @@ def test_reply_is_read_once_not_for_each_domain(spark):
     assert "Contains(" in each and "regexp_extract" not in each and "trim(" not in each
 
 
+def test_bleu_counts_within_rows_and_across(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(5)
+    said = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
+    rows = [(k, said(rnd.randrange(0, 30)), said(rnd.randrange(1, 30))) for k in range(40)] + [(40, said(300), said(200)), (41, "A  b\tc d e", None), (42, None, "a b"), (43, "", "a")]
+    rows += [(k % 5, said(9), said(8)) for k in range(20)] + [(None, said(9), said(9))] * 2  # ids of many rows are one item; without one there is no match
+    p, r = Counter(), Counter()
+    for k, a, b in rows:
+        for side, t in ((p, a), (r, b)):
+            w = (t or "").lower().split()
+            for n in range(1, 5):
+                for g in range(len(w) - n + 1):
+                    side[k, n, tuple(w[g : g + n])] += 1
+    total, hit = ([sum(f(x) for x in p if x[1] == n) for n in range(1, 5)] for f in (p.get, lambda x: min(p[x], r[x]) if x[0] is not None else 0))
+    cp, cr = (sum(c for (_, n, _), c in side.items() if n == 1) for side in (p, r))
+    want = min(1, math.exp(1 - cr / cp)) * math.exp(sum(math.log(h / t) for h, t in zip(hit, total, strict=True)) / 4)
+    df = spark.createDataFrame(rows, "id int, p string, r string").withColumn("of", F.col("id") % 2)
+    for long in (1, 7, 50, 20_000):
+        for ids in ("id", ["of", "id"]):
+            got = metrics.bleu(df, ids, "p", "r", long=long).first()
+            assert (got["cp"], got["cr"]) == (cp, cr) and got["bleu"] == pytest.approx(want, rel=1e-12)
+    assert tuple(metrics.bleu(df.limit(0), "id", "p", "r").first()) == (0, 0, 0.0)
+
+
+def test_bleu_of_short_texts_makes_few_rows(spark):
+    df = spark.range(3000, numPartitions=3).selectExpr("id", "repeat(concat('w', id, ' x y '), 40) as p", "repeat(concat('w', id, ' x z '), 40) as r")
+    made = df.selectExpr("string(null) as key", "p", "r", "true as matched").mapInArrow(metrics._counted(4, 20_000), metrics._COUNTS)
+    assert made.count() == 3 * 5
+
+
 def test_csv_json_and_snapshots(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a, "quoted"\nline'), (2, None)], "id bigint, t string")
     tables.write_csv(df, f"{tmp_path}/c")
